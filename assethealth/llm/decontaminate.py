@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import log
 
 import numpy as np
@@ -15,27 +17,29 @@ from pyspark.sql import functions as F
 
 from assethealth.llm.shared import keep_rows, map_texts
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(r"\w")
+SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 8
 #: Words of an index entry at most; longer items are indexed in pieces.
 PIECE = 96
 #: Words of test items in one index at most; more are searched in several passes.
 INDEX_WORDS = 2_000_000
 #: Share of an entry's own score that a passage must reach to be retrieved.
-RETRIEVED = 0.6
+RETRIEVED = 0.65
 SHINGLE, OVERLAP = 5, 0.8
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words, in UTF-8, between ASCII white space and punctuation."""
+    return (text or "").lower().encode().translate(SPACED).split()
 
 
-def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
+def shingle_set(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """A test item's words but those of its last sentence, and those; one sentence is both."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if WORD.search(p)]
     while len(parts) > 1 and len(words_of(parts[-1])) < SHINGLE:
@@ -49,14 +53,20 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings by term: entry numbers, impacts, and the largest impact of each block and of all.
 
+    A block is a run of ``BLOCK`` entries; entries stand by length, so that the
+    entries of a block have impacts of one size.
+
     Impacts are BM25 terms divided by the entry's score for itself, so an
     entry scores 1 for its own text and one threshold serves all.
     """
 
-    terms: dict[str, int]
+    terms: dict[bytes, int]
     entries: list[list[int]]
     impacts: list[list[float]]
-    block_max: list[list[float]]
+    block_max: list[dict[int, float]]  # by block
+    begins: np.ndarray  # where a term's blocks begin in the two below
+    blocks: np.ndarray
+    bounds: np.ndarray
     most: np.ndarray
     item_of: list[object]
     questions: dict
@@ -67,6 +77,7 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     pieces = [(i, w[at : at + PIECE]) for i, t in items for w in [words_of(t)] for at in range(0, max(1, len(w)), PIECE) if w]
     if not pieces:
         return None
+    pieces.sort(key=lambda p: len(p[1]))
     counts = [Counter(w) for _, w in pieces]
     df = Counter(t for c in counts for t in c)
     mean = sum(len(w) for _, w in pieces) / len(pieces)
@@ -79,56 +90,79 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
         for t, x in raw.items():
             entries[terms[t]].append(n)
             impacts[terms[t]].append(x / own)
-    blocks = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in impacts]
+    block_max: list[dict[int, float]] = []
+    for e, x in zip(entries, impacts, strict=True):
+        most: dict[int, float] = {}
+        for n, v in zip(e, x, strict=True):
+            most[n // BLOCK] = max(most.get(n // BLOCK, 0.0), v)
+        block_max.append(most)
+    begins = np.cumsum([0, *map(len, block_max), 0])  # the last is for unknown words
+    flat = [(b, v) for most in block_max for b, v in most.items()]
     longest = max(len(w) for _, w in pieces)
-    return Index(terms, entries, impacts, blocks, np.array([max(x) for x in impacts] + [0.0]), [i for i, _ in pieces], {i: question_and_answer(t) for i, t in items if t}, 2 * longest)
+    return Index(terms, entries, impacts, block_max, begins, np.array([b for b, _ in flat]), np.array([v for _, v in flat]), np.array([max(x) for x in impacts] + [0.0]), [i for i, _ in pieces], {i: question_and_answer(t) for i, t in items if t}, 2 * longest)
+
 
+def passage_blocks(index: Index, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``passage, block, terms`` wherever a block can hold an entry that scores ``threshold`` for a passage.
 
-def search(index: Index, query: set[int], threshold: float) -> list[tuple[int, float]]:
-    """All entries that score ``threshold`` or more for the query's terms, by block-max WAND.
+    A passage is a range of ``ids``. The largest impacts of each block, summed
+    over a passage's distinct terms, are an upper bound for all its entries.
+    """
+    terms, number = len(index.terms), len(index.item_of) // BLOCK + 1
+    for at in range(0, len(starts), 64):
+        s, e = starts[at : at + 64], ends[at : at + 64]
+        places = np.repeat(s - np.cumsum(e - s) + (e - s), e - s) + np.arange((e - s).sum())
+        pairs = np.unique(np.repeat(np.arange(len(s)), e - s) * (terms + 1) + ids[places])
+        pairs = pairs[pairs % (terms + 1) < terms]
+        passage, term = np.divmod(pairs, terms + 1)
+        first, many = index.begins[term], index.begins[term + 1] - index.begins[term]
+        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        bounds = np.bincount(np.repeat(passage, many) * number + index.blocks[places], index.bounds[places])
+        for hit in np.flatnonzero(bounds >= threshold - 1e-9).tolist():
+            p = hit // number
+            yield at + p, hit % number, term[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")]
+
+
+def search(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    """All entries that score ``threshold`` or more for the query's terms, by block-max WAND."""
+    blocks = passage_blocks(index, query, np.array([0]), np.array([len(query)]), threshold) if len(query) else []
+    return [hit for _, b, terms in blocks for hit in wand(index, terms.tolist(), threshold - 1e-9, b * BLOCK, b * BLOCK + BLOCK)]
+
+
+def wand(index: Index, query: list[int], threshold: float, low: int, high: int) -> list[tuple[int, float]]:
+    """Entries from ``low`` to below ``high`` that score ``threshold`` or more.
 
     Cursors stand in the order of their entries. The pivot is the first at
-    which the terms' largest impacts reach the threshold; where the impacts of
-    the blocks around it do not, cursors jump past the nearest block end.
+    which the terms' largest impacts reach the threshold; no entry before it
+    can score enough, so all cursors before it jump there.
     """
-    cursors = [[index.entries[t][0], 0, t] for t in query]
+    cursors = []
+    for t in query:
+        at = bisect_left(index.entries[t], low)
+        if at < len(index.entries[t]) and index.entries[t][at] < high:
+            cursors.append([index.entries[t][at], at, t, index.block_max[t][low // BLOCK]])
     found = []
-    end = len(index.item_of)
     while cursors:
         cursors.sort()
         total, pivot = 0.0, -1
-        for i, (_, _, t) in enumerate(cursors):
-            total += index.most[t]
+        for i, c in enumerate(cursors):
+            total += c[3]
             if total >= threshold:
                 pivot = i
                 break
         if pivot < 0:
             break
         target = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
-            pivot += 1
-        bound, nearest = 0.0, end
-        for _, at, t in cursors[: pivot + 1]:
-            here = bisect_left(index.entries[t], target, at) // BLOCK
-            if here < len(index.block_max[t]):
-                bound += index.block_max[t][here]
-                nearest = min(nearest, index.entries[t][min((here + 1) * BLOCK, len(index.entries[t])) - 1] + 1)
-        if bound < threshold:
-            past = nearest if nearest > target else target + 1
-            if pivot + 1 < len(cursors):
-                past = min(past, max(cursors[pivot + 1][0], target + 1))
-        elif cursors[0][0] == target:
-            score = sum(index.impacts[t][at] for e, at, t in cursors if e == target)
+        if cursors[0][0] == target:
+            score = sum(index.impacts[t][at] for e, at, t, _ in cursors if e == target)
             if score >= threshold:
                 found.append((target, score))
-            past = target + 1
-        else:
-            past = target
-        for c in cursors[: pivot + 1]:
-            if c[0] < past:
-                c[1] = bisect_left(index.entries[c[2]], past, c[1])
-                c[0] = index.entries[c[2]][c[1]] if c[1] < len(index.entries[c[2]]) else end
-        cursors = [c for c in cursors if c[0] < end]
+            target += 1
+        for c in cursors:
+            if c[0] < target:
+                c[1] = bisect_left(index.entries[c[2]], target, c[1])
+                c[0] = index.entries[c[2]][c[1]] if c[1] < len(index.entries[c[2]]) else high
+        cursors = [c for c in cursors if c[0] < high]
     return found
 
 
@@ -140,20 +174,21 @@ def contained(index: Index, text: str) -> dict[object, float]:
     terms' largest impacts can reach the threshold at all.
     """
     words = words_of(text)
-    get, unknown = index.terms.get, len(index.terms)
-    ids = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
+    ids = np.fromiter(map(index.terms.get, words, repeat(len(index.terms))), np.int64, len(words))
     half, out = index.window // 2, {}
     sums = np.concatenate([[0.0], np.cumsum(index.most[ids])])
     starts = np.arange(0, max(1, len(words) - half + 1), half) if len(words) else np.array([], int)
     ends = np.minimum(starts + index.window, len(words))
-    for s, e in zip(starts, ends, strict=True):
-        if sums[e] - sums[s] < RETRIEVED:
-            continue
-        got = search(index, set(ids[s:e].tolist()) - {unknown}, RETRIEVED)
-        for item in {index.item_of[n] for n, _ in got} - out.keys():
+    able = sums[ends] - sums[starts] >= RETRIEVED
+    starts, ends = starts[able], ends[able]
+    for p, block, terms in passage_blocks(index, ids, starts, ends, RETRIEVED):
+        for n, _ in wand(index, terms.tolist(), RETRIEVED - 1e-9, block * BLOCK, block * BLOCK + BLOCK):
+            item = index.item_of[n]
+            if item in out:
+                continue
             question, answer = index.questions[item]
             reach = max(index.window, 2 * (len(question) + len(answer)))
-            there = shingle_set(words[max(0, s - reach) : e + reach])
+            there = shingle_set(words[max(0, starts[p] - reach) : ends[p] + reach])
             share = min(len(x & there) / len(x) for x in (shingle_set(question), shingle_set(answer)))
             if share >= OVERLAP:
                 out[item] = share
