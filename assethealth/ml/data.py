@@ -112,7 +112,7 @@ def order_violations(rows: DataFrame) -> DataFrame:
 def label_correlations(rows: DataFrame, label: str, names: tuple[str, ...]) -> DataFrame:
     """``feature, correlation, flagged``: absolute Pearson correlation with the label, in one pass; 0 without spread."""
     spread = lambda n: (F.stddev_pop(n) > 1e-6) & (F.stddev_pop(label) > 1e-6)
-    one = rows.agg(*[F.coalesce(F.when(spread(n), F.abs(F.corr(n, label))), F.lit(0.0)).alias(n) for n in names])
+    one = rows.agg(*[F.coalesce(F.when(spread(n), F.abs(F.try_divide(F.covar_pop(n, label), F.stddev_pop(n) * F.stddev_pop(label)))), F.lit(0.0)).alias(n) for n in names])
     long = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), rounded(F.col(n), 6).alias("correlation")) for n in names])).alias("r")).select("r.*")
     return long.withColumn("flagged", F.col("correlation") >= 0.999)
 

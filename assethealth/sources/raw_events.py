@@ -1,0 +1,34 @@
+"""Telemetry as raw JSON text, some of it defective, for quality queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+FIELDS = ("timestamp", "temperature", "vibration", "pressure", "rpm", "current", "voltage", "power", "load")
+
+
+def with_defects(samples: DataFrame) -> DataFrame:
+    """``raw, arrival``: each sample as JSON; the remainder of arrival by 97 picks a defect, 101 and 103 repeats."""
+    c, m = F.col, F.col("arrival") % 97
+    rows = samples.withColumn("seq", F.row_number().over(Window.partitionBy("asset_id").orderBy("arrival")) - 1)
+    value = {f: c(f).cast("string") for f in FIELDS}
+    bad = {
+        "voltage": {1: '"bad"', 7: "-1.0"}, "timestamp": {2: "-5"}, "temperature": {4: "2500.5", 11: "null"}, "rpm": {5: "60000"}, "vibration": {6: "-2.4"},
+    }
+    for f, cases in bad.items():
+        for r, text in cases.items():
+            value[f] = F.when(m == r, F.lit(text)).otherwise(value[f])
+    mode = F.when(m == 3, "TURBO").otherwise(c("operating_mode"))
+    sequence = F.when(m == 10, F.lit("0")).otherwise(c("seq").cast("string"))
+
+    def text(event_id: Column) -> Column:
+        pairs = [F.concat(F.lit(f'"{f}":'), v) for f, v in value.items()]
+        pairs[4] = F.when(m == 0, F.lit(None)).otherwise(pairs[4])  # rpm goes missing
+        names = [F.concat(F.lit(f'"{k}":"'), v, F.lit('"')) for k, v in (("event_id", event_id), ("asset_id", c("asset_id")), ("asset_type", c("asset_type")), ("operating_mode", mode), ("event_time", F.lit("2024-01-01T00:00:00Z")), ("schema_version", F.lit("1.0.0")))]
+        whole = F.concat(F.lit("{"), F.concat_ws(",", *names, *pairs, F.concat(F.lit('"sequence_number":'), sequence)), F.lit("}"))
+        return F.when(m == 8, F.substring(whole, 1, 40)).when(m == 12, "[1,2]").otherwise(whole)
+
+    again = rows.where("arrival % 101 = 0").select(text(c("event_id")).alias("raw"), (c("arrival") + 1_000_000).alias("arrival"))
+    other = rows.where("arrival % 103 = 0").select(text(F.concat("event_id", F.lit("b"))).alias("raw"), (c("arrival") + 2_000_000).alias("arrival"))
+    return rows.select(text(c("event_id")).alias("raw"), "arrival").union(again).union(other)
