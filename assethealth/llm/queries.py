@@ -80,7 +80,7 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", "quality")
-    model = quality_rules.fit_rules(docs.join(labels, "doc_id"), "quality")
+    model = quality_rules.fit_rules(docs, labels, "quality")
     scored = quality_rules.score_quality(docs, model)
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

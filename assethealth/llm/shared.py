@@ -51,6 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """``docs(doc_id, text)`` with the columns of ``labels``, for the ``bound`` labels with the least hash of doc_id.
+
+    The sample is drawn from the narrow label table, so ``bound`` ids and
+    labels go to the documents, and no text is shuffled or sorted.
+    """
+    names = [c for c in labels.columns if c != "doc_id"]
+    some = labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", *names).limit(bound)
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
