@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
     """The chain fitted on all labelled documents of a folder."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.fit_chain(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), CATEGORIES)
+    return toxicity.fit_chain(table(spark, sf_dir, "documents"), labels, CATEGORIES)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

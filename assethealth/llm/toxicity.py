@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assethealth.llm.shared import keep_rows, map_texts, written
+from assethealth.llm.shared import keep_rows, labelled_sample, map_texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are features, next to whole words.
@@ -106,16 +106,15 @@ def _feature_counts(rows: DataFrame, categories: Sequence[str]) -> DataFrame:
     return counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]]).where(F.col("n") >= LEAST_TEXTS)
 
 
-def fit_chain(labelled: DataFrame, categories: Sequence[str], max_labelled: int = MAX_LABELLED, features: int = FEATURES) -> Chain:
-    """Fit on ``labelled(doc_id, text, <category 0/1>...)``, rows without a label left out.
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_labelled: int = MAX_LABELLED, features: int = FEATURES) -> Chain:
+    """Fit on ``docs(doc_id, text)`` by ``labels(doc_id, <category 0/1>...)``; rows without all labels are left out.
 
     With no rows, or one value of a category, that category's model is a
     constant. Texts may be null (no words). Only feature tables of fixed size
     and model weights reach the driver.
     """
-    rows = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("int").alias(c) for c in categories])
-    rows = rows.dropna(subset=list(categories)).withColumn("h", F.xxhash64("doc_id"))
-    rows = written(rows.orderBy("h", "doc_id").limit(max_labelled), "labelled")
+    marked = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna(subset=list(categories))
+    rows = written(labelled_sample(docs, marked, max_labelled), "labelled")
     counts = written(_feature_counts(rows, categories), "features")
     totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
     chosen: dict[str, None] = {}
@@ -131,10 +130,18 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], max_labelled: int
 
     def make() -> Callable[[list[str]], dict]:
         vectors = Vectors(list(chosen))
-        return lambda texts: {"x": [vectors(t).astype(np.float32) for t in texts]}
 
-    table = map_texts(rows.repartition(8), make, {"x": "array<float>"}).orderBy("h", "doc_id").toPandas()  # max_labelled x features numbers
-    x, folds = np.array(table["x"].tolist(), np.float32).reshape(len(table), -1), (table["h"].to_numpy() >> 7) % FOLDS
+        def columns(texts: list[str]) -> dict:
+            found = [vectors(t) for t in texts]
+            return {"at": [np.flatnonzero(v).astype(np.int32) for v in found], "value": [v[v > 0].astype(np.float32) for v in found]}
+
+        return columns
+
+    # only values that are not 0 reach the driver: max_labelled x features at most
+    table = map_texts(rows, make, {"at": "array<int>", "value": "array<float>"}).orderBy("h", "doc_id").toPandas()
+    x, folds = np.zeros((len(table), len(chosen)), np.float32), (table["h"].to_numpy() >> 7) % FOLDS
+    for i, (at, value) in enumerate(zip(table["at"], table["value"], strict=True)):
+        x[i, at] = value
     for j, c in enumerate(categories):
         y = table[c].to_numpy(np.float32)
         held = np.zeros(len(y), np.float32)
@@ -145,7 +152,7 @@ def fit_chain(labelled: DataFrame, categories: Sequence[str], max_labelled: int
         chain.weights.append(w)
         chain.intercepts.append(b)
         chain.thresholds.append(best_threshold(held, y))
-        x = np.hstack([x, held[:, None]])  # out-of-fold, for the models to come
+        x = np.hstack([x, held[:, None].astype(np.float32)])  # out-of-fold, for the models to come
     return chain
 
 
@@ -153,14 +160,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-3, rounds: int
     """Ridge logistic regression on columns scaled to unit deviation, by L-BFGS; one label alone gives a constant."""
     if not len(y) or y.min() == y.max():
         return np.zeros(x.shape[1]), 20.0 if len(y) and y[0] else -20.0
-    scale = 1 / np.maximum(x.std(0), 1e-4)
+    scale = (1 / np.maximum(x.std(0), 1e-4)).astype(np.float32)
     z = x * scale
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        m = z @ p[:-1] + p[-1]
+        m = z @ p[:-1].astype(np.float32) + p[-1]
         e = 1 / (1 + np.exp(-np.clip(m, -40, 40))) - y
         value = float(np.logaddexp(0, m).mean() - (y * m).mean() + ridge / 2 * (p[:-1] @ p[:-1]))
-        return value, np.append(z.T @ e / len(y) + ridge * p[:-1], e.mean()).astype(np.float64)
+        return value, np.append(z.T @ e.astype(np.float32) / len(y) + ridge * p[:-1], e.mean()).astype(np.float64)
 
     p = np.zeros(x.shape[1] + 1)
     value, g = loss(p)
