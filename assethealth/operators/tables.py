@@ -82,3 +82,9 @@ def run_ledger(checked: DataFrame, run_id: str = "run") -> DataFrame:
     return checked.agg(F.count("*").alias("events_generated"), F.count_if("is_valid").alias("events_valid"), F.count_if(~F.col("is_valid")).alias("events_quarantined")).select(
         F.lit(run_id).alias("run_id"), "events_generated", "events_valid", "events_quarantined", F.when(F.col("events_generated") > 0, "COMPLETED").otherwise("EMPTY").alias("status")
     )
+
+
+def commit_history(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of a table that ``append_once`` writes: batch, time, rows and files."""
+    rows = spark.read.parquet(path).select("batch_id", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"))
+    return rows.groupBy("batch_id").agg(F.max("at").alias("committed_at"), F.count("*").alias("rows"), F.count_distinct("file").alias("files"))

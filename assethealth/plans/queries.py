@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assethealth.config import SENSORS
 from assethealth.functions import columns as col
 from assethealth.functions.health import streaming_priority
-from assethealth.operators import alerts, features, serving, tables, windows
+from assethealth.operators import alerts, features, serving, windows
 from assethealth.plans.oracle import PARTS, REASONS, kpis, r, sql
 from assethealth.sources.telemetry import telemetry
 

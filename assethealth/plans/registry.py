@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assethealth.plans import analytics, ml_queries, quality_queries, queries as base  # noqa: F401  (their modules add to the registry)
+from assethealth.plans import analytics, ml_queries, quality_queries, queries as base, stream_queries  # noqa: F401  (their modules add to the registry)
 
 
 def queries() -> dict[str, base.Query]:

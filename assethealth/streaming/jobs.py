@@ -77,8 +77,8 @@ def state_stream(scored: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
 
     ``scored`` has asset_id, arrival, t_us, health_score, critical, found and
     worst. Samples of a batch are taken in time order. State is kept in the
-    checkpoint, survives restarts, and goes ``ttl_ms`` after an asset's last
-    sample.
+    checkpoint, survives restarts, and goes when the watermark is ``ttl_ms``
+    past an asset's last sample.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -92,7 +92,8 @@ def state_stream(scored: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
             state, step = advance(state, r.t_us / 1e6, r.health_score, bool(r.critical), int(r.found), int(r.worst))
             out.append((key[0], r.arrival, STATES[step.health], STATES[step.previous], SEVERITIES[step.severity], step.recovery, step.outcome))
         kept.update(tuple(state))
-        kept.setTimeoutDuration(ttl_ms)
+        kept.setTimeoutTimestamp(max(int(rows["t_us"].max() // 1000) + ttl_ms, kept.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
 
-    return scored.groupBy("asset_id").applyInPandasWithState(run, STEP, KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = scored.withColumn("event_time", F.timestamp_micros("t_us")).withWatermark("event_time", "35 seconds")
+    return timed.groupBy("asset_id").applyInPandasWithState(run, STEP, KEPT, "append", GroupStateTimeout.EventTimeTimeout)

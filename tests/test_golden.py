@@ -143,3 +143,4 @@ def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     for batch in (1, 2, 2):
         tables.append_once(rows, str(tmp_path / "t"), batch)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 20
+    assert {(r.batch_id, r.rows) for r in tables.commit_history(spark, str(tmp_path / "t")).collect()} == {(1, 10), (2, 10)}

@@ -12,8 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def run(stream, path, checkpoint):
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
+    assert q.awaitTermination(120) and q.exception() is None
 
 
 def test_states_survive_a_restart(spark, tmp_path):
