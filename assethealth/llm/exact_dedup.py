@@ -26,7 +26,7 @@ def candidate_groups(docs: DataFrame) -> DataFrame:
     count with map-side partial sums, so a group of copies of any size meets
     as one row a task.
     """
-    lengths = docs.groupBy(_length().alias("length")).agg(F.count("*").alias("n")).where("n > 1").select("length")
+    lengths = written(docs.groupBy(_length().alias("length")).agg(F.count("*").alias("n")).where("n > 1").select("length"), "lengths")
     heads = docs.select(_length().alias("length"), F.substring(text_or_empty(), 1, PREFIX).alias("head"))
     twice = heads.join(lengths, "length", "left_semi").select("length", F.xxhash64("head").alias("prefix"))
     return twice.groupBy("length", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("length", "prefix")
