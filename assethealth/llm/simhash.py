@@ -9,9 +9,11 @@ masked value: no pair is missed (Pagh's covering codes, radius 2).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,102 +115,184 @@ def near_dup_groups(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame
 
 # -- the filtering stage: copies of at least 0.8 similarity ------------------
 
-#: Fingerprints a text: with this many, a pair at 0.8 is within two bits in one of them nearly always.
-SKETCHES = 8
+#: Shingles whose counts order the rest, at most, and documents they are counted in, about.
+COMMON, COUNTED = 500_000, 20_000
+#: Texts of a block, and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 64, 65_536
 
 
-def _mixed(h: np.ndarray, sketches: int) -> np.ndarray:
-    """``sketches`` independent hashes of each hash (splitmix64 steps), one row an item."""
-    steps = np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = h[:, None] + steps[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingles' hashes, in their order."""
+    s = shingles(words, size)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64, len(s)).view(np.int64))
 
 
-def word_fingerprint(words: list[bytes], sketches: int = SKETCHES) -> np.ndarray:
-    """Fingerprints over the distinct words, each weighing its length less two (short ones a quarter)."""
-    distinct = list(set(words))
-    if not distinct:
-        return np.zeros(sketches, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    weights = np.maximum(np.fromiter(map(len, distinct), np.float32, len(distinct)) - 2, np.float32(0.25))
-    one = np.zeros(64 * sketches, np.float32)
-    for at in range(0, len(h), 8192):
-        z = _mixed(h[at : at + 8192], sketches).astype("<u8")
-        one += weights[at : at + 8192] @ np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").astype(np.float32)
-    return np.packbits(one * 2 > weights.sum(), bitorder="little").view("<i8")
-
-
-def word_fingerprints(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
-    """``doc_id, node`` (128-bit hash of the words) and ``fps`` (longs).
-
-    One changed word moves few bits of these, and short common words move
-    none, so near copies stay within two bits far more often than with
-    shingles, which multiply each change.
-    """
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``node`` and ``hashes``, the distinct shingle hashes of each text."""
 
     def make() -> Callable[[list[str]], dict]:
         def columns(texts: list[str]) -> dict:
             words = [t.encode().lower().split() for t in texts]
-            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "fps": [word_fingerprint(w, sketches) for w in words]}
+            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "hashes": [shingle_hashes(w, size) for w in words]}
 
         return columns
 
-    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "fps": "array<long>"})
+    return map_texts(docs.select("text"), make, {"node": "binary", "hashes": "array<long>"})
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node`` and ``hashes``, the distinct shingle hashes of each text."""
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of about ``COUNTED`` documents have, sorted, and their counts.
+
+    They only set the order in ``prefixes``; any order gives the same pairs.
+    """
+    every = max(1, round(docs.count() / COUNTED))
+    some = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), size)
+    counts = written(some.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= total / COMMON).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, and ``prefix``, the rarest of them.
+
+    Two sets of ``similarity`` or more have that share of either in common. So
+    with all shingles in one order, each set's first n - ceil(similarity * n)
+    + 1 meet: no pair is missed. Rare ones come first, to meet seldom otherwise.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def make() -> Callable[[list[str]], dict]:
+        common, counts = shared.value
+
+        def prefix(h: np.ndarray) -> np.ndarray:
+            n = len(h) - ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+            return h[:n]
+
         def columns(texts: list[str]) -> dict:
             words = [t.encode().lower().split() for t in texts]
-            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64, len(s))).view(np.int64) for s in (shingles(w, size) for w in words)]
-            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "hashes": sets}
+            sets = [shingle_hashes(w, size) for w in words]
+            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "n": [len(h) for h in sets], "prefix": [prefix(h) for h in sets]}
 
         return columns
 
-    return map_texts(docs.select("text"), make, {"node": "binary", "hashes": "array<long>"})
+    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "prefix": "array<long>"})
+
+
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``candidates(a, b)`` whose sets have ``similarity`` or more."""
+    first = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where((common + F.lit(1e-9)) >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+
+
+def block_links(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``a, b``: labels with a link between them, from rows of two lists ``one`` and ``two`` of ``label, hashes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for i in range(batch.num_rows):
+                sides = []
+                for name in ("one", "two"):
+                    v = batch.column(name)[i].values
+                    lists = v.field("hashes")
+                    sides.append((v.field("label").to_pylist(), [x.values.to_numpy(zero_copy_only=False) for x in lists]))
+                (la, sa), (lb, sb) = sides
+                places = {x: k for k, x in enumerate(dict.fromkeys(la + lb))}
+                apart = np.array([places[x] for x in la])[:, None] != np.array([places[x] for x in lb])[None, :]
+                na, nb = (np.array([len(x) for x in s]) for s in (sa, sb))
+                # shingles of one side alone cannot be common
+                known = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
+                common = np.zeros((len(sa), len(sb)), np.float32)
+                ma, mb = ([np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]) for x in s] for s in (sa, sb))
+                for at in range(0, len(known), 16384):
+                    grids = []
+                    for m in (ma, mb):
+                        grid = np.zeros((len(m), min(16384, len(known) - at)), np.float32)
+                        for k, x in enumerate(m):
+                            grid[k, x[(x >= at) & (x < at + 16384)] - at] = 1
+                        grids.append(grid)
+                    common += grids[0] @ grids[1].T
+                close = apart & (common + 1e-9 >= similarity * (na[:, None] + nb[None, :] - common))
+                found.update((la[x], lb[y]) for x, y in zip(*np.nonzero(close), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    return pairs.select("one", "two").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def links_between(big: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """All links ``a, b`` between different ``labels`` of texts that share a bucket of ``big(token, node, n, m)``; none if each has one label.
+
+    Every such pair of texts is compared, in blocks of texts of like size and
+    by the same bucket, of one label where a label fills blocks: two blocks
+    meet once, if they share a token and are not of one and the same label.
+    """
+    known = big.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = written(known, "labelled")
+    open_ = written(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "open")
+    if open_.isEmpty():
+        return None
+    known = written(known.join(open_, "token"), "open-buckets")
+    homes = known.groupBy("node").agg(F.max(F.struct("m", "token"))["token"].alias("home"), F.any_value("label").alias("label"), F.any_value("n").alias("n"))
+    homes = written(homes.withColumn("fold", F.floor(F.log2("n")).cast("int")), "homes")
+    many = written(homes.groupBy("home", "label").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK).select(F.col("home").alias("_home"), F.col("label").alias("_label")), "many")
+    homes = homes.join(many, (F.col("home") == F.col("_home")) & (F.col("label") == F.col("_label")), "left").drop("_home")
+    homes = written(homes.withColumn("part", F.coalesce("_label", F.lit("").cast("binary"))).drop("_label"), "parts")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2), F.col("fold"))))
+    sizes = written(homes.groupBy("home", "part", "fold").agg(F.count("*").alias("c")), "parts-sizes")
+    homes = homes.join(sizes, ["home", "part", "fold"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / room)))
+    homes = written(homes.select("node", "label", "fold", F.xxhash64("home", "part", "fold", "slot").alias("block")), "placed")
+    blocks = homes.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
+    blocks = written(blocks, "blocks")
+    meet = known.select("token", "node").join(homes, "node").groupBy("token", "block", "fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    meet = written(meet, "meet")
+    one, two = (meet.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "fold", "lo", "hi")]) for x in "ab")
+    mixed = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
+    pairs = one.join(two, "token").where((F.col("block_a") <= F.col("block_b")) & (F.abs(F.col("fold_a") - F.col("fold_b")) <= 1) & mixed)
+    pairs = written(pairs.select("block_a", "block_b").distinct(), "block-pairs")
+    pairs = pairs.join(blocks.select(F.col("block").alias("block_a"), F.col("members").alias("one")), "block_a")
+    return block_links(pairs.join(blocks.select(F.col("block").alias("block_b"), F.col("members").alias("two")), "block_b"), similarity)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``node, doc_id, keep_id``: documents grouped by links of ``similarity`` (Jaccard, distinct ``size``-word shingles) or more.
 
-    Candidates come from the covering masks over several word fingerprints
-    (see ``word_fingerprints``); each link is then verified on the exact
-    shingle sets, which are made of the linked documents alone. Buckets over ``max_bucket`` are linked through hubs, as in
-    ``links``. ``keep_id`` is the least doc_id of the group. Null and blank
+    Candidates share a shingle of their ``prefixes``, which no pair of
+    ``similarity`` fails to do; each is verified on the exact shingle sets.
+    Buckets of up to ``max_bucket`` texts are compared pair by pair. In larger
+    ones all texts are first compared with the one that shares most of its
+    prefix, the likely original; then every pair that is not yet joined is
+    compared too, block by block (``links_between``), so the groups are those
+    of all pairs. ``keep_id`` is the least doc_id of the group. Null and blank
     texts have one shingle set, the empty one, and form one group; a null
     doc_id never names a group.
     """
-    rows = written(word_fingerprints(docs), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "nodes")
-    keyed = nodes.select("node", F.posexplode("fps").alias("sketch", "fp"))
-    # texts that share a fingerprint are linked through the least of them
-    heads = written(keyed.groupBy("sketch", "fp").agg(F.min("node").alias("head")), "heads")
-    alike = written(keyed, "keyed").join(heads, ["sketch", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks())])
-    masked = heads.select("sketch", "fp", "head", F.explode(masks).alias("m")).select("sketch", "fp", "head", "m.mask", "m.key")
-    sizes = masked.groupBy("sketch", "mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(masked.join(sizes, ["sketch", "mask", "key"]), "buckets")
-    small = shared.where(F.col("n") <= max_bucket)
-    one, two = (small.select("sketch", "mask", "key", F.col("fp").alias(f"fp_{x}"), F.col("head").alias(x)) for x in "ab")
-    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= RADIUS
-    pairs = one.join(two, ["sketch", "mask", "key"]).where((F.col("a") < F.col("b")) & apart).select("a", "b")
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    hubs = shared.where(F.col("n") > max_bucket).select("sketch", "fp", "head").distinct().select("sketch", "head", F.explode(near).alias("hub"))
-    hubs = hubs.groupBy("sketch", "hub").agg(F.min("head").alias("a"), F.collect_set("head").alias("all")).where(F.size("all") > 1)
-    stars = hubs.select("a", F.explode("all").alias("b")).where("a <> b")
-    candidates = written(alike.union(pairs).union(stars).distinct(), "candidates")
+    rows = written(prefixes(docs, size, similarity), "prefixes")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "nodes")
+    keyed = nodes.select("node", "n", F.size("prefix").alias("long"), F.explode("prefix").alias("token"))
+    sizes = written(keyed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
+    shared = written(keyed.join(sizes, "token"), "buckets")
+    members = shared.where(F.col("m") <= max_bucket).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all")).select("all").distinct()
+    fits = lambda x: (x["node"] > F.col("one.node")) & (F.least(x["n"], F.col("one.n")) + F.lit(1e-9) >= similarity * F.greatest(x["n"], F.col("one.n")))
+    pairs = members.select("all", F.explode("all").alias("one")).select(F.col("one.node").alias("a"), F.explode(F.filter("all", fits)).alias("two")).select("a", F.col("two.node").alias("b"))
+    big = written(shared.where(F.col("m") > max_bucket).select("token", "node", "n", "m", "long"), "large")
+    central = big.groupBy("node").agg((F.count("*") / F.any_value("long")).alias("share"))
+    heads = written(big.join(written(central, "central"), "node").groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("a")), "heads")
+    stars = big.join(heads, "token").where("a <> node").select("a", F.col("node").alias("b"))
+    candidates = written(pairs.union(stars).distinct(), "candidates")
     ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    ids = written(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")), "ends")
+    ids = written(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "ends")
     sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
-    first = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    enough = (common + F.lit(1e-9)) >= similarity * (F.size("set_a") + F.size("set_b") - common)
-    labels = connected_components(both.where(enough).select("a", "b"))
+    close = written(verified(candidates, sets, similarity), "close")
+    labels = connected_components(close)
+    more = links_between(big, labels, sets, similarity)
+    if more is not None:
+        labels = connected_components(close.union(more))
     linked = nodes.select("node", "first").join(labels, "node").select(F.col("node").alias("own"), "label", "first")
     groups = written(linked.groupBy("label").agg(F.min("first").alias("least")), "groups")
     named = written(linked.join(groups, "label").select("own", "least"), "named")

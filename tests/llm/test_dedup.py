@@ -137,3 +137,48 @@ def test_empty_tables(spark):
 def test_xxhash_of_the_engine_is_the_same(spark):
     assert spark.sql("SELECT xxhash64('a b c') AS h").first().h == simhash._signed(xxhash.xxh64_intdigest(b"a b c", 42))
     assert hashlib.sha256(b"").hexdigest() == spark.sql("SELECT sha2('', 256) AS h").first().h
+
+
+def plain_similar(texts, similarity=0.8):
+    """Least index reachable over all pairs of exact shingle sets."""
+    sets = {}
+    for i, t in enumerate(texts):
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return plain_groups(sets, lambda a, b: len(a & b) + 1e-9 >= similarity * len(a | b))
+
+
+def kept(spark, texts, **options):
+    return {r.doc_id: r.keep_id for r in simhash.similar_groups(frame(spark, texts), **options).collect()}
+
+
+def test_thousands_around_one_base(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(2000):
+        copy = list(base)
+        for at in rng.sample(range(300), 6):
+            copy[at] = word()
+        texts.append(" ".join(copy))  # 0.8 or more like the base, but hardly any other copy
+    texts.insert(1000, " ".join(base))
+    assert set(kept(spark, texts).values()) == {0}
+
+
+def test_groups_without_a_middle(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    texts, now = [], [word() for _ in range(120)]
+    for _ in range(150):  # each is like the next ones only
+        now = [*now[3:], *(word() for _ in range(3))]
+        texts.append(" ".join(now))
+    base = [word() for _ in range(120)]
+    for _ in range(150):  # links here and there
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    for bucket in (32, 2):
+        assert kept(spark, texts, max_bucket=bucket) == plain_similar(texts)
