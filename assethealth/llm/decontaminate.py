@@ -35,15 +35,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(SPACED).split()
 
 
-def shingle_set(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingle_set(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def shingle_share(part: list[bytes], words: list[bytes]) -> float:
+    """Share of a part's five-word shingles in ``words``; a shorter part is one run of its own length."""
+    size = min(SHINGLE, len(part))
+    own = shingle_set(part, size)
+    return len(own & shingle_set(words, size)) / len(own)
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
-    """A test item's words but those of its last sentence, and those; one sentence is both."""
+    """A test item's words but those of its last sentence, and those; short ends go to their neighbours, and one sentence is both."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if WORD.search(p)]
     while len(parts) > 1 and len(words_of(parts[-1])) < SHINGLE:
         parts[-2:] = [" ".join(parts[-2:])]
+    while len(parts) > 1 and len(words_of(parts[0])) < SHINGLE:
+        parts[:2] = [" ".join(parts[:2])]
     if len(parts) < 2:
         return words_of(text), words_of(text)
     return words_of(" ".join(parts[:-1])), words_of(parts[-1])
@@ -188,8 +197,8 @@ def contained(index: Index, text: str) -> dict[object, float]:
                 continue
             question, answer = index.questions[item]
             reach = max(index.window, 2 * (len(question) + len(answer)))
-            there = shingle_set(words[max(0, starts[p] - reach) : ends[p] + reach])
-            share = min(len(x & there) / len(x) for x in (shingle_set(question), shingle_set(answer)))
+            there = words[max(0, starts[p] - reach) : ends[p] + reach]
+            share = min(shingle_share(x, there) for x in (question, answer))
             if share >= OVERLAP:
                 out[item] = share
     return out

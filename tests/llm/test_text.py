@@ -171,3 +171,11 @@ def test_contamination(spark):
     assert sorted(r.doc_id for r in left.collect()) == [0, 4, 5, 6, 7] and left.columns == frame(spark, texts).columns
     assert decontaminate.find_contamination(frame(spark, texts), benchmark.limit(0)).where("size(items) > 0").count() == 0
     assert decontaminate.find_contamination(frame(spark, []), benchmark).count() == 0
+
+
+def test_items_with_short_questions_are_found(spark):
+    items = ["Why so? " + " ".join(f"reason{i}" for i in range(9)) + ".", "Which one? Name it. The river that runs past seven old mills.", "Quokka zither", "Ask. Tell."]
+    texts = [f"{'filler ' * 90}{t} {'other ' * 70}" for t in items] + ["Why so? nothing else", "zither quokka"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.find_contamination(frame(spark, texts), benchmark).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: []}
