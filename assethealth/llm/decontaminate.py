@@ -28,6 +28,8 @@ INDEX_WORDS = 2_000_000
 #: Share of an entry's own score that a passage must reach to be retrieved.
 RETRIEVED = 0.65
 SHINGLE, OVERLAP = 5, 0.8
+#: Changed words that a part of five or more may have in any case, if the whole item keeps ``OVERLAP`` of its words.
+CHANGED = 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,6 +60,45 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words_of(" ".join(parts[:-1])), words_of(parts[-1])
 
 
+def edits(part: list[bytes], words: list[bytes]) -> int:
+    """Words to change, insert or leave out to find ``part`` somewhere in ``words``, at least (Myers' bit vectors)."""
+    at: dict[bytes, int] = {}
+    for i, w in enumerate(part):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, now, least = full, 0, len(part), len(part)
+    for w in words:
+        same = at.get(w, 0)
+        flat = (((same & up) + up) ^ up) | same
+        more, less = down | full & ~(flat | up), up & flat
+        now += 1 if more & top else -1 if less & top else 0
+        least = min(least, now)
+        more, less, same = more << 1 & full, less << 1 & full, same | down
+        up, down = less | full & ~(same | more), more & same
+    return least
+
+
+def held(question: list[bytes], answer: list[bytes], there: list[bytes]) -> float:
+    """The lesser share of question and answer in ``there``, 0 if that does not make it a copy.
+
+    Either ``OVERLAP`` of the shingles of both are there, with anything
+    between them, or their words are, in order: ``OVERLAP`` of the item's
+    and, of each part, the same or all but ``CHANGED``.
+    """
+    parts = (question, answer)
+    share = min(shingle_share(x, there) for x in parts)
+    if share >= OVERLAP:
+        return share
+    count = Counter(there)
+    allowed = [max(CHANGED if len(x) >= SHINGLE else 0, int(len(x) * (1 - OVERLAP) + 1e-9)) for x in parts]
+    if any(sum((Counter(x) - count).values()) > a for x, a in zip(parts, allowed, strict=True)):
+        return 0.0
+    off = [edits(x, there) for x in parts]
+    if any(o > a for o, a in zip(off, allowed, strict=True)) or sum(off) > (1 - OVERLAP) * sum(map(len, parts)) + 1e-9:
+        return 0.0
+    return min(1 - o / len(x) for o, x in zip(off, parts, strict=True))
+
+
 @dataclass
 class Index:
     """Postings by term: entry numbers, impacts, and the largest impact of each block and of all.
@@ -66,7 +107,9 @@ class Index:
     entries of a block have impacts of one size.
 
     Impacts are BM25 terms divided by the entry's score for itself, so an
-    entry scores 1 for its own text and one threshold serves all.
+    entry scores 1 for its own text and one threshold serves all. Where a few
+    rare words have most of an entry's score, its impacts are raised, so that
+    it scores ``RETRIEVED`` without any 1 - ``OVERLAP`` of its words.
     """
 
     terms: dict[bytes, int]
@@ -96,6 +139,8 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     for n, (c, (_, w)) in enumerate(zip(counts, pieces, strict=True)):
         raw = {t: log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * len(w) / mean)) for t, k in c.items()}
         own = sum(raw.values())
+        least = sum(sorted(raw.values())[: len(raw) - int(len(w) * (1 - OVERLAP) + 1e-9)])
+        own = min(own, least / RETRIEVED) if least > 0 else own
         for t, x in raw.items():
             entries[terms[t]].append(n)
             impacts[terms[t]].append(x / own)
@@ -176,7 +221,7 @@ def wand(index: Index, query: list[int], threshold: float, low: int, high: int)
 
 
 def contained(index: Index, text: str) -> dict[object, float]:
-    """Test items that the text holds, each with the lesser share of its question's and answer's shingles.
+    """Test items that the text holds, each with the lesser share of its question and answer that is there (``held``).
 
     Passages of twice the longest entry, each half over the last, cover every
     place an entry could stand. A passage is searched only if the sum of its
@@ -197,9 +242,8 @@ def contained(index: Index, text: str) -> dict[object, float]:
                 continue
             question, answer = index.questions[item]
             reach = max(index.window, 2 * (len(question) + len(answer)))
-            there = words[max(0, starts[p] - reach) : ends[p] + reach]
-            share = min(shingle_share(x, there) for x in (question, answer))
-            if share >= OVERLAP:
+            share = held(question, answer, words[max(0, starts[p] - reach) : ends[p] + reach])
+            if share:
                 out[item] = share
     return out
 
@@ -224,8 +268,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, index_words: int =
     """``doc_id, items, overlap`` for each row: test items in the text and the largest overlap (0 if none).
 
     Every passage of every whole text is a query. An item counts if the text
-    around the passage holds ``OVERLAP`` of the five-word shingles of both its
-    question and its answer. The index is sent to executors only in lots of
+    around the passage holds both its question and its answer, or nearly so
+    (``held``). The index is sent to executors only in lots of
     ``index_words`` words; a larger benchmark is searched lot by lot, each in a
     pass over the documents, and the findings are put together in the row.
     Null and empty texts hold nothing; items without words are never found; an

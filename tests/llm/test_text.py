@@ -179,3 +179,36 @@ def test_items_with_short_questions_are_found(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: list(r["items"]) for r in decontaminate.find_contamination(frame(spark, texts), benchmark).collect()}
     assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
+def test_items_with_changed_words_are_found(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join("abcdefghij"[i] for i in rng.integers(0, 10, 6))
+    item = [word() for _ in range(8)], [word() for _ in range(7)]
+    whole = lambda q, a: f"{' '.join(word() for _ in range(80))} {' '.join(q)}? {' '.join(a)}. {' '.join(word() for _ in range(60))}"
+    texts = []
+    for places in [(i,) for i in range(15)] + [(i, j) for i in range(15) for j in range(i)]:
+        words = [*item[0], *item[1]]
+        for at in places:
+            words[at] = word()
+        texts.append(whole(words[:8], words[8:]))
+    found = len(texts)
+    texts.append(whole(item[0], [word() for _ in range(7)]))  # the question alone
+    texts.append(whole(item[0][::-1], item[1][::-1]))  # its words in another order
+    benchmark = spark.createDataFrame([(0, f"{' '.join(item[0])}? {' '.join(item[1])}.")] + [(i, " ".join(word() for _ in range(20))) for i in range(1, 30)], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.find_contamination(frame(spark, texts), benchmark).where("size(items) > 0").collect()}
+    assert got == set(range(found))
+
+
+def test_edits_are_those_of_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        part, words = ([bytes([97 + x]) for x in rng.integers(0, 4, n)] for n in (rng.integers(1, 9), rng.integers(0, 25)))
+        row = list(range(len(part) + 1))
+        least = row[-1]
+        for w in words:
+            new = [0]
+            for i, p in enumerate(part):
+                new.append(min(row[i] + (p != w), row[i + 1] + 1, new[i] + 1))
+            row, least = new, min(least, new[-1])
+        assert decontaminate.edits(part, words) == least
