@@ -61,14 +61,15 @@ def training_position(share: Column, ramp: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, most: int = MOST_REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, position`` for each row.
+    """``doc_id, source, size, source_size, target, taken, position, takes`` for each row.
 
     Within a source, documents stand in the order of the MD5 of their doc_id;
     their words, laid end to end, are gone through again and again until the
     target is met, so each source takes its target to the word and a document
-    is taken ``most`` times at most. ``position`` is where the middle of a
-    document's first take falls in training (null if nothing is taken): the
-    inverse of its source's cumulative demand.
+    is taken ``most`` times at most. ``takes`` has one entry a take: its number,
+    its ``words`` and ``position``, where its middle falls in training: the
+    inverse of its source's cumulative demand. ``position`` beside it is that
+    of the first take (null if nothing is taken).
 
     The running sum of a source is made in two steps, over hash buckets and
     within each, so one source may hold any share of the rows; buckets grow in
@@ -96,19 +97,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[floa
     wanted = F.round("target").cast("long")
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("at") - F.lit(i) * F.col("source_size"))) for i in range(most)]
     placed = placed.withColumn("taken", sum(takes[1:], takes[0]).cast("long"))
-    middle = (F.col("at") + F.least(F.col("size"), "taken") / 2) / F.nullif(F.col("target"), F.lit(0.0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, training_position(middle, F.col("ramp"))).alias("position"))
+    middle = lambda i: (F.col("at") + F.lit(i) * F.col("source_size") + takes[i] / 2) / F.nullif(F.col("target"), F.lit(0.0))
+    each = [F.struct(F.lit(i + 1).alias("take"), takes[i].cast("long").alias("words"), training_position(middle(i), F.col("ramp")).alias("position")) for i in range(most)]
+    first = F.when(F.col("taken") > 0, training_position(middle(0), F.col("ramp"))).alias("position")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", first, F.filter(F.array(*each), lambda x: x["words"] > 0).alias("takes"))
 
 
 def curriculum(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents that the mix takes, range-sorted by training position.
+    """The documents that the mix takes, range-sorted by the training position of their first take.
 
     All columns of ``docs`` (those the mix adds give way to its own), with
-    ``taken`` and ``position``. Rows meet their place by doc_id; where doc_ids
-    repeat, by size too.
+    ``taken``, ``position`` and ``takes``. Rows meet their place by doc_id;
+    where doc_ids repeat, by size too.
     """
-    own = ["size", "source_size", "target", "taken", "position"]
+    return in_training_order(taken_rows(docs, **options))
+
+
+def schedule(docs: DataFrame, **options: object) -> DataFrame:
+    """One row a take, range-sorted by training position: repeats come over the rest of training.
+
+    As ``curriculum``, but ``taken`` is the words of this take, ``position``
+    its own, and ``take`` its number from 1.
+    """
+    rows = taken_rows(docs.drop("take"), **options).withColumn("takes", F.explode("takes"))
+    rows = rows.withColumns({"take": F.col("takes.take"), "taken": F.col("takes.words"), "position": F.col("takes.position")})
+    return in_training_order(rows.drop("takes"))
+
+
+def in_training_order(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def taken_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes words, with the mix's columns."""
+    own = ["size", "source_size", "target", "taken", "position", "takes"]
     mixed = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), *own).dropDuplicates(["_id", "size"])
     rows = docs.drop(*own).withColumn("_size", word_count())
-    joined = rows.join(mixed, F.expr("doc_id <=> _id AND _size = size")).drop("_id", "_size")
-    return joined.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return rows.join(mixed, F.expr("doc_id <=> _id AND _size = size")).drop("_id", "_size")

@@ -212,3 +212,25 @@ def test_edits_are_those_of_brute_force():
                 new.append(min(row[i] + (p != w), row[i + 1] + 1, new[i] + 1))
             row, least = new, min(least, new[-1])
         assert decontaminate.edits(part, words) == least
+
+
+def test_every_take_has_its_place(spark):
+    rows = [(i, "w " * (1 + i % 7), "a" if i < 60 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = mixing.schedule(docs).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got) and 0 <= got[0].position and got[-1].position <= 1
+    words = {}
+    for r in got:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.taken
+        assert r.text == rows[r.doc_id][1]
+    assert words == {i: r.taken for i, r in mixed.items() if r.taken}
+    # a source's words go on to the end of training, in the order of its demand
+    for s, ramp in (("a", 0.5), ("b", 1.0)):
+        met, target = 0, next(r.target for r in mixed.values() if r.source == s)
+        for r in (r for r in got if r.source == s):
+            t = r.position
+            assert abs((t + (ramp - 1) * t * t / 2) / ((1 + ramp) / 2) - (met + r.taken / 2) / target) < 1e-6
+            met += r.taken
+        assert abs(met - target) <= 1
+    assert max(r["take"] for r in got) > 1 and mixing.schedule(docs.limit(0)).count() == 0
