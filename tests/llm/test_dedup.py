@@ -182,3 +182,16 @@ def test_groups_without_a_middle(spark):
     rng.shuffle(texts)
     for bucket in (32, 2):
         assert kept(spark, texts, max_bucket=bucket) == plain_similar(texts)
+
+
+def test_passages_added_cut_and_replaced(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(rng.choice([40, 120, 300]))]
+        n = len(base)
+        cut, new = int(n * rng.uniform(0.05, 0.22)), [word() for _ in range(n)]
+        swap = int(n * rng.uniform(0.02, 0.12))
+        texts += [" ".join(x) for x in (base, base + new[:cut], base[: n - cut], base[: n // 3] + new[:swap] + base[n // 3 + swap :])][:: 1 if k % 2 else -1]
+    assert kept(spark, texts) == plain_similar(texts)
