@@ -182,6 +182,26 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "prefix": "array<long>"})
 
 
+def possible(candidates: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``candidates(a, b)`` that can have ``similarity`` by their prefixes.
+
+    Of two sets in one order, what they share lies in both prefixes or after
+    the prefix that ends first, so it is at most the prefixes' common part and
+    the longer rest. Prefixes are a fifth of the sets and spare most of them.
+    """
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
+    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest + F.lit(1e-6)
+    both = candidates.join(one, "a").join(two, "b")
+    return both.where(most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``node, hashes`` of the ``wanted(node)``, made again from their texts."""
+    ids = written(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "ends")
+    return written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
+
+
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``candidates(a, b)`` whose sets have ``similarity`` or more."""
     first = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
@@ -225,7 +245,7 @@ def block_links(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("one", "two").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def links_between(big: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+def links_between(big: DataFrame, labels: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame | None:
     """All links ``a, b`` between different ``labels`` of texts that share a bucket of ``big(token, node, n, m)``; none if each has one label.
 
     Every such pair of texts is compared, in blocks of texts of like size and
@@ -247,7 +267,7 @@ def links_between(big: DataFrame, labels: DataFrame, sets: DataFrame, similarity
     sizes = written(homes.groupBy("home", "part", "fold").agg(F.count("*").alias("c")), "parts-sizes")
     homes = homes.join(sizes, ["home", "part", "fold"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / room)))
     homes = written(homes.select("node", "label", "fold", F.xxhash64("home", "part", "fold", "slot").alias("block")), "placed")
-    blocks = homes.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
+    blocks = homes.join(sets(homes.select("node")), "node").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
     blocks = written(blocks, "blocks")
     meet = known.select("token", "node").join(homes, "node").groupBy("token", "block", "fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     meet = written(meet, "meet")
@@ -263,7 +283,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     """``node, doc_id, keep_id``: documents grouped by links of ``similarity`` (Jaccard, distinct ``size``-word shingles) or more.
 
     Candidates share a shingle of their ``prefixes``, which no pair of
-    ``similarity`` fails to do; each is verified on the exact shingle sets.
+    ``similarity`` fails to do, and enough of them; each is verified on the exact shingle sets.
     Buckets of up to ``max_bucket`` texts are compared pair by pair. In larger
     ones all texts are first compared with the one that shares most of its
     prefix, the likely original; then every pair that is not yet joined is
@@ -284,13 +304,12 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     central = big.groupBy("node").agg((F.count("*") / F.any_value("long")).alias("share"))
     heads = written(big.join(written(central, "central"), "node").groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("a")), "heads")
     stars = big.join(heads, "token").where("a <> node").select("a", F.col("node").alias("b"))
-    candidates = written(pairs.union(stars).distinct(), "candidates")
+    candidates = written(possible(written(pairs.union(stars).distinct(), "drawn"), nodes, similarity), "candidates")
     ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    ids = written(nodes.join(ends, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "ends")
-    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
+    sets = sets_of(ends, nodes, docs, size)
     close = written(verified(candidates, sets, similarity), "close")
     labels = connected_components(close)
-    more = links_between(big, labels, sets, similarity)
+    more = links_between(big, labels, lambda wanted: sets_of(wanted, nodes, docs, size), similarity)
     if more is not None:
         labels = connected_components(close.union(more))
     linked = nodes.select("node", "first").join(labels, "node").select(F.col("node").alias("own"), "label", "first")
