@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +17,8 @@ from pyspark.sql.types import StructType
 
 
 _OWN: dict[str, str] = {}
+#: Bytes of text, and rows, that a Python task works on at a time, about.
+PIECE_BYTES, PIECE_ROWS = 4 << 20, 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,11 +71,20 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``PIECE_BYTES`` of text and ``PIECE_ROWS``, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(np.maximum(sizes, PIECE_BYTES // PIECE_ROWS)) // PIECE_BYTES
+    ends = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(ends, ends[1:], strict=False):
+        yield batch.slice(low, high - low)
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: dict[str, str]) -> DataFrame:
     """``rows`` without ``text``, and the columns that ``make()(texts)`` gives for each batch.
 
     ``make`` runs once a task. ``fields`` has the new columns' Spark types.
-    Batches stay in Arrow, so the other columns, nulls included, pass as they are.
+    Batches come in ``pieces`` and stay in Arrow, so the other columns, nulls included, pass as they are.
     """
     text = rows.withColumn("text", text_or_empty())
     others = [f for f in rows.schema if f.name != "text"]
@@ -80,7 +93,7 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             new = f(b.column("text").to_pylist())
             kept = [b.column(n) for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(new[k], arrow.field(k).type, from_pandas=True) for k in fields)], names=[x.name for x in schema])
@@ -93,7 +106,7 @@ def keep_rows(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             yield b.filter(pa.array(f([t or "" for t in b.column("text").to_pylist()]), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

@@ -131,9 +131,12 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``node`` and ``hashes``, the distinct shingle hashes of each text."""
 
     def make() -> Callable[[list[str]], dict]:
+        def one(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+            return xxhash.xxh3_128_digest(b" ".join(words)), shingle_hashes(words, size)
+
         def columns(texts: list[str]) -> dict:
-            words = [t.encode().lower().split() for t in texts]
-            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "hashes": [shingle_hashes(w, size) for w in words]}
+            rows = [one(t.encode().lower().split()) for t in texts]
+            return {"node": [r[0] for r in rows], "hashes": [r[1] for r in rows]}
 
         return columns
 
@@ -170,12 +173,15 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
-            return h[:n]
+            return h[:n].copy()  # a view would hold the whole set
+
+        def one(words: list[bytes]) -> tuple[bytes, int, np.ndarray]:
+            h = shingle_hashes(words, size)
+            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), prefix(h)
 
         def columns(texts: list[str]) -> dict:
-            words = [t.encode().lower().split() for t in texts]
-            sets = [shingle_hashes(w, size) for w in words]
-            return {"node": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "n": [len(h) for h in sets], "prefix": [prefix(h) for h in sets]}
+            rows = [one(t.encode().lower().split()) for t in texts]
+            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "prefix"))}
 
         return columns
 
