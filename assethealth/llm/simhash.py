@@ -119,6 +119,8 @@ def near_dup_groups(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame
 COMMON, COUNTED = 500_000, 20_000
 #: Texts of a block, and shingles of a block, about.
 BLOCK, BLOCK_SHINGLES = 64, 65_536
+#: Bits of a set's parity map.
+PARITY = 1024
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -127,6 +129,12 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64, len(s)).view(np.int64))
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of hashes fall on i: two maps differ in no more bits than their sets do in hashes."""
+    odd = np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``node`` and ``hashes``, the distinct shingle hashes of each text."""
 
@@ -144,20 +152,20 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of about ``COUNTED`` documents have, sorted, and their counts.
+    """Shingles that several of about ``COUNTED`` documents have, sorted, and their counts.
 
     They only set the order in ``prefixes``; any order gives the same pairs.
     """
     every = max(1, round(docs.count() / COUNTED))
     some = shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), size)
-    counts = written(some.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 2"), "counts")
+    counts = written(some.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= total / COMMON).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, and ``prefix``, the rarest of them.
+    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, ``prefix``, the rarest of them, and the set's ``parity_map``.
 
     Two sets of ``similarity`` or more have that share of either in common. So
     with all shingles in one order, each set's first n - ceil(similarity * n)
@@ -175,121 +183,157 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
             return h[:n].copy()  # a view would hold the whole set
 
-        def one(words: list[bytes]) -> tuple[bytes, int, np.ndarray]:
+        def one(words: list[bytes]) -> tuple:
             h = shingle_hashes(words, size)
-            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), prefix(h)
+            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), prefix(h), parity_map(h)
 
         def columns(texts: list[str]) -> dict:
             rows = [one(t.encode().lower().split()) for t in texts]
-            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "prefix"))}
+            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "prefix", "parity"))}
 
         return columns
 
-    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "prefix": "array<long>"})
+    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "prefix": "array<long>", "parity": "array<long>"})
 
 
-def possible(candidates: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``candidates(a, b)`` that can have ``similarity`` by their prefixes.
+def possible(drawn: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``drawn(a, b, common)`` that can have ``similarity``.
 
-    Of two sets in one order, what they share lies in both prefixes or after
-    the prefix that ends first, so it is at most the prefixes' common part and
-    the longer rest. Prefixes are a fifth of the sets and spare most of them.
+    ``common`` shingles of both prefixes are in small buckets; no more than
+    the lesser number of either's in ``large`` ones come to those. All others
+    that two sets share come after the prefix that ends first, so they are at
+    most the longer rest. Parity maps bound the shared shingles too: sets
+    differ in at least as many hashes as their maps do in bits.
     """
-    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "ab")
-    rest = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
-    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest + F.lit(1e-6)
-    both = candidates.join(one, "a").join(two, "b")
-    return both.where(most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    names = ("n", "long", "large", "parity")
+    one, two = (known.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    both = drawn.join(one, "a").join(two, "b")
+    total = F.col("n_a") + F.col("n_b")
+    least = F.lit(similarity / (1 + similarity)) * total - F.lit(1e-6)
+    by_prefix = F.col("common") + F.least("large_a", "large_b") + F.greatest(F.col("n_a") - F.col("long_a"), F.col("n_b") - F.col("long_b"))
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where((by_prefix >= least) & ((total - apart) / 2 >= least)).select("a", "b")
 
 
-def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``node, hashes`` of the ``wanted(node)``, made again from their texts."""
-    ids = written(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "ends")
-    return written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["node"]), "sets")
+def sets_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``id, hashes`` of the ``wanted(id)``, made again from their texts."""
+    named = written(firsts.join(wanted, "id", "left_semi").select("node", "id", "first"), "ends")
+    texts = docs.join(named.select(F.col("first").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    return written(shingle_sets(texts, size).join(named.select("node", "id"), "node").select("id", "hashes").dropDuplicates(["id"]), "sets")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``candidates(a, b)`` whose sets have ``similarity`` or more."""
-    first = candidates.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
+    first = candidates.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.where((common + F.lit(1e-9)) >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def _sides(batch: pa.RecordBatch, row: int, field: str) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Labels and the arrays of ``field`` of the two lists in a row of block pairs."""
+    out = []
+    for name in ("one", "two"):
+        v = batch.column(name)[row].values
+        out.append((v.field("label").to_numpy(zero_copy_only=False), [x.values.to_numpy(zero_copy_only=False) for x in v.field(field)]))
+    return out
+
+
+def possible_blocks(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Rows ``block_a, block_b`` of ``pairs`` with a pair of texts, of different labels, that can have ``similarity`` by their parity maps."""
+
+    def able(batch: pa.RecordBatch, row: int) -> bool:
+        (la, ma), (lb, mb) = _sides(batch, row, "parity")
+        na, nb = (batch.column(x)[row].values.field("n").to_numpy(zero_copy_only=False) for x in ("one", "two"))
+        ga, gb = (np.unpackbits(np.array(m, "<i8").view(np.uint8), axis=1).astype(np.float32) for m in (ma, mb))
+        total = na[:, None] + nb[None, :]
+        apart = ga.sum(1)[:, None] + gb.sum(1)[None, :] - 2 * (ga @ gb.T)
+        return bool(((la[:, None] != lb[None, :]) & ((total - apart) / 2 >= similarity / (1 + similarity) * total - 1e-6)).any())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["block_a", "block_b"]).filter(pa.array([able(batch, i) for i in range(batch.num_rows)], pa.bool_()))
+
+    return pairs.select("block_a", "block_b", "one", "two").mapInArrow(run, "block_a long, block_b long")
+
+
 def block_links(pairs: DataFrame, similarity: float) -> DataFrame:
     """Distinct ``a, b``: labels with a link between them, from rows of two lists ``one`` and ``two`` of ``label, hashes``."""
 
+    def found(batch: pa.RecordBatch, row: int) -> set[tuple[int, int]]:
+        (la, sa), (lb, sb) = _sides(batch, row, "hashes")
+        na, nb = (np.array([len(x) for x in s]) for s in (sa, sb))
+        # shingles of one side alone cannot be common
+        known = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
+        common = np.zeros((len(sa), len(sb)), np.float32)
+        ma, mb = ([np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]) for x in s] for s in (sa, sb))
+        for at in range(0, len(known), 16384):
+            grids = []
+            for m in (ma, mb):
+                grid = np.zeros((len(m), min(16384, len(known) - at)), np.float32)
+                for k, x in enumerate(m):
+                    grid[k, x[(x >= at) & (x < at + 16384)] - at] = 1
+                grids.append(grid)
+            common += grids[0] @ grids[1].T
+        close = (la[:, None] != lb[None, :]) & (common + 1e-9 >= similarity * (na[:, None] + nb[None, :] - common))
+        return {(int(la[x]), int(lb[y])) for x, y in zip(*np.nonzero(close), strict=True)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
-            for i in range(batch.num_rows):
-                sides = []
-                for name in ("one", "two"):
-                    v = batch.column(name)[i].values
-                    lists = v.field("hashes")
-                    sides.append((v.field("label").to_pylist(), [x.values.to_numpy(zero_copy_only=False) for x in lists]))
-                (la, sa), (lb, sb) = sides
-                places = {x: k for k, x in enumerate(dict.fromkeys(la + lb))}
-                apart = np.array([places[x] for x in la])[:, None] != np.array([places[x] for x in lb])[None, :]
-                na, nb = (np.array([len(x) for x in s]) for s in (sa, sb))
-                # shingles of one side alone cannot be common
-                known = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
-                common = np.zeros((len(sa), len(sb)), np.float32)
-                ma, mb = ([np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]) for x in s] for s in (sa, sb))
-                for at in range(0, len(known), 16384):
-                    grids = []
-                    for m in (ma, mb):
-                        grid = np.zeros((len(m), min(16384, len(known) - at)), np.float32)
-                        for k, x in enumerate(m):
-                            grid[k, x[(x >= at) & (x < at + 16384)] - at] = 1
-                        grids.append(grid)
-                    common += grids[0] @ grids[1].T
-                close = apart & (common + 1e-9 >= similarity * (na[:, None] + nb[None, :] - common))
-                found.update((la[x], lb[y]) for x, y in zip(*np.nonzero(close), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-
-    return pairs.select("one", "two").mapInArrow(run, "a binary, b binary").distinct()
-
-
-def links_between(big: DataFrame, labels: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame | None:
-    """All links ``a, b`` between different ``labels`` of texts that share a bucket of ``big(token, node, n, m)``; none if each has one label.
+            links = sorted(set().union(*(found(batch, i) for i in range(batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("one", "two").mapInArrow(run, "a long, b long").distinct()
+
+
+def links_between(big: DataFrame, labels: DataFrame, known: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame | None:
+    """All links ``a, b`` between different ``labels`` of texts that share a bucket of ``big(token, id, n, m)``; none if each has one label.
 
     Every such pair of texts is compared, in blocks of texts of like size and
     by the same bucket, of one label where a label fills blocks: two blocks
     meet once, if they share a token and are not of one and the same label.
+    Parity maps go first; sets only to pairs of blocks that these leave open.
     """
-    known = big.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = written(known, "labelled")
-    open_ = written(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "open")
+    rows = big.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = written(rows, "labelled")
+    open_ = written(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "open")
     if open_.isEmpty():
         return None
-    known = written(known.join(open_, "token"), "open-buckets")
-    homes = known.groupBy("node").agg(F.max(F.struct("m", "token"))["token"].alias("home"), F.any_value("label").alias("label"), F.any_value("n").alias("n"))
+    rows = written(rows.join(open_, "token"), "open-buckets")
+    homes = rows.groupBy("id").agg(F.max(F.struct("m", "token"))["token"].alias("home"), F.any_value("label").alias("label"), F.any_value("n").alias("n"))
     homes = written(homes.withColumn("fold", F.floor(F.log2("n")).cast("int")), "homes")
     many = written(homes.groupBy("home", "label").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK).select(F.col("home").alias("_home"), F.col("label").alias("_label")), "many")
     homes = homes.join(many, (F.col("home") == F.col("_home")) & (F.col("label") == F.col("_label")), "left").drop("_home")
-    homes = written(homes.withColumn("part", F.coalesce("_label", F.lit("").cast("binary"))).drop("_label"), "parts")
+    homes = written(homes.withColumn("part", F.coalesce("_label", F.lit(-1).cast("long"))).drop("_label"), "parts")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2), F.col("fold"))))
     sizes = written(homes.groupBy("home", "part", "fold").agg(F.count("*").alias("c")), "parts-sizes")
-    homes = homes.join(sizes, ["home", "part", "fold"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / room)))
-    homes = written(homes.select("node", "label", "fold", F.xxhash64("home", "part", "fold", "slot").alias("block")), "placed")
-    blocks = homes.join(sets(homes.select("node")), "node").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
-    blocks = written(blocks, "blocks")
-    meet = known.select("token", "node").join(homes, "node").groupBy("token", "block", "fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    homes = homes.join(sizes, ["home", "part", "fold"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / room)))
+    homes = written(homes.select("id", "label", "fold", F.xxhash64("home", "part", "fold", "slot").alias("block")), "placed")
+    meet = rows.select("token", "id").join(homes, "id").groupBy("token", "block", "fold").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     meet = written(meet, "meet")
     one, two = (meet.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "fold", "lo", "hi")]) for x in "ab")
     mixed = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
     pairs = one.join(two, "token").where((F.col("block_a") <= F.col("block_b")) & (F.abs(F.col("fold_a") - F.col("fold_b")) <= 1) & mixed)
     pairs = written(pairs.select("block_a", "block_b").distinct(), "block-pairs")
-    pairs = pairs.join(blocks.select(F.col("block").alias("block_a"), F.col("members").alias("one")), "block_a")
-    return block_links(pairs.join(blocks.select(F.col("block").alias("block_b"), F.col("members").alias("two")), "block_b"), similarity)
+
+    def met(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+        pairs = pairs.join(blocks.select(F.col("block").alias("block_a"), F.col("members").alias("one")), "block_a")
+        return pairs.join(blocks.select(F.col("block").alias("block_b"), F.col("members").alias("two")), "block_b")
+
+    maps = homes.join(known.select("id", "n", "parity"), "id").groupBy("block").agg(F.collect_list(F.struct("label", "n", "parity")).alias("members"))
+    pairs = written(possible_blocks(met(pairs, written(maps, "maps")), similarity), "open-pairs")
+    if pairs.isEmpty():
+        return None
+    wanted = written(homes.join(pairs.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct(), "block", "left_semi"), "open-blocks")
+    blocks = wanted.join(sets(wanted.select("id")), "id").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
+    return block_links(met(pairs, written(blocks, "blocks")), similarity)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``node, doc_id, keep_id``: documents grouped by links of ``similarity`` (Jaccard, distinct ``size``-word shingles) or more.
 
     Candidates share a shingle of their ``prefixes``, which no pair of
-    ``similarity`` fails to do, and enough of them; each is verified on the exact shingle sets.
+    ``similarity`` fails to do, and can have it (``possible``); each is verified on the exact shingle sets.
     Buckets of up to ``max_bucket`` texts are compared pair by pair. In larger
     ones all texts are first compared with the one that shares most of its
     prefix, the likely original; then every pair that is not yet joined is
@@ -298,30 +342,34 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     texts have one shingle set, the empty one, and form one group; a null
     doc_id never names a group.
     """
-    rows = written(prefixes(docs, size, similarity), "prefixes")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "nodes")
-    keyed = nodes.select("node", "n", F.size("prefix").alias("long"), F.explode("prefix").alias("token"))
+    rows = written(prefixes(docs, size, similarity).withColumn("id", F.monotonically_increasing_id()), "prefixes")
+    firsts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"), F.count("*").alias("times")), "firsts")
+    again = firsts.where("times > 1").select("node", F.col("id").alias("kept"))
+    again = written(rows.select("node", "id").join(again, "node").where("id <> kept").select("id"), "again")
+    texts = rows.join(again, "id", "left_anti").select("id", "n", F.size("prefix").alias("long"), "prefix", "parity")
+    keyed = texts.select("id", "n", F.explode("prefix").alias("token"))
     sizes = written(keyed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
     shared = written(keyed.join(sizes, "token"), "buckets")
-    members = shared.where(F.col("m") <= max_bucket).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all")).select("all").distinct()
-    fits = lambda x: (x["node"] > F.col("one.node")) & (F.least(x["n"], F.col("one.n")) + F.lit(1e-9) >= similarity * F.greatest(x["n"], F.col("one.n")))
-    pairs = members.select("all", F.explode("all").alias("one")).select(F.col("one.node").alias("a"), F.explode(F.filter("all", fits)).alias("two")).select("a", F.col("two.node").alias("b"))
-    big = written(shared.where(F.col("m") > max_bucket).select("token", "node", "n", "m", "long"), "large")
-    central = big.groupBy("node").agg((F.count("*") / F.any_value("long")).alias("share"))
-    heads = written(big.join(written(central, "central"), "node").groupBy("token").agg(F.max(F.struct("share", "node"))["node"].alias("a")), "heads")
-    stars = big.join(heads, "token").where("a <> node").select("a", F.col("node").alias("b"))
-    candidates = written(possible(written(pairs.union(stars).distinct(), "drawn"), nodes, similarity), "candidates")
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    sets = sets_of(ends, nodes, docs, size)
+    members = shared.where(F.col("m") <= max_bucket).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("all")).groupBy("all").agg(F.count("*").alias("common"))
+    fits = lambda x: (x["id"] > F.col("one.id")) & (F.least(x["n"], F.col("one.n")) + F.lit(1e-9) >= similarity * F.greatest(x["n"], F.col("one.n")))
+    pairs = members.select("all", "common", F.explode("all").alias("one")).select(F.col("one.id").alias("a"), F.explode(F.filter("all", fits)).alias("two"), "common").select("a", F.col("two.id").alias("b"), "common")
+    big = written(shared.where(F.col("m") > max_bucket), "large")
+    central = written(big.groupBy("id").agg(F.count("*").alias("large")).join(texts.select("id", "long"), "id").select("id", "large", (F.col("large") / F.col("long")).alias("share")), "central")
+    heads = written(big.join(central, "id").groupBy("token").agg(F.max(F.struct("share", "id"))["id"].alias("a")), "heads")
+    stars = big.join(heads, "token").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(0).cast("long").alias("common"))
+    drawn = written(pairs.union(stars.distinct()).groupBy("a", "b").agg(F.sum("common").alias("common")), "drawn")
+    known = texts.join(central.select("id", "large"), "id", "left").select("id", "n", "long", F.coalesce("large", F.lit(0)).alias("large"), "parity")
+    candidates = written(possible(drawn, known, similarity), "candidates")
+    sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs, size)
     close = written(verified(candidates, sets, similarity), "close")
     labels = connected_components(close)
-    more = links_between(big, labels, lambda wanted: sets_of(wanted, nodes, docs, size), similarity)
+    more = links_between(big, labels, known, lambda wanted: sets_of(wanted, firsts, docs, size), similarity)
     if more is not None:
         labels = connected_components(close.union(more))
-    linked = nodes.select("node", "first").join(labels, "node").select(F.col("node").alias("own"), "label", "first")
+    linked = firsts.select("id", "first").join(labels, F.col("id") == F.col("node")).select("id", "label", "first")
     groups = written(linked.groupBy("label").agg(F.min("first").alias("least")), "groups")
-    named = written(linked.join(groups, "label").select("own", "least"), "named")
-    kept = written(nodes.join(named, F.col("node") == F.col("own"), "left").select("node", F.coalesce("least", "first").alias("keep_id")), "kept")
+    named = written(linked.join(groups, "label").select(F.col("id").alias("own"), "least"), "named")
+    kept = written(firsts.join(named, F.col("id") == F.col("own"), "left").select("node", F.coalesce("least", "first").alias("keep_id")), "kept")
     return rows.select("node", "doc_id").join(kept, "node")
 
 
