@@ -218,7 +218,7 @@ def possible(drawn: DataFrame, known: DataFrame, similarity: float) -> DataFrame
 def sets_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``id, hashes`` of the ``wanted(id)``, made again from their texts."""
     named = written(firsts.join(wanted, "id", "left_semi").select("node", "id", "first"), "ends")
-    texts = docs.join(named.select(F.col("first").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    texts = docs.select("doc_id", "text").join(named.select(F.col("first").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
     return written(shingle_sets(texts, size).join(named.select("node", "id"), "node").select("id", "hashes").dropDuplicates(["id"]), "sets")
 
 
