@@ -11,8 +11,9 @@ from assethealth.llm.shared import text_or_empty
 
 ROUNDS = 8
 # Every part starts where no part of the same kind can run on to the left, and
-# repeats possessively, so a text is gone through once.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# repeats possessively, so a text is gone through once. Nothing without a bound
+# repeats but single characters: a repeated group would take a stack frame a turn.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*+"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
@@ -22,6 +23,8 @@ PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, CARD, PHONE))
 
 #: A Gregorian cycle of 400 years from here has exactly 189 * 773 days.
 CYCLE_START, CYCLE_DAYS, CYCLE_A, CYCLE_B = "1700-01-01", 146097, 189, 773
+#: Of these, 9 * 9833 are after the twelfth of their month.
+LATE_A, LATE_B = 9, 9833
 
 
 def _number(key: str, kind: str, step: Column, value: Column) -> Column:
@@ -53,12 +56,14 @@ def feistel_text(value: Column, key: str, kind: str) -> Column:
     def shifted(part: Column, other: Column, i: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other), 256)
 
-        def one(c: Column, at: Column) -> Column:
+        def one(c: Column, at: Column, stream: Column) -> Column:
             by = F.conv(F.substr(stream, at % 31 * 2 + 1, F.lit(4)), 16, 10).cast("int")
             turn = lambda first, n: F.char((F.pmod(F.ascii(c) - first + by, F.lit(n)) + first).cast("int"))
             return F.when(c.rlike("^[0-9]$"), turn(48, 10)).when(c.rlike("^[a-z]$"), turn(97, 26)).when(c.rlike("^[A-Z]$"), turn(65, 26)).otherwise(c)
 
-        return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), one), "")
+        # the stream is bound to a variable, so that it is made once and not for each character
+        chars = F.filter(F.split(part, ""), lambda c: c != "")
+        return F.transform(F.array(stream), lambda s: F.array_join(F.transform(chars, lambda c, at: one(c, at, s)), ""))[0]
 
     def step(acc: Column, i: Column) -> Column:
         return F.struct(acc["r"].alias("l"), shifted(acc["l"], acc["r"], i).alias("r"))
@@ -104,17 +109,41 @@ def _day(value: Column) -> Column:
     return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd/MM/yyyy"), F.try_to_date(value, "MM/dd/yyyy"), F.try_to_date(value, "dd.MM.yyyy"))
 
 
+def _start() -> Column:
+    return F.lit(CYCLE_START).cast("date")
+
+
+def late_number(day: Column) -> Column:
+    """Place of a day after the twelfth of its month among all such days, from 0."""
+    months = (F.year(day) - 1700) * 12 + F.month(day) - 1
+    return F.datediff(day, _start()) - 12 * (months + 1)
+
+
+def late_day(number: Column) -> Column:
+    """The day of that place: the months before it are about its place over the mean number of such days, give or take one."""
+    guess = F.floor(number * F.lit(4800 / (LATE_A * LATE_B))).cast("int")
+    days = F.transform(F.sequence(guess - 2, guess + 2), lambda m: F.date_add(_start(), (number + 12 * (m + 1)).cast("int")))
+    return F.filter(days, lambda d: (F.dayofmonth(d) > 12) & (late_number(d) == number))[0]
+
+
 def date_pseudonym(value: Column, key: str) -> Column:
-    """Days of the 400 years from 1700 are permuted, so one day stays one day in all its spellings."""
-    number = F.datediff(_day(value), F.lit(CYCLE_START).cast("date"))
-    pair = feistel_pair(F.floor(number / CYCLE_B), F.pmod(number, F.lit(CYCLE_B)), (CYCLE_A, CYCLE_B), key, "date")
+    """Days of the 400 years from 1700 are permuted, so one day stays one day in all its spellings but month first.
+
+    Those that can only be month first have days after the twelfth, and are
+    permuted among themselves: another day would be read day first.
+    """
+    day = _day(value)
+    number = F.datediff(day, _start())
+    any_day = feistel_pair(F.floor(number / CYCLE_B), F.pmod(number, F.lit(CYCLE_B)), (CYCLE_A, CYCLE_B), key, "date")
+    late = feistel_pair(F.floor(late_number(day) / LATE_B), F.pmod(late_number(day), F.lit(LATE_B)), (LATE_A, LATE_B), key, "late date")
 
     def written(p: Column) -> Column:
-        d = F.date_add(F.lit(CYCLE_START).cast("date"), (p["l"] * CYCLE_B + p["r"]).cast("int"))
-        by_month = F.try_to_date(value, "dd/MM/yyyy").isNull()
-        return F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).when(by_month, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+        d = F.date_add(_start(), (p["l"] * CYCLE_B + p["r"]).cast("int"))
+        return F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
 
-    return F.transform(F.array(pair), written)[0]
+    month_first = value.contains("/") & F.try_to_date(value, "dd/MM/yyyy").isNull()
+    by_month = F.transform(F.array(late), lambda p: F.date_format(late_day(p["l"] * LATE_B + p["r"]), "MM/dd/yyyy"))[0]
+    return F.when(month_first, by_month).otherwise(F.transform(F.array(any_day), written)[0])
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
@@ -130,9 +159,9 @@ def email_pseudonym(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match, or null if it is not valid: octets to 255, days that exist from 1700 to 2099, Luhn sums."""
+    """The kind of a match, or null if it is not valid: octets to 255 without leading zeros, days that exist from 1700 to 2099, Luhn sums."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    octets = F.forall(F.split(value, r"\."), lambda o: F.try_to_number(o, F.lit("999")) <= 255)
+    octets = F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     day = _day(value)
     return (
         F.when(value.contains("@"), "email")
@@ -158,16 +187,19 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     equal values stay equal across documents, different ones stay different,
     and the result is as valid as the original. What only looks like such a
     value (a wrong check digit, octet or day) is left alone. A null text stays
-    null; other columns are kept, but for ``n_<kind>`` of the same name.
+    null; other columns are kept, whatever their names, but for ``n_<kind>`` of
+    the same name. An empty table gives none; repeated rows stay so.
     """
     text = text_or_empty()
-    some = text.rlike("[0-9]|@")
     blank = F.array().cast("array<string>")
-    rows = docs.withColumns({"_found": F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(blank)})
-    rows = rows.withColumn("_found", F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))))
-    hit = F.exists("_found", lambda m: m["kind"].isNotNull())
-    new = F.transform("_found", lambda m: F.when(m["kind"].isNull(), m["value"]).otherwise(pseudonym(m["kind"], m["value"], key)))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
-    of_kind = lambda k: F.size(F.filter("_found", lambda m: m["kind"] == k)).cast("long")
+    found = F.when(text.rlike("[0-9]|@"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(blank)
+    marked = F.transform(found, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    rows = docs.select(F.struct("*").alias("row"), text.alias("body"), marked.alias("found"))
+    hit = F.exists("found", lambda m: m["kind"].isNotNull())
+    new = F.transform("found", lambda m: F.when(m["kind"].isNull(), m["value"]).otherwise(pseudonym(m["kind"], m["value"], key)))
+    joined = F.array_join(F.zip_with(F.split(F.col("body"), PATTERN, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
+    of_kind = lambda k: F.size(F.filter("found", lambda m: m["kind"] == k)).cast("long")
     counts = {f"n_{k}": of_kind(k) for k in KINDS}
-    return rows.withColumns({"text": F.when(hit, joined).otherwise(F.col("text"))} | counts).drop("_found")
+    kept = {c: F.col("row").getField(c) for c in docs.columns if c not in counts}
+    kept["text"] = F.when(hit, joined).otherwise(kept["text"])
+    return rows.select(*[v.alias(c) for c, v in (kept | counts).items()])
