@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assethealth.llm.shared import text_or_empty, written
-from assethealth.llm.spans import matches, no_matches
+from assethealth.llm.spans import matches
 
 # fixed values: the base patterns
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -14,7 +14,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of 16 or more; shorter runs hold no other
 HEX = r"[0-9a-f]{32,}"  # likewise
 # weak parts: each alone is common in clean text
 IDENTIFIER = r"(?i)(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,60}[a-z])(?=[A-Za-z0-9+/_-]{0,60}[A-Z])(?=[A-Za-z0-9+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{24,}={0,2}"
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}"  # with a small letter, a capital and a digit
 ENDPOINT = r"(?i)https?://[a-z0-9.-]+(?::[0-9]{2,5})?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{2,5}(?![0-9])"
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -49,8 +49,9 @@ def base_spans(text: Column) -> Column:
 def weak_spans(text: Column) -> Column:
     """Spans of the three weak kinds."""
     low = F.lower(text)
+    secret = F.filter(matches(text, SECRET), lambda m: m["value"].rlike("[a-z]") & m["value"].rlike("[A-Z]") & m["value"].rlike("[0-9]"))
     named = F.greatest(*[low.contains(w) for w in IDENTIFIER_WORDS])
-    return F.concat(_if(matches(text, IDENTIFIER), "identifier", named), _if(matches(text, SECRET), "secret", text.rlike(SECRET)), _if(matches(text, ENDPOINT), "endpoint", low.contains("http") | text.rlike(r"[0-9]:[0-9]{2}")))
+    return F.concat(_if(matches(text, IDENTIFIER), "identifier", named), _if(secret, "secret", text.rlike(SECRET)), _if(matches(text, ENDPOINT), "endpoint", low.contains("http") | text.rlike(r"[0-9]:[0-9]{2}")))
 
 
 def linked_spans(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -93,5 +94,3 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = written(linked, "linked")
     return found.join(linked, "doc", "left").select("doc_id", "base", F.coalesce("linked", _none()).alias("linked"))
 
-
-__all__ = ["KINDS", "base_spans", "linked_spans", "listed", "no_matches", "scan_secrets", "weak_spans"]
