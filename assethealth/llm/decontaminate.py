@@ -7,7 +7,7 @@ import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 from math import log
 
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from assethealth.llm.shared import keep_rows, map_texts
 
-WORD = re.compile(r"\w")
 SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -45,12 +44,12 @@ def shingle_share(part: list[bytes], words: list[bytes]) -> float:
     """Share of a part's five-word shingles in ``words``; a shorter part is one run of its own length."""
     size = min(SHINGLE, len(part))
     own = shingle_set(part, size)
-    return len(own & shingle_set(words, size)) / len(own)
+    return len(own & shingle_set(words, size)) / max(1, len(own))
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     """A test item's words but those of its last sentence, and those; short ends go to their neighbours, and one sentence is both."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if WORD.search(p)]
+    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if words_of(p)]
     while len(parts) > 1 and len(words_of(parts[-1])) < SHINGLE:
         parts[-2:] = [" ".join(parts[-2:])]
     while len(parts) > 1 and len(words_of(parts[0])) < SHINGLE:
@@ -99,6 +98,17 @@ def held(question: list[bytes], answer: list[bytes], there: list[bytes]) -> floa
     return min(1 - o / len(x) for o, x in zip(off, parts, strict=True))
 
 
+@dataclass
+class Lists:
+    """Lists of numbers, one after another in one array."""
+
+    begins: np.ndarray
+    values: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.begins[i] : self.begins[i + 1]]
+
+
 @dataclass
 class Index:
     """Postings by term: entry numbers, impacts, and the largest impact of each block and of all.
@@ -110,54 +120,64 @@ class Index:
     entry scores 1 for its own text and one threshold serves all. Where a few
     rare words have most of an entry's score, its impacts are raised, so that
     it scores ``RETRIEVED`` without any 1 - ``OVERLAP`` of its words.
+
+    Items go by their place in ``ids`` and ``texts``, so that items without an
+    id, or with one id, are told apart.
     """
 
     terms: dict[bytes, int]
-    entries: list[list[int]]
-    impacts: list[list[float]]
-    block_max: list[dict[int, float]]  # by block
+    entries: Lists
+    impacts: Lists
     begins: np.ndarray  # where a term's blocks begin in the two below
     blocks: np.ndarray
     bounds: np.ndarray
     most: np.ndarray
-    item_of: list[object]
-    questions: dict
+    item_of: np.ndarray
+    ids: list[object]
+    texts: list[str]
     window: int
+    cut: dict[int, tuple[list[bytes], list[bytes]]] = field(default_factory=dict)
+
+    def parts(self, item: int) -> tuple[list[bytes], list[bytes]]:
+        """Question and answer of an item, cut when first asked for."""
+        if item not in self.cut:
+            if len(self.cut) >= 10_000:  # made again when needed; emptied to bound memory
+                self.cut.clear()
+            self.cut[item] = question_and_answer(self.texts[item])
+        return self.cut[item]
 
 
 def build_index(items: list[tuple[object, str | None]]) -> Index | None:
-    pieces = [(i, w[at : at + PIECE]) for i, t in items for w in [words_of(t)] for at in range(0, max(1, len(w)), PIECE) if w]
+    pieces = [(i, w[at : at + PIECE]) for i, (_, t) in enumerate(items) for w in [words_of(t)] for at in range(0, max(1, len(w)), PIECE) if w]
     if not pieces:
         return None
     pieces.sort(key=lambda p: len(p[1]))
-    counts = [Counter(w) for _, w in pieces]
-    df = Counter(t for c in counts for t in c)
+    df = Counter(t for _, w in pieces for t in set(w))
     mean = sum(len(w) for _, w in pieces) / len(pieces)
     terms = {t: i for i, t in enumerate(sorted(df))}
-    entries: list[list[int]] = [[] for _ in terms]
-    impacts: list[list[float]] = [[] for _ in terms]
-    for n, (c, (_, w)) in enumerate(zip(counts, pieces, strict=True)):
-        raw = {t: log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * len(w) / mean)) for t, k in c.items()}
+    term_of, impact_of, sizes = [], [], []
+    for _, w in pieces:
+        raw = {t: log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * len(w) / mean)) for t, k in Counter(w).items()}
         own = sum(raw.values())
         least = sum(sorted(raw.values())[: len(raw) - int(len(w) * (1 - OVERLAP) + 1e-9)])
         own = min(own, least / RETRIEVED) if least > 0 else own
-        for t, x in raw.items():
-            entries[terms[t]].append(n)
-            impacts[terms[t]].append(x / own)
-    block_max: list[dict[int, float]] = []
-    for e, x in zip(entries, impacts, strict=True):
-        most: dict[int, float] = {}
-        for n, v in zip(e, x, strict=True):
-            most[n // BLOCK] = max(most.get(n // BLOCK, 0.0), v)
-        block_max.append(most)
-    begins = np.cumsum([0, *map(len, block_max), 0])  # the last is for unknown words
-    flat = [(b, v) for most in block_max for b, v in most.items()]
-    longest = max(len(w) for _, w in pieces)
-    return Index(terms, entries, impacts, block_max, begins, np.array([b for b, _ in flat]), np.array([v for _, v in flat]), np.array([max(x) for x in impacts] + [0.0]), [i for i, _ in pieces], {i: question_and_answer(t) for i, t in items if t}, 2 * longest)
-
-
-def passage_blocks(index: Index, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``passage, block, terms`` wherever a block can hold an entry that scores ``threshold`` for a passage.
+        term_of.append(np.fromiter((terms[t] for t in raw), np.int64, len(raw)))
+        impact_of.append(np.fromiter(raw.values(), float, len(raw)) / own)
+        sizes.append(len(raw))
+    term, impact, entry = np.concatenate(term_of), np.concatenate(impact_of), np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    order = np.lexsort((entry, term))
+    term, impact, entry = term[order], impact[order], entry[order]
+    places = np.searchsorted(term, np.arange(len(terms) + 2))  # the last is for unknown words
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(term) > 0) | (np.diff(entry // BLOCK) > 0)]))
+    most = np.append(np.maximum.reduceat(impact, places[:-2]), 0.0)
+    return Index(
+        terms, Lists(places, entry), Lists(places, impact), np.searchsorted(term[first], np.arange(len(terms) + 2)), entry[first] // BLOCK, np.maximum.reduceat(impact, first), most,
+        np.array([i for i, _ in pieces]), [i for i, _ in items], [t or "" for _, t in items], 2 * max(len(w) for _, w in pieces),
+    )
+
+
+def passage_blocks(index: Index, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """``passage, blocks, terms`` of each passage for which some block can hold an entry that scores ``threshold``.
 
     A passage is a range of ``ids``. The largest impacts of each block, summed
     over a passage's distinct terms, are an upper bound for all its entries.
@@ -172,30 +192,30 @@ def passage_blocks(index: Index, ids: np.ndarray, starts: np.ndarray, ends: np.n
         first, many = index.begins[term], index.begins[term + 1] - index.begins[term]
         places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
         bounds = np.bincount(np.repeat(passage, many) * number + index.blocks[places], index.bounds[places])
-        for hit in np.flatnonzero(bounds >= threshold - 1e-9).tolist():
-            p = hit // number
-            yield at + p, hit % number, term[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")]
+        hits, blocks = np.divmod(np.flatnonzero(bounds >= threshold - 1e-9), number)
+        for p in np.unique(hits).tolist():
+            yield at + p, blocks[hits == p].tolist(), term[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")]
 
 
 def search(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """All entries that score ``threshold`` or more for the query's terms, by block-max WAND."""
-    blocks = passage_blocks(index, query, np.array([0]), np.array([len(query)]), threshold) if len(query) else []
-    return [hit for _, b, terms in blocks for hit in wand(index, terms.tolist(), threshold - 1e-9, b * BLOCK, b * BLOCK + BLOCK)]
+    passages = passage_blocks(index, query, np.array([0]), np.array([len(query)]), threshold) if len(query) else []
+    return [hit for _, blocks, terms in passages for hit in wand(index, terms.tolist(), threshold - 1e-9, blocks)]
 
 
-def wand(index: Index, query: list[int], threshold: float, low: int, high: int) -> list[tuple[int, float]]:
-    """Entries from ``low`` to below ``high`` that score ``threshold`` or more.
+def wand(index: Index, query: list[int], threshold: float, able: list[int]) -> list[tuple[int, float]]:
+    """Entries that score ``threshold`` or more, by block-max WAND over the terms' whole lists.
 
     Cursors stand in the order of their entries. The pivot is the first at
     which the terms' largest impacts reach the threshold; no entry before it
-    can score enough, so all cursors before it jump there.
+    can score enough. If the pivot's block is not one of ``able``, whose block
+    maxima reach the threshold, all cursors up to it jump to the next that is;
+    else they meet at the pivot, which is scored.
     """
-    cursors = []
-    for t in query:
-        at = bisect_left(index.entries[t], low)
-        if at < len(index.entries[t]) and index.entries[t][at] < high:
-            cursors.append([index.entries[t][at], at, t, index.block_max[t][low // BLOCK]])
-    found = []
+    none = len(index.item_of)
+    lists = {t: index.entries[t] for t in query}
+    cursors = [[int(lists[t][0]), 0, t, float(index.most[t])] for t in query if len(lists[t])]
+    found, goes = [], set(able)
     while cursors:
         cursors.sort()
         total, pivot = 0.0, -1
@@ -207,21 +227,24 @@ def wand(index: Index, query: list[int], threshold: float, low: int, high: int)
         if pivot < 0:
             break
         target = cursors[pivot][0]
-        if cursors[0][0] == target:
-            score = sum(index.impacts[t][at] for e, at, t, _ in cursors if e == target)
+        if target // BLOCK not in goes:
+            k = bisect_left(able, target // BLOCK)
+            target = able[k] * BLOCK if k < len(able) else none
+        elif cursors[0][0] == target:
+            score = sum(float(index.impacts[t][at]) for e, at, t, _ in cursors if e == target)
             if score >= threshold:
                 found.append((target, score))
             target += 1
         for c in cursors:
             if c[0] < target:
-                c[1] = bisect_left(index.entries[c[2]], target, c[1])
-                c[0] = index.entries[c[2]][c[1]] if c[1] < len(index.entries[c[2]]) else high
-        cursors = [c for c in cursors if c[0] < high]
+                c[1] += int(np.searchsorted(lists[c[2]][c[1] :], target))
+                c[0] = int(lists[c[2]][c[1]]) if c[1] < len(lists[c[2]]) else none
+        cursors = [c for c in cursors if c[0] < none]
     return found
 
 
-def contained(index: Index, text: str) -> dict[object, float]:
-    """Test items that the text holds, each with the lesser share of its question and answer that is there (``held``).
+def contained(index: Index, text: str) -> dict[int, float]:
+    """Test items (places in the index) that the text holds, each with the lesser share of its question and answer that is there (``held``).
 
     Passages of twice the longest entry, each half over the last, cover every
     place an entry could stand. A passage is searched only if the sum of its
@@ -235,12 +258,12 @@ def contained(index: Index, text: str) -> dict[object, float]:
     ends = np.minimum(starts + index.window, len(words))
     able = sums[ends] - sums[starts] >= RETRIEVED
     starts, ends = starts[able], ends[able]
-    for p, block, terms in passage_blocks(index, ids, starts, ends, RETRIEVED):
-        for n, _ in wand(index, terms.tolist(), RETRIEVED - 1e-9, block * BLOCK, block * BLOCK + BLOCK):
-            item = index.item_of[n]
+    for p, blocks, terms in passage_blocks(index, ids, starts, ends, RETRIEVED):
+        for n, _ in wand(index, terms.tolist(), RETRIEVED - 1e-9, blocks):
+            item = int(index.item_of[n])
             if item in out:
                 continue
-            question, answer = index.questions[item]
+            question, answer = index.parts(item)
             reach = max(index.window, 2 * (len(question) + len(answer)))
             share = held(question, answer, words[max(0, starts[p] - reach) : ends[p] + reach])
             if share:
@@ -265,26 +288,33 @@ def index_lots(benchmark: DataFrame, index_words: int = INDEX_WORDS) -> Iterator
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """``doc_id, items, overlap`` for each row: test items in the text and the largest overlap (0 if none).
+    """``doc_id, items, overlap`` for each row: test items in the text, each item_id once, and the largest overlap (0 if none).
 
     Every passage of every whole text is a query. An item counts if the text
     around the passage holds both its question and its answer, or nearly so
     (``held``). The index is sent to executors only in lots of
     ``index_words`` words; a larger benchmark is searched lot by lot, each in a
     pass over the documents, and the findings are put together in the row.
-    Null and empty texts hold nothing; items without words are never found; an
-    empty benchmark finds nothing; repeated rows are searched repeatedly.
+
+    item_ids are of any type. An item without an id is found like any other
+    and listed as null; of two items with one id each is looked for. Null and
+    empty texts hold nothing; items without words (null, empty, punctuation
+    alone) are never found, and such lines of an item are passed over; an
+    empty benchmark finds nothing; repeated rows are searched repeatedly;
+    columns of other names are ignored.
     """
-    rows = docs.select("doc_id", "text", F.array().cast("array<struct<item:long,share:double>>").alias("found"))
+    kind = f"array<struct<item:{benchmark.schema['item_id'].dataType.simpleString()},share:double>>"
+    rows = docs.select("doc_id", "text", F.array().cast(kind).alias("found"))
     for index in index_lots(benchmark, index_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared) -> Callable[[list[str]], dict]:  # noqa: ANN001
-            return lambda texts: {"new": [[{"item": int(i), "share": s} for i, s in sorted(contained(shared.value, t).items())] for t in texts]}
+            index = shared.value
+            return lambda texts: {"new": [[{"item": index.ids[i], "share": s} for i, s in sorted(contained(index, t).items())] for t in texts]}
 
-        rows = map_texts(rows.withColumn("body", F.col("text")), make, {"new": "array<struct<item:long,share:double>>"})
+        rows = map_texts(rows.withColumn("body", F.col("text")), make, {"new": kind})
         rows = rows.select("doc_id", F.col("body").alias("text"), F.concat("found", "new").alias("found"))
-    items = F.array_sort(F.transform("found", lambda x: x["item"]))
+    items = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item"])))
     return rows.select("doc_id", items.alias("items"), F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("overlap"))
 
 
