@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ WEIGHTS = (5.0, 2.0, 1.0)
 RAMPS = (0.5, 1.0, 3.0)
 #: Documents that one step of the running sum holds, about.
 BUCKET_ROWS = 2000
+#: Columns that the mix adds to documents.
+OWN = ("size", "source_size", "target", "taken", "position", "takes")
 
 
 def word_count(column: str = "text") -> Column:
     """Number of runs of characters other than ASCII white space."""
-    return F.size(F.filter(F.split(text_or_empty(column), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    inner = F.btrim(text_or_empty(column), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, most: float = MOST_REPEATS) -> DataFrame:
@@ -69,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[floa
     is taken ``most`` times at most. ``takes`` has one entry a take: its number,
     its ``words`` and ``position``, where its middle falls in training: the
     inverse of its source's cumulative demand. ``position`` beside it is that
-    of the first take (null if nothing is taken).
+    of the first take (null if nothing is taken). Rows are range-sorted by it.
 
     The running sum of a source is made in two steps, over hash buckets and
     within each, so one source may hold any share of the rows; buckets grow in
@@ -78,39 +83,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[floa
     ordered by size, and equal rows change places without effect. An empty
     table gives none; extra columns are ignored. Reruns agree.
     """
-    rows = docs.select("doc_id", "source", word_count().alias("size")).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = written(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, ramps, most)
+    rows = written(sized(docs.select("doc_id", "source", "text")).drop("row"), "sizes")
+    mixed = placed(rows, weights, ramps, most, bucket_rows)
+    return in_training_order(mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "takes"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h`` (MD5 of doc_id), and the whole ``row``, whatever its columns are called."""
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return docs.select("doc_id", "source", word_count().alias("size"), h.alias("h"), F.struct("*").alias("row"))
+
+
+def placed(rows: DataFrame, weights: tuple[float, ...], ramps: tuple[float, ...], most: int, bucket_rows: int) -> DataFrame:
+    """``rows`` of ``sized`` with ``source_size, target, taken, position, takes``."""
     # a power of 16 buckets, by the first digits of the hash
-    total = F.count("*").cast("double")
-    digits = rows.agg(F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(total / bucket_rows, F.lit(1.0))) / 4)).cast("int").alias("digits"))
-    rows = rows.crossJoin(F.broadcast(digits)).withColumn("bucket", F.substr("h", F.lit(1), F.col("digits"))).drop("digits")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    digits = max(1, ceil(log2(max(rows.count() / bucket_rows, 1)) / 4))
+    rows = rows.withColumn("bucket", F.substr("h", F.lit(1), F.lit(digits)))
+    buckets = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "source-buckets")
+    targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ramps, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     starts = starts.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "bucket", "start", "source_size", "target", "ramp")
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.alias("p").join(starts.alias("s"), F.expr("p.source <=> s.source AND p.bucket = s.bucket"))
-    placed = placed.select("p.doc_id", "p.source", "size", "source_size", "target", "ramp", (F.col("start") + F.col("inner")).alias("at"))
+    found = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    found = found.alias("p").join(written(starts, "starts").alias("s"), F.expr("p.source <=> s.source AND p.bucket = s.bucket"))
+    found = found.select("p.*", "source_size", "target", "ramp", (F.col("start") + F.col("inner")).alias("at"))
     wanted = F.round("target").cast("long")
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - F.col("at") - F.lit(i) * F.col("source_size"))) for i in range(most)]
-    placed = placed.withColumn("taken", sum(takes[1:], takes[0]).cast("long"))
     middle = lambda i: (F.col("at") + F.lit(i) * F.col("source_size") + takes[i] / 2) / F.nullif(F.col("target"), F.lit(0.0))
     each = [F.struct(F.lit(i + 1).alias("take"), takes[i].cast("long").alias("words"), training_position(middle(i), F.col("ramp")).alias("position")) for i in range(most)]
-    first = F.when(F.col("taken") > 0, training_position(middle(0), F.col("ramp"))).alias("position")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", first, F.filter(F.array(*each), lambda x: x["words"] > 0).alias("takes"))
+    found = found.withColumns({"taken": sum(takes[1:], takes[0]).cast("long"), "takes": F.filter(F.array(*each), lambda x: x["words"] > 0)})
+    return found.withColumn("position", F.when(F.col("taken") > 0, training_position(middle(0), F.col("ramp"))))
 
 
 def curriculum(docs: DataFrame, **options: object) -> DataFrame:
     """The documents that the mix takes, range-sorted by the training position of their first take.
 
     All columns of ``docs`` (those the mix adds give way to its own), with
-    ``taken``, ``position`` and ``takes``. Rows meet their place by doc_id;
-    where doc_ids repeat, by size too.
+    ``size``, ``source_size``, ``target``, ``taken``, ``position`` and ``takes``.
     """
-    return in_training_order(taken_rows(docs, **options))
+    return in_training_order(taken_rows(docs, {k: F.col(k) for k in OWN}, **options))
 
 
 def schedule(docs: DataFrame, **options: object) -> DataFrame:
@@ -119,18 +131,18 @@ def schedule(docs: DataFrame, **options: object) -> DataFrame:
     As ``curriculum``, but ``taken`` is the words of this take, ``position``
     its own, and ``take`` its number from 1.
     """
-    rows = taken_rows(docs.drop("take"), **options).withColumn("takes", F.explode("takes"))
-    rows = rows.withColumns({"take": F.col("takes.take"), "taken": F.col("takes.words"), "position": F.col("takes.position")})
-    return in_training_order(rows.drop("takes"))
+    one = F.explode("takes")
+    own = {k: F.col(k) for k in OWN[:3]} | {"taken": F.col("one.words"), "position": F.col("one.position"), "take": F.col("one.take")}
+    return in_training_order(taken_rows(docs, own, one, **options))
 
 
 def in_training_order(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def taken_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` of which the mix takes words, with the mix's columns."""
-    own = ["size", "source_size", "target", "taken", "position", "takes"]
-    mixed = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), *own).dropDuplicates(["_id", "size"])
-    rows = docs.drop(*own).withColumn("_size", word_count())
-    return rows.join(mixed, F.expr("doc_id <=> _id AND _size = size")).drop("_id", "_size")
+def taken_rows(docs: DataFrame, own: dict[str, Column], one: Column | None = None, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, most: int = MOST_REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes words, each whole, with the columns ``own``; no join brings them together."""
+    rows = placed(sized(docs), weights, ramps, most, bucket_rows).where("taken > 0")
+    rows = rows.withColumn("one", one) if one is not None else rows
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in own]
+    return rows.select(*kept, *[v.alias(k) for k, v in own.items()])
