@@ -60,16 +60,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns, one a text.
 
     Rows that lose are removed by doc_id and text length and hash together, so
-    repeated doc_ids with different texts do not touch one another. Of
-    identical rows one stays.
+    repeated doc_ids with different texts do not touch one another. Of rows
+    with one doc_id and text one stays. The caller's columns travel in a
+    struct, so none of their names can clash.
     """
     groups = written(candidate_groups(docs), "groups")
-    rows = docs.withColumns({"_length": _length(), "_prefix": _prefix_hash()})
-    doubled = rows.join(groups.select(F.col("length").alias("_length"), F.col("prefix").alias("_prefix")), ["_length", "_prefix"], "left_semi")
-    hashed = doubled.select("doc_id", "_length", F.sha2(text_or_empty(), 256).alias("_sha"))
-    best = written(hashed.groupBy("_length", "_sha").agg(F.max("doc_id").alias("_keep")), "best")
-    names = docs.columns
-    stay = doubled.withColumn("_sha", F.sha2(text_or_empty(), 256)).join(best, ["_length", "_sha"])
-    stay = stay.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_length", "_sha", "doc_id"])
-    single = rows.join(groups.select(F.col("length").alias("_length"), F.col("prefix").alias("_prefix")), ["_length", "_prefix"], "left_anti")
-    return stay.select(*names).unionByName(single.select(*names))
+    rows = docs.select("doc_id", text_or_empty().alias("body"), _length().alias("length"), _prefix_hash().alias("prefix"), F.struct("*").alias("row"))
+    doubled = rows.join(groups, ["length", "prefix"], "left_semi").select("doc_id", "length", F.sha2("body", 256).alias("sha256"), "row")
+    best = written(doubled.groupBy("length", "sha256").agg(F.max("doc_id").alias("keep_id")), "best")
+    stay = doubled.join(best, ["length", "sha256"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = stay.dropDuplicates(["length", "sha256", "doc_id"])
+    single = rows.join(groups, ["length", "prefix"], "left_anti")
+    return stay.select("row.*").unionByName(single.select("row.*"))
