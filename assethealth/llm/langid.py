@@ -20,6 +20,7 @@ CLUSTERS = 3
 SAMPLE = 600
 #: Share of a language's sample that lies beyond its rejection distance.
 REJECTED = 0.002
+#: Languages that are learnt at most, those with the most texts: bounds the model, which is broadcast.
 MOST_LANGUAGES = 2000
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -81,26 +82,35 @@ class Centroids:
     reach: np.ndarray  # least cosine of each centroid's language
 
 
-def fit_centroids(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Centroids:
+def sampled(rows: DataFrame, sample: int, most_languages: int) -> DataFrame:
+    """``lang, h, text`` of about ``sample`` to twice as many texts of each language, or all it has.
+
+    A text is taken if its hash, as a share of all hashes, is below a share
+    that the language's size sets, so the sample's size does not grow with the
+    table. Rows that repeat count once, and meet in a partial aggregate.
+    """
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_languages), "languages")
+    share = (F.xxhash64("doc_id", "text").cast("double") / 2.0**64) + 0.5
+    some = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("share", share).join(F.broadcast(counts), "lang")
+    return some.where(F.col("share") <= 1.5 * sample / F.col("texts")).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+
+
+def fit_centroids(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Centroids:
     """Fit on ``docs(doc_id, text, lang)``; rows with a null lang or without a letter teach nothing.
 
     Document frequencies come from all rows. Centroids are clustered language
-    by language from ``sample`` texts at most each, so a task holds at most
-    that many vectors. With no rows there are no centroids, and every text is ``und``.
+    by language from ``sample`` texts at most each, so a task holds few
+    texts, however large the table and whatever its doc_ids (null ones are
+    told apart by their texts). ``most_languages`` bounds the model. With no
+    rows there are no centroids, and every text is ``und``.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # a little more than the sample by hash, cut to size in its language's task
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 1.3 * sample / v))]), F.col("lang")) if sizes else F.lit(0.0)
-    cut = rows.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1_000_003)) <= F.lit(1_000_003) * share)
-    cut = written(cut.select("doc_id", "text", "lang", "h"), "sample")
+    cut = written(sampled(rows, sample, most_languages), "sample")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id"]).head(sample)
+        pdf = pdf.sort_values("h").head(sample)
         x = unit_vectors(list(pdf["text"]), idf)
         centres = spherical_kmeans(x, clusters)
         reach = float(np.quantile((x @ centres.T).max(1), REJECTED))
