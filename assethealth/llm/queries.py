@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.llm import decontaminate, exact_dedup, langid, mixing, pseudonyms, quality_rules, secret_scan, simhash, toxicity, warc
@@ -12,15 +12,17 @@ from assethealth.llm.shared import fresh_dir, text_or_empty
 
 #: Toxicity categories of the chain in its order; ``labels`` has one, which follows low quality.
 CATEGORIES = ("low_quality", "toxic")
-PSEUDONYM_KEY = "example-key"
+#: Setting that names the key of pseudonyms. Spark shows it in plans and event logs, so keep those as safe as the key.
+PSEUDONYM_KEY = "assethealth.pseudonyms.key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(of: int) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % of
+def _held_out(of: int, remainder: int) -> Column:
+    """Whether crc32(doc_id as text) mod ``of`` is ``remainder``; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == remainder, F.lit(False))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +57,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", _remainder(4) == 2)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _held_out(4, 2))
     model = langid.fit_centroids(docs.where(~F.col("held_out")))
-    return langid.predict_language(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return langid.predict_language(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +76,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(docs, spark.conf.get(PSEUDONYM_KEY, "example-key"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", "quality")
+    labels = table(spark, sf_dir, "labels").where(~_held_out(5, 0)).select("doc_id", "quality")
     model = quality_rules.fit_rules(docs, labels, "quality")
     scored = quality_rules.score_quality(docs, model)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -110,15 +110,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
     """Fit on ``docs(doc_id, text)`` by ``labels(doc_id, <category 0/1>...)``; rows without all labels are left out.
 
     With no rows, or one value of a category, that category's model is a
-    constant. Texts may be null (no words). Only feature tables of fixed size
-    and model weights reach the driver.
+    constant. Texts may be null (no words). Categories may have any names.
+    Only feature tables of fixed size and model weights reach the driver.
     """
-    marked = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna(subset=list(categories))
+    inner = [f"label_{i}" for i in range(len(categories))]
+    marked = labels.select("doc_id", *[F.col(c).cast("int").alias(i) for c, i in zip(categories, inner, strict=True)]).dropna(subset=inner)
     rows = written(labelled_sample(docs, marked, max_labelled), "labelled")
-    counts = written(_feature_counts(rows, categories), "features")
-    totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
+    counts = written(_feature_counts(rows, inner), "features")
+    totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in inner]).first()
     chosen: dict[str, None] = {}
-    for c in categories:
+    for c in inner:
         pos, n = totals[c], totals["n"]
         expected = F.col("n") * (pos / max(n, 1))
         spread = F.sqrt(expected * (1 - pos / max(n, 1)) * (1 - F.col("n") / (n + 1)) + 0.5)
@@ -142,7 +143,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
     x, folds = np.zeros((len(table), len(chosen)), np.float32), (table["h"].to_numpy() >> 7) % FOLDS
     for i, (at, value) in enumerate(zip(table["at"], table["value"], strict=True)):
         x[i, at] = value
-    for j, c in enumerate(categories):
+    for c in inner:
         y = table[c].to_numpy(np.float32)
         held = np.zeros(len(y), np.float32)
         for k in range(FOLDS):
