@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from assethealth.functions.columns import rul_horizon
 from assethealth.plans.oracle import r
-from assethealth.plans.queries import HORIZON, ORDERS, R, add, alert_history, c, current, history, pick, queue, snapshots, table
+from assethealth.plans.queries import HORIZON, ORDERS, R, add, c, pick, table
+from assethealth.plans.queries import stored_alerts as alert_history
+from assethealth.plans.queries import stored_current as current
+from assethealth.plans.queries import stored_history as history
+from assethealth.plans.queries import stored_queue as queue
+from assethealth.plans.queries import stored_snapshots as snapshots
 
 EACH = "asset_current_state"
 

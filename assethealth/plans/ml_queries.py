@@ -55,6 +55,7 @@ add("m3_remaining_life", lambda s, d: labelled(s, d).select("run_id", "step", "l
 add("m4_failure_label", lambda s, d: labelled(s, d).select("run_id", "step", "label_failure"), "SELECT run_id, step, label_failure FROM mllabel")
 add("m5_feature_isolation", lambda s, d: data.features_only(features(s, d)), f"SELECT {', '.join(data.FEATURES)} FROM mlfeat")
 add("m6_split_by_run", lambda s, d: by_run(s, d).select("run_id", "split").distinct(), "SELECT run_id, split FROM runsplit")
+add("m6_split_by_run_seeded", lambda s, d: data.split_by_run(labelled(s, d), seed=42).select("run_id", "split").distinct(), "SELECT run_id, CASE WHEN place <= round_even(total * 7e-1, 0) THEN 'train' WHEN place <= round_even(total * 7e-1, 0) + round_even(total * 15e-2, 0) THEN 'validation' ELSE 'test' END AS split FROM (SELECT run_id, row_number() OVER (ORDER BY md5('42:' || run_id), run_id) AS place, count(*) OVER () AS total FROM (SELECT DISTINCT run_id FROM mllabel))")
 add("m7_split_by_time", lambda s, d: by_time(s, d).select("run_id", "step", "split"), "SELECT run_id, step, split FROM mltime")
 add("m8_class_weights", lambda s, d: data.class_weights(by_run(s, d)).select(R(c("w0"), 6).alias("w0"), R(c("w1"), 6).alias("w1")), f"SELECT {r('w0', 6)} AS w0, {r('w1', 6)} AS w1 FROM weights")
 add("m9_sample_weights", lambda s, d: data.with_weights(by_run(s, d)).select("run_id", "step", "sample_weight"), f"SELECT run_id, step, {r('CASE WHEN label_failure = 1 THEN w1 ELSE w0 END', 6)} AS sample_weight FROM mlrun CROSS JOIN weights")

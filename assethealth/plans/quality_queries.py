@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.operators import quality, tables, windows
 from assethealth.plans.oracle import PARTS
-from assethealth.plans.queries import SUMMARY, add, c, current, flagged, pick, table
+from assethealth.plans.queries import SUMMARY, add, c, current, flagged, pick, stored_history, stored_queue, stored_snapshots, table
 from assethealth.sources.raw_events import with_defects
+from assethealth.sources.scratch import scratch
 from assethealth.sources.telemetry import telemetry
 
 #: Time that delays are measured against, in epoch seconds.
@@ -70,13 +71,31 @@ add("q18_quarantine_listing", lambda s, d: quality.quarantined(checked(s, d)).or
 add("u9_run_ledger", lambda s, d: tables.run_ledger(checked(s, d)), "SELECT 'run' AS run_id, count(*) AS events_generated, count(*) FILTER (WHERE is_valid) AS events_valid, count(*) FILTER (WHERE NOT is_valid) AS events_quarantined, 'COMPLETED' AS status FROM checked")
 add("u10_quality_log", lambda s, d: quality.quality_log(checked(s, d)).select("event_id", "asset_id", "rule_code", "severity"), "SELECT coalesce(event_id, 'UNKNOWN') AS event_id, coalesce(asset_id, 'UNKNOWN') AS asset_id, unnest(violations) AS rule_code, 'ERROR' AS severity FROM checked WHERE NOT is_valid")
 add("u11_quarantine", lambda s, d: quality.quarantined(checked(s, d)).select("quarantine_id", "event_id", "asset_id", "violated_rules", "arrival"), "SELECT 'q-' || arrival AS quarantine_id, coalesce(event_id, 'UNKNOWN') AS event_id, coalesce(asset_id, 'UNKNOWN') AS asset_id, '[\"' || array_to_string(violations, '\",\"') || '\"]' AS violated_rules, arrival FROM checked WHERE NOT is_valid")
-add("w12_stream_quarantine", lambda s, d: quality.parsed(raw(s, d)).where("keys IS NULL").select("arrival"), "SELECT arrival FROM typed WHERE NOT fits")
-
 # -- lake and relational reads ---------------------------------------------------
 
 add("s6_lake_normalisation", lambda s, d: tables.normalised(telemetry(s, d).select("arrival", "event_id", "asset_id", F.when(c("arrival") % 5 > 0, c("asset_type")).alias("asset_type"), "timestamp", F.when(c("arrival") % 7 > 0, c("temperature")).alias("temperature"), "vibration")).select("event_id", "asset_id", "asset_type", "timestamp", "temperature", "vibration", "pressure", "operating_mode", "schema_version"),
     "SELECT event_id, asset_id, CASE WHEN arrival % 5 > 0 THEN asset_type ELSE 'MOTOR' END AS asset_type, timestamp, CASE WHEN arrival % 7 > 0 THEN temperature ELSE 0e0 END AS temperature, vibration, 0e0 AS pressure, 'NORMAL' AS operating_mode, '1.0.0' AS schema_version FROM tel")
-add("s9_filtered_scan", lambda s, d: pick(s, d, telemetry, "event_id", "asset_id", "timestamp", where="asset_id = 'PUMP-001' AND timestamp >= 1704067220D AND timestamp <= 1704067420D"), "SELECT event_id, asset_id, timestamp FROM tel WHERE asset_id = 'PUMP-001' AND timestamp BETWEEN 1704067220 AND 1704067420")
+
+
+def filtered_scan(s: SparkSession, d: str) -> DataFrame:
+    """The lake is written with one folder an asset and read back with bounds that prune folders and reach the files."""
+    path = scratch(s, "lake")
+    tables.append_lake(tables.normalised(telemetry(s, d)), path)
+    return tables.scan(s, path, "PUMP-001", 1704067220.0, 1704067420.0, ["event_id", "asset_id", "timestamp"])
+
+
+add("s9_filtered_scan", filtered_scan, "SELECT event_id, asset_id, timestamp FROM tel WHERE asset_id = 'PUMP-001' AND timestamp BETWEEN 1704067220 AND 1704067420")
+
+
+def commits(s: SparkSession, d: str) -> DataFrame:
+    """Telemetry appended in three batches, one of them twice, and the table's commits."""
+    path = scratch(s, "commits")
+    for batch in (0, 1, 2, 2):
+        tables.append_once(telemetry(s, d).where(c("arrival") % 3 == batch).select("event_id"), path, batch)
+    return tables.commit_history(s, path).select("batch_id", "rows")
+
+
+add("s13_commit_history", commits, "SELECT CAST(arrival % 3 AS INTEGER) AS batch_id, count(*) AS rows FROM tel GROUP BY 1")
 add("s11_row_count", lambda s, d: table("events")(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events")
 add("s12_asset_distribution", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(F.count("*").alias("n")), "SELECT asset_id, count(*) AS n FROM tel GROUP BY asset_id")
 add("s14_relational_read", lambda s, d: pick(s, d, table("customer"), "c_custkey", "c_name", "c_acctbal", where="c_mktsegment = 'MACHINERY'", order=(F.desc("c_acctbal"), "c_custkey"), limit=25), "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
@@ -106,6 +125,33 @@ add("u2_upsert_registry", upsert_registry, "SELECT c_custkey AS asset_id, c_mkts
 add("u5_window_summaries", lambda s, d: windows.window_summaries(flagged(s, d), 60).drop("window_id", "window_type"),
     f"SELECT asset_id, t_us // 60000000 * 60e0 AS window_start, t_us // 60000000 * 60e0 + 60 AS window_end, {SUMMARY} FROM anom GROUP BY asset_id, t_us // 60000000")
 
+
+
+def appended(s: SparkSession, rows: DataFrame, batch: Column, name: str) -> DataFrame:
+    """``rows`` appended in two batches, the second of them twice."""
+    path = scratch(s, name)
+    for n in (0, 1, 1):
+        tables.append_once(rows.where(batch == n), path, n)
+    return s.read.parquet(path).drop("batch_id")
+
+
+def replaced_queue(s: SparkSession, d: str) -> DataFrame:
+    """The queue of the first work orders, replaced by that of all."""
+    path, rows = scratch(s, "queue"), stored_queue(s, d)
+    tables.replace(rows.where("ranking <= 5"), path)
+    tables.replace(rows, path)
+    return s.read.parquet(path)
+
+
+WORK = ["ranking", "asset_id", "priority_score", "recommended_action"]
+PREDICTED = ["asset_id", "arrival", "failure_probability", "predicted_failure_risk", "predicted_rul_hours"]
+SNAPSHOT = ["batch", "timestamp", "total_assets", "fleet_health_score", "active_alerts_total"]
+add("u3_append_predictions", lambda s, d: appended(s, stored_history(s, d).select(*PREDICTED), c("arrival") % 2, "predictions"), f"SELECT {', '.join(PREDICTED)} FROM asset_prediction_history")
+add("u6_replace_queue", lambda s, d: replaced_queue(s, d).select(*WORK), f"SELECT {', '.join(WORK)} FROM maintenance_priority_queue")
+add("u7_append_kpis", lambda s, d: appended(s, stored_snapshots(s, d).select(*SNAPSHOT), c("batch") % 2, "kpis"), f"SELECT {', '.join(SNAPSHOT)} FROM fleet_kpi_snapshots")
+add("u8_record_maintenance", lambda s, d: appended(s, quality.maintenance_breaches(services(s, d)).where(F.size("breaches") == 0).select("maintenance_id", "asset_id", "maintenance_type", "performed_at", "cost_usd"), c("maintenance_id") % 2, "maintenance"),
+    "SELECT o_orderkey AS maintenance_id, o_custkey AS asset_id, (['PREVENTIVE', 'CORRECTIVE', 'INSPECTION', 'EMERGENCY_REPAIR', 'CALIBRATION'])[o_orderkey % 6 + 1] AS maintenance_type, o_orderdate AS performed_at, o_totalprice AS cost_usd FROM orders WHERE o_orderkey % 11 NOT IN (1, 2, 3) AND o_orderkey % 6 < 5")
+
 # -- reports ---------------------------------------------------------------------
 
 add("x1_ingestion_report", lambda s, d: checked(s, d).groupBy(F.coalesce("asset_type", F.lit("UNKNOWN")).alias("kind")).agg(F.count("*").alias("generated"), F.count_if("is_valid").alias("valid"), F.count_if(~c("is_valid")).alias("quarantined")),

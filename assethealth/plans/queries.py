@@ -12,6 +12,7 @@ from assethealth.functions import columns as col
 from assethealth.functions.health import streaming_priority
 from assethealth.operators import alerts, features, serving, windows
 from assethealth.plans.oracle import PARTS, REASONS, kpis, r, sql
+from assethealth.plans.store import stored
 from assethealth.sources.telemetry import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def registry(s: SparkSession, d: str) -> DataFrame:
 
 
 def queue(s: SparkSession, d: str) -> DataFrame:
-    return serving.work_orders(current(s, d), registry(s, d))
+    return serving.work_orders(stored_current(s, d), registry(s, d))
 
 
 def history(s: SparkSession, d: str) -> DataFrame:
@@ -63,6 +64,12 @@ def snapshots(s: SparkSession, d: str) -> DataFrame:
     return one.withColumn("timestamp", F.timestamp_micros((F.col("batch") + 1) * 60000000))
 
 
+# the analytical queries read these, as a serving store has them
+stored_current, stored_queue, stored_history, stored_alerts, stored_snapshots = (
+    stored(name, make) for name, make in (("current-state", current), ("queue", queue), ("predictions", history), ("alerts", alert_history), ("kpis", snapshots))
+)
+
+
 def table(name: str) -> Query:
     return lambda s, d: s.read.parquet(f"{d}/{name}.parquet")
 

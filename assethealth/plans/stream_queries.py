@@ -12,14 +12,14 @@ from assethealth.ml import models
 from assethealth.operators import alerts, tables, windows
 from assethealth.plans.ml_queries import KEPT, features, training
 from assethealth.plans.quality_queries import raw
-from assethealth.plans.queries import add, alert_history, flagged, scored, telemetry
+from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, scored, telemetry
 from assethealth.sources.scratch import scratch
 from assethealth.streaming import jobs
 
 
-def finished(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """What a stream has written when its input is used up."""
-    out, check = scratch(spark, "stream"), scratch(spark, "check")
+def finished(stream: DataFrame, spark: SparkSession, places: tuple[str, str] | None = None) -> DataFrame:
+    """What a stream has written, with its checkpoint at the second of ``places``, when its input is used up."""
+    out, check = places or (scratch(spark, "stream"), scratch(spark, "check"))
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -32,13 +32,65 @@ def streamed(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
 
 
-def state_stream(s: SparkSession, d: str) -> DataFrame:
-    rows = scored(s, d).withColumns(alerts.fold_inputs()).select("asset_id", "arrival", "t_us", "health_score", "critical", "found", "worst")
-    return finished(jobs.state_stream(streamed(rows.coalesce(1))), s).select("asset_id", "arrival", "health_state", "previous_health_state", "severity", "is_recovery", "outcome")
+def in_time_order(rows: DataFrame, parts: int = 3) -> tuple[str, list[DataFrame]]:
+    """A folder, and the rows in parts by event time, which a stream takes one after another."""
+    low, high = rows.agg(F.min("t_us"), F.max("t_us")).first()
+    part = F.floor((F.col("t_us") - (low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
+    return scratch(rows.sparkSession, "source"), [rows.where(part == k) for k in range(parts)]
+
 
+INPUT = ["asset_id", "arrival", "t_us", "health_score", "critical", "found", "worst"]
 
-add("w7_keyed_state_stream", state_stream, "SELECT asset_id, arrival, health_state, previous_health_state, severity, is_recovery, outcome FROM states")
-add("w1_watermarked_windows", lambda s, d: finished(windows.window_summaries(streamed(flagged(s, d).select("asset_id", "arrival", "t_us", "event_time", "temperature", "vibration", "pressure", "is_anomaly")).withWatermark("event_time", "35 seconds"), 5), s))
+
+def state_stream(s: SparkSession, d: str) -> DataFrame:
+    """States of a stream of one file a micro-batch, files in time order, so that state is carried from batch to batch."""
+    path, parts = in_time_order(scored(s, d).withColumns(alerts.fold_inputs()).select(*INPUT))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    rows = s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return finished(jobs.state_stream(rows), s)
+
+
+def restarted(s: SparkSession, d: str) -> DataFrame:
+    """States of a stream that stops after each part and starts again from its checkpoint."""
+    path, parts = in_time_order(scored(s, d).withColumns(alerts.fold_inputs()).select(*INPUT))
+    places = scratch(s, "stream"), scratch(s, "check")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        out = finished(jobs.state_stream(s.readStream.schema(part.schema).parquet(path)), s, places)
+    return out
+
+
+OUT = "asset_id, arrival, health_state, previous_health_state, severity, is_recovery, outcome"
+add("w7_keyed_state_stream", lambda s, d: state_stream(s, d).select(*OUT.split(", ")), f"SELECT {OUT} FROM states")
+add("w9_checkpoint_restore", lambda s, d: restarted(s, d).select(*OUT.split(", ")), f"SELECT {OUT} FROM states")
+add("w12_stream_quarantine", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).where("keys IS NULL").select("arrival"), s), "SELECT arrival FROM typed WHERE NOT fits")
+
+
+def drained(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each micro-batch of a drain that takes one of four files at a time."""
+    path, out = scratch(s, "source"), scratch(s, "drained")
+    raw(s, d).withColumn("part", F.col("arrival") % 4).repartition(1).write.partitionBy("part").parquet(path)
+    rows = s.readStream.schema("raw string, arrival long, part int").option("maxFilesPerTrigger", 1).parquet(path)
+    count = lambda batch, n: tables.append_once(batch.agg(F.count("*").alias("n")), out, n)
+    rows.writeStream.foreachBatch(count).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).select("n")
+
+
+def routed(s: SparkSession, d: str) -> DataFrame:
+    """One stream, two outputs: good events and quarantined ones."""
+    paths = {k: scratch(s, k) for k in ("good", "bad")}
+    code = F.array_join("violations", ",").alias("violations")
+    route = jobs.routed({"good": lambda b: b.where(F.size("violations") == 0).select("arrival", code), "bad": lambda b: b.where(F.size("violations") > 0).select("arrival", code)}, paths)
+    jobs.judged(streamed(raw(s, d))).writeStream.foreachBatch(route).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start().awaitTermination()
+    good, bad = (s.read.parquet(paths[k]).select(F.lit(k).alias("output"), "arrival", "violations") for k in ("good", "bad"))
+    return good.union(bad)
+
+
+add("s2_bounded_drain", drained, "SELECT count(*) AS n FROM copies GROUP BY arrival % 4")
+add("s4_routed_outputs", routed, "SELECT CASE WHEN len(found) = 0 THEN 'good' ELSE 'bad' END AS output, arrival, array_to_string(found, ',') AS violations FROM ruled")
+add("w1_watermarked_windows", lambda s, d: finished(windows.window_summaries(streamed(flagged(s, d).select("asset_id", "arrival", "t_us", "event_time", "temperature", "vibration", "pressure", "is_anomaly")).withWatermark("event_time", "35 seconds"), 5), s).drop("window_id", "window_type"),
+    f"SELECT asset_id, t_us // 5000000 * 5e0 AS window_start, t_us // 5000000 * 5e0 + 5 AS window_end, {SUMMARY} FROM anom GROUP BY asset_id, t_us // 5000000 HAVING t_us // 5000000 * 5000000 + 5000000 <= (SELECT (max(t_us) - 35000000) // 1000 * 1000 FROM anom)")
 add("w11_stream_deduplication", lambda s, d: finished(streamed(telemetry(s, d).withColumn("event_time", F.timestamp_micros("t_us")).select("event_id", "event_time").transform(lambda t: t.union(t.where("event_id LIKE '%7'")))).withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["event_id"]), s).select("event_id"), "SELECT event_id FROM tel")
 add("s1_event_stream", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).select("arrival", F.array_join("violations", ",").alias("violations")), s), "SELECT arrival, array_to_string(found, ',') AS violations FROM ruled")
 
