@@ -70,10 +70,14 @@ def forbidden_names(names: tuple[str, ...] | list[str]) -> list[str]:
     return [n for n in names if any(f in n.lower() for f in FORBIDDEN)]
 
 
-def split_by_run(rows: DataFrame, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
-    """Adds ``split`` by whole runs, ordered by the MD5 of their ids; counts are rounded half to even."""
+def split_by_run(rows: DataFrame, shares: tuple[float, float] = (0.7, 0.15), seed: int | None = None) -> DataFrame:
+    """Adds ``split`` by whole runs, ordered by the MD5 of their ids; counts are rounded half to even.
+
+    Another ``seed``, put before the ids, gives another order, and so another split of the same sizes.
+    """
     runs = rows.select("run_id").distinct()
-    place = F.row_number().over(Window.orderBy(F.md5("run_id"), "run_id"))
+    key = F.md5("run_id") if seed is None else F.md5(F.concat(F.lit(f"{seed}:"), "run_id"))
+    place = F.row_number().over(Window.orderBy(key, "run_id"))
     n = F.count("*").over(Window.partitionBy())
     cut1 = F.bround(n * shares[0]).cast("long")
     cut2 = cut1 + F.bround(n * shares[1]).cast("long")

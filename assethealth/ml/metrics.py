@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assethealth.functions.columns import clamp, rounded
+from assethealth.operators.prefix import running_sums
 
 
 def classification_metrics(rows: DataFrame, by: Sequence[str] = (), label: str = "label_failure", pred: str = "pred_failure") -> DataFrame:
@@ -27,18 +28,16 @@ def _by_score(rows: DataFrame, by: Sequence[str], label: str, score: str) -> Dat
 
 def roc_auc(rows: DataFrame, by: Sequence[str] = (), label: str = "label_failure", score: str = "prob_failure") -> DataFrame:
     """Exact area under the ROC curve, ties averaged, from counts by distinct score; null with one class only."""
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    groups = _by_score(rows, by, label, score).withColumn("neg", F.col("n") - F.col("pos"))
-    wins = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
+    groups = running_sums(_by_score(rows, by, label, score).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"], by)
+    wins = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
     area = F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg"))
     return groups.withColumn("wins", wins).groupBy(*by).agg(rounded(area, 4).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str] = (), label: str = "label_failure", score: str = "prob_failure") -> DataFrame:
     """Sum of precision times the gain of recall over distinct scores, highest first; null without positives."""
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    groups = _by_score(rows, by, label, score)
-    precision = F.sum("pos").over(down) / F.sum("n").over(down)
+    groups = running_sums(_by_score(rows, by, label, score).withColumn("s", -F.col("s")), "s", ["pos", "n"], by)
+    precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))
     return groups.withColumn("part", F.col("pos") * precision).groupBy(*by).agg(rounded(F.try_divide(F.sum("part"), F.sum("pos")), 4).alias("pr_auc"))
 
 

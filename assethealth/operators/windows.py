@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assethealth.config import DEFAULTS, Thresholds
 from assethealth.functions.columns import rounded, stable_id
+from assethealth.operators.prefix import running_sums
 
 
 def endpoint_slope(y: str) -> Column:
@@ -67,14 +68,16 @@ def merged_windows(rows: DataFrame, size: int = 5, retention: int = 60) -> DataF
 def running_max_before(rows: DataFrame, value: str, order: str, block: int = 4096) -> DataFrame:
     """Adds ``high``: the largest ``value`` of all rows before this one in ``order``.
 
-    One window over the whole table would put it into one task. Instead the
-    maxima of blocks of ``order`` are scanned, a row a block, and joined back.
+    One window over the whole table would put it into one task. Instead rows
+    go by blocks of ``order``, and their maxima by blocks of blocks, so that
+    the one window without a key holds a row for ``block`` squared of ``order``.
     """
-    rows = rows.withColumn("_block", F.expr(f"{order} div {block}"))
-    blocks = rows.groupBy("_block").agg(F.max(value).alias("_most"))
-    before = blocks.select("_block", F.max("_most").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_high"))
-    own = F.max(value).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_own", own).join(before, "_block").withColumn("high", F.greatest("_own", "_high")).drop("_block", "_own", "_high")
+    rows = rows.withColumns({"_block": F.expr(f"{order} div {block}"), "_group": F.expr(f"{order} div {block * block}")})
+    before = lambda name, key, by: F.max(name).over((Window.partitionBy(key) if key else Window.partitionBy()).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("_group", "_block").agg(F.max(value).alias("_most"))
+    groups = blocks.groupBy("_group").agg(F.max("_most").alias("_top")).select("_group", before("_top", None, "_group").alias("_higher"))
+    blocks = blocks.withColumn("_high", before("_most", "_group", "_block")).join(groups, "_group").select("_block", F.greatest("_high", "_higher").alias("_high"))
+    return rows.withColumn("_own", before(value, "_block", order)).join(blocks, "_block").withColumn("high", F.greatest("_own", "_high")).drop("_block", "_group", "_own", "_high")
 
 
 def lateness(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -89,10 +92,10 @@ def lateness(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def nearest_rank(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Element ``int(n * share)`` of the sorted values for each share, and their mean.
 
-    Ranks come from counts of distinct values in two steps, so no task sorts them all.
+    Ranks come from counts of distinct values, summed within blocks of values and over blocks, so no task sorts them all.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running_sums(counts, "x", ["n"]).withColumn("upto", F.col("before_n") + F.col("n"))
     total = counts.agg(F.sum("n").alias("total"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
     picked = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(s)), F.col("x"))).alias(f"p{round(s * 100)}") for s in shares]
     return ranked.crossJoin(F.broadcast(total)).groupBy("total", "mean").agg(*picked).select(F.col("total").alias("n"), rounded(F.col("mean"), 6).alias("mean"), *[f"p{round(s * 100)}" for s in shares])
