@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from assethealth.functions.columns import clamp
 from assethealth.ml import data, metrics, models
+from assethealth.operators import tables
 from assethealth.plans.oracle import PARTS, r
 from assethealth.plans.queries import R, add, c, scored
+from assethealth.sources.scratch import scratch
 
 
 def features(s: SparkSession, d: str) -> DataFrame:
@@ -105,6 +107,18 @@ add("m26_metrics_by_type", lambda s, d: metrics.classification_metrics(predicted
 add("m26_metrics_by_scenario", lambda s, d: metrics.regression_metrics(predicted(s, d), ["scenario"]), regression("scenario"))
 
 
+def experiment_record(s: SparkSession, d: str) -> DataFrame:
+    """An experiment's metrics by asset type, recorded once though written twice."""
+    path = scratch(s, "experiments")
+    rows = metrics.regression_metrics(predicted(s, d), ["asset_type"]).withColumn("experiment_id", F.lit("heuristic"))
+    for _ in range(2):
+        tables.append_once(rows, path, 0)
+    return s.read.parquet(path).drop("batch_id")
+
+
+add("u12_experiment_record", experiment_record, f"SELECT 'heuristic' AS experiment_id, * FROM ({regression('asset_type')})")
+
+
 def model_rows(s: SparkSession, d: str) -> DataFrame:
     """One row of metrics an asset type: the heuristic as a model, by slice."""
     rows = predicted(s, d)
