@@ -11,6 +11,9 @@ from assethealth.functions.columns import power_factor_deviation, rounded
 from assethealth.functions.health import composite, electrical_part, persistence_part, pressure_part, reasons, thermal_part, vibration_part
 
 
+SENSED = ("temperature", "vibration", "pressure", "current")
+
+
 def _slope(y: str, w: object, n: Column, span: Column) -> Column:
     """Least-squares change a minute; 0 for fewer than two samples or a millisecond."""
     return F.when((n < 2) | (span <= 0.001), 0.0).otherwise(F.coalesce(F.regr_slope(F.col(y), F.col("rel")).over(w), F.lit(0.0)) * 60)
@@ -20,28 +23,44 @@ def rolling_features(samples: DataFrame, by: str = "asset_id", t: Thresholds = D
     """``samples`` with means, deviations, slopes, z-scores, ratios and baselines.
 
     The frame is the asset's samples of the last ``frame_seconds`` up to this
-    one. All features share one window specification, so the rows are shuffled
-    and sorted once. Null sensors count in no mean. With ``baselines=False``
-    the table brings its own ``baseline_current``.
+    one (those of equal time included), and of more than ``buffer_samples`` the
+    last ones by time and arrival. Both frames end at the sample, so the shorter
+    is the one that counts; only assets with a fuller frame pay for the second.
+    All features share one shuffle by asset. Null sensors count in no mean. With
+    ``baselines=False`` the table brings its own ``baseline_current``.
     """
     order = Window.partitionBy(by).orderBy("t_us")
     w = order.rangeBetween(-t.frame_seconds * 1_000_000, 0)
     past = Window.partitionBy(by).orderBy("t_us", "arrival").rowsBetween(Window.unboundedPreceding, 0)
-    rows = samples.withColumn("rel", F.col("t_us") / 1e6 - F.lit(1704067200.0))
-    n = F.count("*").over(w)
-    span = F.col("rel") - F.min("rel").over(w)
-    stats = {"sample_count": n}
-    for name in ("temperature", "vibration", "pressure", "current"):
-        stats[f"raw_mean_{name}"] = F.avg(name).over(w)
-        stats[f"raw_std_{name}"] = F.coalesce(F.stddev_samp(name).over(w), F.lit(0.0))
-    stats |= {"raw_max_vibration": F.max("vibration").over(w), "raw_rise": _slope("temperature", w, n, span), "raw_vib_slope": _slope("vibration", w, n, span)}
+    rows = samples.withColumn("rel", F.col("t_us") / 1e6 - F.lit(1704067200.0)).withColumns({"raw_count": F.count("*").over(w), **_frame_stats(w, F.count("*").over(w))})
+    full = F.max("raw_count").over(Window.partitionBy(by)) > t.buffer_samples
+    # samples of other assets are groups of their own, so that the second frame holds one row there
+    rows = rows.withColumn("raw_group", F.when(full, F.lit(-1)).otherwise(F.col("arrival")))
+    last = Window.partitionBy(by, "raw_group").orderBy("t_us", "arrival").rowsBetween(1 - t.buffer_samples, 0)
+    capped = _frame_stats(last, F.count("*").over(last))
+    rows = rows.withColumns({f"last_{k}": v for k, v in capped.items()})
+    over = F.col("raw_count") > t.buffer_samples
+    stats = {k: F.when(over, F.col(f"last_{k}")).otherwise(F.col(k)) for k in capped}
+    stats["sample_count"] = F.least("raw_count", F.lit(t.buffer_samples))
     if baselines:
-        stats |= {f"baseline_{name}": F.first(name, ignorenulls=True).over(past) for name in ("temperature", "vibration", "pressure", "current")}
-    rows = rows.withColumns(stats)
+        stats |= {f"baseline_{name}": F.first(name, ignorenulls=True).over(past) for name in SENSED}
+    return derived(rows.withColumns(stats).drop("rel", "raw_count", "raw_group", *[f"last_{k}" for k in capped]))
+
+
+def _frame_stats(w: object, n: Column) -> dict[str, Column]:
+    """Means, deviations, largest vibration and slopes over a frame of ``n`` samples."""
+    span = F.col("rel") - F.min("rel").over(w)
+    stats = {f"raw_mean_{x}": F.avg(x).over(w) for x in SENSED}
+    stats |= {f"raw_std_{x}": F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)) for x in SENSED}
+    return stats | {"raw_max_vibration": F.max("vibration").over(w), "raw_rise": _slope("temperature", w, n, span), "raw_vib_slope": _slope("vibration", w, n, span)}
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """Rounded features, z-scores and ratios out of a frame's ``raw_`` statistics, in batches and streams alike."""
     c = F.col
     z = lambda s: F.when(c(f"raw_std_{s}") > 1e-3, (c(s) - c(f"raw_mean_{s}")) / (c(f"raw_std_{s}") + 1e-5)).otherwise(0.0)
     base = F.coalesce(F.nullif(c("baseline_current"), F.lit(0.0)), F.nullif(c("raw_mean_current"), F.lit(0.0)), F.lit(1.0))
-    out = {f"{k}_{s}": rounded(c(f"raw_{k}_{s}"), 3) for k in ("mean", "std") for s in ("temperature", "vibration", "pressure", "current")}
+    out = {f"{k}_{s}": rounded(c(f"raw_{k}_{s}"), 3) for k in ("mean", "std") for s in SENSED}
     out |= {
         "max_vibration": rounded(c("raw_max_vibration"), 3),
         "thermal_rise_rate": rounded(c("raw_rise"), 4),
@@ -51,8 +70,7 @@ def rolling_features(samples: DataFrame, by: str = "asset_id", t: Thresholds = D
         "current_ratio": rounded(F.when(base > 0.01, c("current") / base).otherwise(1.0), 3),
         "power_factor_deviation": rounded(power_factor_deviation(c("voltage"), c("current"), c("power")), 4),
     }
-    drop = [k for k in stats if k.startswith("raw_")]
-    return rows.withColumns(out).drop(*drop, "rel")
+    return rows.withColumns(out).drop(*[x for x in rows.columns if x.startswith("raw_")])
 
 
 def with_health(features: DataFrame, by: str = "asset_id", t: Thresholds = DEFAULTS) -> DataFrame:

@@ -15,6 +15,7 @@ from assethealth.plans.quality_queries import raw
 from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, scored, telemetry
 from assethealth.sources.scratch import scratch
 from assethealth.streaming import jobs
+from assethealth.streaming.alert_stream import alert_stream, feature_stream
 
 
 def finished(stream: DataFrame, spark: SparkSession, places: tuple[str, str] | None = None) -> DataFrame:
@@ -67,6 +68,24 @@ add("w9_checkpoint_restore", lambda s, d: restarted(s, d).select(*OUT.split(", "
 add("w12_stream_quarantine", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).where("keys IS NULL").select("arrival"), s), "SELECT arrival FROM typed WHERE NOT fits")
 
 
+def raw_to_alert(s: SparkSession, d: str) -> DataFrame:
+    """Alerts of JSON messages, broken and repeated ones among them, in three parts by time; both streams stop after each part and start again."""
+    rows = telemetry(s, d).withColumns({"sequence_number": F.col("arrival"), "schema_version": F.lit("1.0.0")})
+    whole = rows.select(F.to_json(F.struct(*[x for x in rows.columns if x not in ("arrival", "t_us", "scenario", "criticality")])).alias("raw"), "arrival", "t_us")
+    broken = whole.where("arrival % 97 = 0").withColumn("raw", F.substring("raw", 1, 40))
+    path, parts = in_time_order(whole.union(broken).union(whole.where("arrival % 101 = 0")))
+    first, second = ((scratch(s, name), scratch(s, "check")) for name in ("features", "alerts"))
+    for part in parts:
+        part.select("raw", "arrival").coalesce(1).write.mode("append").parquet(path)
+        features = finished(feature_stream(s.readStream.schema("raw string, arrival long").parquet(path)), s, first)
+        out = finished(alert_stream(s.readStream.schema(features.schema).parquet(first[0])), s, second)
+    return out
+
+
+ALERT = "arrival, asset_id, severity, previous_health_state, current_health_state, health_score, is_state_transition, is_recovery"
+add("w10_raw_to_alert_stream", lambda s, d: raw_to_alert(s, d).select(*ALERT.split(", ")), f"SELECT {ALERT} FROM asset_alert_history")
+
+
 def drained(s: SparkSession, d: str) -> DataFrame:
     """Rows of each micro-batch of a drain that takes one of four files at a time."""
     path, out = scratch(s, "source"), scratch(s, "drained")

@@ -1,0 +1,141 @@
+"""From raw messages to alerts, in two streams.
+
+The first judges and deduplicates messages and keeps rolling statistics by
+asset, the second reads its table and keeps health states: Spark allows one
+grouped-map operator with state a stream. What lies between is the column
+expressions of the batch queries, and either stream restarts from its own
+checkpoint. An asset's samples of one
+micro-batch are taken in time order together, so the source's bound on a
+micro-batch (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) bounds a task.
+A sample that comes in a later micro-batch than younger ones is put in its
+place among the last 120, but its state follows those already given; samples
+behind the watermark are left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from assethealth.config import DEFAULTS, SEVERITIES, STATES, Thresholds
+from assethealth.functions.anomaly import anomalies
+from assethealth.functions.columns import stable_id
+from assethealth.functions.health import electrical_part, pressure_part, reasons, streaming_priority, thermal_part, vibration_part
+from assethealth.operators.alerts import State, advance, fold_inputs
+from assethealth.operators.features import SENSED, derived
+from assethealth.streaming.jobs import DAY_MS, clean, judged
+
+SAMPLE = "asset_id string, arrival long, t_us long, timestamp double, temperature double, vibration double, pressure double, current double, voltage double, power double"
+STATS = ", ".join(["sample_count long", *[f"raw_{k}_{x} double" for x in SENSED for k in ("mean", "std")], "raw_max_vibration double", "raw_rise double", "raw_vib_slope double", *[f"baseline_{x} double" for x in SENSED]])
+#: The last samples of an asset and the first value of each sensor.
+TAIL = ", ".join(["t_us array<long>", *[f"{x} array<double>" for x in SENSED], *[f"baseline_{x} double" for x in SENSED]])
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
+def _mean_std(x: np.ndarray) -> tuple[float | None, float]:
+    x = x[~np.isnan(x)]
+    return (float(x.mean()) if len(x) else None), (float(x.std(ddof=1)) if len(x) > 1 else 0.0)
+
+
+def _slope(seconds: np.ndarray, y: np.ndarray) -> float:
+    """Least-squares change a minute; 0 for fewer than two samples or a millisecond."""
+    if len(y) < 2 or seconds[-1] - seconds[0] <= 0.001:
+        return 0.0
+    known = ~np.isnan(y)
+    x, y = seconds[known], y[known]
+    x = x - x.mean() if len(x) else x
+    return float(x @ (y - y.mean()) / (x @ x) * 60) if len(x) and x @ x > 0 else 0.0
+
+
+def rolling_stream(samples: DataFrame, t: Thresholds = DEFAULTS, ttl_ms: int = DAY_MS) -> DataFrame:
+    """A stream of samples (``SAMPLE``) with the statistics of each one's frame; state goes when the watermark is ``ttl_ms`` past an asset's last sample."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        old = kept.get if kept.exists else ([], *[[] for _ in SENSED], *[None for _ in SENSED])
+        rows = pd.concat(list(batches)).sort_values(["t_us", "arrival"], ignore_index=True)
+        times = np.concatenate([np.asarray(old[0], "int64"), rows["t_us"].to_numpy("int64")])
+        order = np.argsort(times, kind="stable")
+        times, row_of = times[order], order - len(old[0])
+        values = {x: np.concatenate([np.asarray(v, "float64"), rows[x].to_numpy("float64")])[order] for x, v in zip(SENSED, old[1:], strict=False)}
+        first = list(old[1 + len(SENSED) :])
+        out: list[tuple] = [()] * len(rows)
+        for i in np.flatnonzero(row_of >= 0):
+            low, high = np.searchsorted(times, times[i] - t.frame_seconds * 1_000_000), np.searchsorted(times, times[i], "right")
+            if high - low > t.buffer_samples:
+                low, high = max(0, i + 1 - t.buffer_samples), i + 1
+            frame = {x: v[low:high] for x, v in values.items()}
+            seconds = (times[low:high] - times[i]) / 1e6
+            first = [values[x][i] if f is None and not np.isnan(values[x][i]) else f for x, f in zip(SENSED, first, strict=True)]
+            known = frame["vibration"][~np.isnan(frame["vibration"])]
+            stats = [s for x in SENSED for s in _mean_std(frame[x])]
+            out[row_of[i]] = (int(high - low), *stats, known.max() if len(known) else None, _slope(seconds, frame["temperature"]), _slope(seconds, frame["vibration"]), *first)
+        stay = slice(max(len(times) - t.buffer_samples, int(np.searchsorted(times, times[-1] - t.frame_seconds * 1_000_000))), None)
+        kept.update((times[stay].tolist(), *[values[x][stay].tolist() for x in SENSED], *[None if f is None else float(f) for f in first]))
+        kept.setTimeoutTimestamp(max(int(rows["t_us"].max() // 1000) + ttl_ms, kept.getCurrentWatermarkMs() + 1))
+        yield pd.concat([rows[_names(SAMPLE)], pd.DataFrame(out, columns=_names(STATS))], axis=1)
+
+    return samples.select(*_names(SAMPLE), "event_time").groupBy("asset_id").applyInPandasWithState(run, f"{SAMPLE}, {STATS}", TAIL, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+CARRIED = "asset_id string, arrival long, t_us long, anomaly_types array<string>, reason_codes array<string>"
+DECIDED = f"{CARRIED}, health_score double, fault_count int, health_state string, previous_health_state string, severity string, is_recovery boolean, outcome int"
+
+
+def decision_stream(features: DataFrame, t: Thresholds = DEFAULTS, ttl_ms: int = DAY_MS) -> DataFrame:
+    """Fault counts, scores, health states and alert outcomes of a stream of features."""
+    a, b, c, d, share = t.weights
+    delay = t.watermark_delay + t.allowed_lateness
+    timed = features.withColumn("event_time", F.timestamp_micros("t_us")).withWatermark("event_time", f"{delay:g} seconds")
+    rows = timed.withColumn("anomalies", anomalies(t)).withColumns(fold_inputs())
+    rows = rows.select(
+        "asset_id", "arrival", "t_us", F.transform("anomalies", lambda x: x["anomaly_type"]).alias("anomaly_types"),
+        F.concat(F.transform("anomalies", lambda x: x["reason_code"]), reasons(t)).alias("reason_codes"),
+        (a * vibration_part(t) + b * thermal_part(t) + c * pressure_part() + d * electrical_part()).alias("penalty"), "critical", "found", "worst", "event_time",
+    )
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        faults, *last = kept.get if kept.exists else (0, *State())
+        state, out = State(*last), []
+        rows = pd.concat(list(batches)).sort_values(["t_us", "arrival"], ignore_index=True)
+        for r in rows.itertuples(index=False):
+            faults = faults + 1 if r.found else max(0, faults - 1)
+            whole = 1 - (r.penalty + share * min(1.0, faults / 8) + min(0.4, r.found * 0.15))
+            score = float(np.floor(max(0.0, min(1.0, whole)) * 1000 + 0.500001) / 1000)
+            state, step = advance(state, r.t_us / 1e6, score, bool(r.critical), int(r.found), int(r.worst))
+            out.append((score, faults, STATES[step.health], STATES[step.previous], SEVERITIES[step.severity], step.recovery, step.outcome))
+        kept.update((faults, *state))
+        kept.setTimeoutTimestamp(max(int(rows["t_us"].max() // 1000) + ttl_ms, kept.getCurrentWatermarkMs() + 1))
+        names = _names(DECIDED)
+        yield pd.concat([rows[_names(CARRIED)], pd.DataFrame(out, columns=names[len(_names(CARRIED)) :])], axis=1)
+
+    return rows.groupBy("asset_id").applyInPandasWithState(run, DECIDED, "faults int, health int, alert_time double, alert_severity int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def feature_stream(raw: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The features of valid samples out of a stream of raw messages (``raw, arrival``), each event once."""
+    events = clean(judged(raw), t).withColumn("t_us", F.round(F.col("timestamp") * 1e6).cast("long"))
+    return derived(rolling_stream(events, t))
+
+
+def alert_stream(features: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The alerts of a stream of features."""
+    rows = decision_stream(features, t).where("outcome = 2")
+    return rows.select(
+        stable_id("alert", F.substring("asset_id", 1, 4), F.expr("t_us div 1000000"), F.col("arrival")).alias("alert_id"), "asset_id", "arrival",
+        F.timestamp_micros("t_us").alias("event_time"), "severity", "previous_health_state", F.col("health_state").alias("current_health_state"), "health_score",
+        (F.col("health_state") != F.col("previous_health_state")).alias("is_state_transition"), "is_recovery", "anomaly_types", "reason_codes", streaming_priority(F.col("health_state")).alias("maintenance_priority"),
+    )

@@ -144,3 +144,17 @@ def test_a_batch_written_again_replaces_itself(spark, tmp_path):
         tables.append_once(rows, str(tmp_path / "t"), batch)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 20
     assert {(r.batch_id, r.rows) for r in tables.commit_history(spark, str(tmp_path / "t")).collect()} == {(1, 10), (2, 10)}
+
+
+def test_frames_hold_the_last_120_samples(spark):
+    """Asset A sends 200 samples in 20 s, more than a buffer holds; asset B sends 10, after a pause of 40 s."""
+    t0 = 1704067200000000
+    rows = [(i, "A", t0 + i * 100_000, float(i), float(200 - i), 5.0, 50.0) for i in range(200)]
+    rows += [(1000 + i, "B", t0 + i * 1_000_000 + (40_000_000 if i >= 4 else 0), float(i), 1.0, 5.0, 50.0) for i in range(10)]
+    frame = spark.createDataFrame(rows, "arrival long, asset_id string, t_us long, temperature double, vibration double, pressure double, current double")
+    frame = frame.withColumns({"voltage": F.lit(400.0), "power": F.lit(20.0), "timestamp": F.col("t_us") / 1e6})
+    got = {r.arrival: r for r in rolling_features(frame).collect()}
+    assert (got[119].sample_count, got[119].mean_temperature, got[119].max_vibration) == (120, 59.5, 200.0)
+    assert (got[199].sample_count, got[199].mean_temperature, got[199].max_vibration) == (120, 139.5, 120.0)
+    assert got[199].thermal_rise_rate == 600.0 and got[199].baseline_temperature == 0.0
+    assert (got[1009].sample_count, got[1009].mean_temperature) == (6, 6.5)

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 # one query of each kind; all of them are compared by the driver
 NAMES = ["f2_rolling_mean", "f5_ols_slope", "f16_fault_count", "a10_anomaly_counts", "h6_health_score", "h9_transitions", "l2_alert_gating", "w2_lateness", "w4_sliding_window", "w5_merged_windows", "q14_verdicts", "q16_telemetry_contract",
          "k1_current_state", "k7_work_orders", "k8_kpi_snapshots", "b1_fleet_health", "b9_fleet_outliers", "b13_threshold_sensitivity", "b14_repair_top3", "d15_alert_log", "u1_upsert_state", "u2_upsert_registry", "m3_remaining_life", "m6_split_by_run",
-         "m12_label_correlation", "m22_roc_auc", "m23_average_precision", "m24_regression_metrics", "m29_promotion_gates"]
+         "m12_label_correlation", "m22_roc_auc", "m23_average_precision", "m24_regression_metrics", "w10_raw_to_alert_stream", "m29_promotion_gates"]
 
 
 def rows_of(frame):
