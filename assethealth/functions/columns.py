@@ -9,13 +9,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def rounded(x: Column, digits: int) -> Column:
     """``x`` to ``digits`` places; halves go up, also where binary noise puts them just below."""
     scale = 10.0**digits
     return F.floor(x * scale + 0.500001) / scale
 
 
+def rounded_exactly(x: Column, digits: int) -> Column:
+    """``x`` to ``digits`` places as Python's ``round`` does: by its exact binary value, halves to even.
+
+    The product with the power of ten and the product's own error (Dekker's
+    splitting) make up the exact product, so a half is told from what only
+    looks like one. Null, not finite and too large values stay as they are.
+    """
+    scale = 10.0**digits
+    high = 134217729.0 * scale - (134217729.0 * scale - scale)
+    x = x.cast("double")
+    product = x * scale
+    upper = 134217729.0 * x - (134217729.0 * x - x)
+    error = ((upper * high - product) + upper * (scale - high) + (x - upper) * high) + (x - upper) * (scale - high)
+    whole = F.rint(product)
+    rest = product - whole
+    step = F.when((rest == 0.5) & (error > 0), 1.0).when((rest == -0.5) & (error < 0), -1.0).otherwise(0.0)
+    return F.when(F.abs(product) < 2.0**51, (whole + step) / scale).otherwise(x)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -70,7 +88,7 @@ def iso_utc(micros: Column) -> Column:
 def trigger_values() -> Column:
     """Sensors that have a value, to two places, by name."""
     names = ("temperature", "vibration", "pressure", "current", "voltage", "power")
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), rounded(F.col(n), 2).alias("value")) for n in names])
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), rounded_exactly(F.col(n), 2).alias("value")) for n in names])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assethealth.config import ASSET_TYPES, MODES
+from assethealth.functions.columns import rounded_exactly
 from assethealth.schemas import NUMERIC, REQUIRED
+from assethealth.sources.scratch import scratch
 
 EARLIEST, LATEST = 1577836800.0, 2051222400.0
 DELAYED_SECONDS = 30
@@ -59,15 +61,52 @@ def row_rules() -> dict[str, Column]:
     }
 
 
+def repeats(rows: DataFrame) -> DataFrame:
+    """``arrival, again_id, again_time`` of the events that repeat an earlier valid one's id, or its asset and millisecond.
+
+    ``rows`` of ``parsed`` need ``sound``: no rule on single events is broken.
+    Of sound events, the first one of both its id and its asset and millisecond
+    is valid, and the others of either are not; with all of these gone, the same
+    holds of the rest. So there are as many rounds as a chain of repeats is
+    long, each over the events that are still open, out of those alone whose id
+    or time comes more than once. Minima are taken before the shuffle, so a
+    common id is no burden. ``arrival`` tells events apart.
+    """
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "repeats")
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    known = F.when(F.col("k_event_id") == "STRING", F.nullif("event_id", F.lit("")))
+    moment = F.when((F.col("timestamp") != 0) & (F.col("asset_id") != ""), F.concat_ws("@", "asset_id", rounded_exactly(F.col("timestamp"), 3).cast("string")))
+    events = kept(rows.where("keys IS NOT NULL").select("arrival", "sound", known.alias("id"), moment.alias("slot")), "events")
+    common = lambda k: events.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n"), F.bool_or("sound").alias("some")).where("n > 1 AND some").select(k)
+    shared = events.join(common("id"), "id", "left_semi").unionByName(events.join(common("slot"), "slot", "left_semi"))
+    shared = kept(shared.dropDuplicates(["arrival"]), "shared")
+    own = lambda k: F.coalesce(F.concat(F.lit("="), k), F.concat(F.lit("!"), F.col("arrival").cast("string"))).alias(k)
+    left = shared.where("sound").select("arrival", own("id"), own("slot"))
+    valid, turn = None, 0
+    while valid is None or not left.isEmpty():
+        first = lambda k, left=left: left.groupBy(k).agg(F.min("arrival").alias("arrival"))
+        firsts = kept(first("id").join(first("slot"), "arrival"), f"valid/turn={turn}")
+        left = kept(left.join(firsts.select("id"), "id", "left_anti").join(firsts.select("slot"), "slot", "left_anti"), f"left/turn={turn}")
+        valid, turn = spark.read.schema(firsts.schema).parquet(f"{folder}/valid"), turn + 1
+    at = lambda k: valid.where(F.col(k).startswith("=")).select(F.expr(f"substring({k}, 2)").alias(k), F.col("arrival").alias(f"{k}_at"))
+    seen = shared.join(at("id"), "id", "left").join(at("slot"), "slot", "left")
+    again = lambda k: F.coalesce(F.col(f"{k}_at") < F.col("arrival"), F.lit(False))
+    return seen.select("arrival", again("id").alias("again_id"), again("slot").alias("again_time")).where("again_id OR again_time")
+
+
 def validated(raw: DataFrame, now: Column | None = None) -> DataFrame:
     """Every raw event with ``violations`` (rule codes), ``messages``, ``is_valid``, ``is_delayed`` and ``is_out_of_order``.
 
     All rules are looked at; only a malformed event has its one violation. An
     event is a duplicate if an earlier valid one has its event_id, or its asset
-    and time to the millisecond. Validity of the earlier one is judged by the
-    rules on single events and by event_id; an event that is itself dropped as
-    a repeat of asset and time still counts for later event_ids. ``now`` is the
-    time that delays are measured against, in epoch seconds.
+    and time to the millisecond, in order of ``arrival``, which no two events
+    share; an event that is itself rejected does not count as seen. ``now`` is
+    the time that delays are measured against, in epoch seconds. Repeats are
+    worked out when this is called (``repeats``).
     """
     rows = parsed(raw)
     fits = F.col("keys").isNotNull()
@@ -76,20 +115,13 @@ def validated(raw: DataFrame, now: Column | None = None) -> DataFrame:
     malformed = F.when(~fits, F.struct(F.lit("DQ-011").alias("rule"), F.lit("not a JSON object").alias("message")))
     rows = rows.withColumn("found", F.filter(F.array(malformed, *found), lambda x: x.isNotNull()))
     rows = rows.withColumn("sound", F.size("found") == 0)
-    # unsound and unnamed events are spread over the partitions rather than met under one key
-    spread = F.when(F.col("sound"), F.lit(0)).otherwise(F.col("arrival"))
-    first_id = F.row_number().over(Window.partitionBy("event_id", spread).orderBy("arrival"))
-    rows = rows.withColumn("again_id", F.col("sound") & (first_id > 1))
-    kept = F.when(F.col("sound") & ~F.col("again_id"), F.lit(0)).otherwise(F.col("arrival"))
-    # a repeated event_id still is looked at for asset and time: against the earlier events that stay
-    millis = F.round(F.col("timestamp") * 1000).cast("long")
-    firsts = F.min(F.when(F.col("sound") & ~F.col("again_id"), F.col("arrival"))).over(Window.partitionBy("asset_id", millis, F.when(F.col("sound"), F.lit(0)).otherwise(kept)))
-    rows = rows.withColumn("again_time", F.col("sound") & (firsts < F.col("arrival")))
-    repeats = F.filter(F.array(
+    again = repeats(rows)
+    rows = rows.join(again, "arrival", "left")
+    twice = F.filter(F.array(
         F.when(F.col("again_id"), F.struct(F.lit("DQ-009").alias("rule"), F.concat(F.lit("duplicate event_id: "), "event_id").alias("message"))),
         F.when(F.col("again_time"), F.struct(F.lit("DQ-010").alias("rule"), F.lit("duplicate asset and timestamp").alias("message"))),
     ), lambda x: x.isNotNull())
-    rows = rows.withColumn("found", F.concat("found", repeats)).withColumn("is_valid", F.size("found") == 0)
+    rows = rows.withColumn("found", F.concat("found", twice)).withColumn("is_valid", F.size("found") == 0)
     earlier = F.max(F.when(F.col("is_valid"), F.col("sequence_number"))).over(Window.partitionBy("asset_id", F.when(fits, F.lit(0)).otherwise(F.col("arrival"))).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
     clock = now if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
     return rows.withColumns({

@@ -69,9 +69,9 @@ def scan(spark: SparkSession, path: str, asset_id: str | None = None, min_ts: fl
     return rows.limit(limit) if limit is not None else rows
 
 
-def provision(spark: SparkSession, database: str, tables: dict[str, tuple[object, str | None]]) -> None:
-    """Create the tables that are not there yet: schema and partition column by name."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def provision(spark: SparkSession, database: str, tables: dict[str, tuple[object, str | None]], place: str | None = None) -> None:
+    """Create the tables that are not there yet, in the warehouse or at ``place``: schema and partition column by name."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{place}'" if place else ""))
     for name, (schema, partition) in tables.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {f'PARTITIONED BY ({partition})' if partition else ''} OPTIONS (compression 'zstd')")
@@ -84,6 +84,25 @@ def run_ledger(checked: DataFrame, run_id: str = "run") -> DataFrame:
     )
 
 
+def run_report(spark: SparkSession, checked: DataFrame, path: str, run_id: str = "run") -> DataFrame:
+    """One row on an ingestion run: its ledger, and rows, snapshots and rows by asset (JSON, in order) of the table at ``path``.
+
+    The JSON holds an entry an asset, in one row, as the report has it; ``S12``'s query gives it as rows.
+    """
+    lake = spark.read.parquet(path)
+    by_asset = lake.groupBy("asset_id").agg(F.count("*").alias("n"))
+    whole = by_asset.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("table_rows"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset_id", "n"))))).alias("asset_distribution"))
+    snapshots = lake.agg(F.count_distinct("batch_id").alias("snapshots"))
+    ledger = run_ledger(checked, run_id).withColumnRenamed("events_valid", "events_persisted")
+    return ledger.crossJoin(whole).crossJoin(snapshots)  # a row each
+
+
+def result_summary(rows: DataFrame, query_id: str) -> DataFrame:
+    """What a result export says beside its rows: ``query_id, status, row_count, column_count, columns``."""
+    names = rows.columns
+    return rows.agg(F.count("*").alias("row_count")).select(F.lit(query_id).alias("query_id"), F.lit("SUCCESS").alias("status"), "row_count", F.lit(len(names)).alias("column_count"), F.lit(",".join(names)).alias("columns"))
+
+
 def commit_history(spark: SparkSession, path: str) -> DataFrame:
     """Commits of a table that ``append_once`` writes: batch, time, rows and files."""
     rows = spark.read.parquet(path).select("batch_id", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"))

@@ -67,7 +67,21 @@ add("m11_temporal_order", lambda s, d: data.order_violations(by_time(s, d).withC
 SOME = ("temperature", "vibration", "pressure", "voltage", "thermal_rise_rate", "health_score")
 add("m12_label_correlation", lambda s, d: data.label_correlations(labelled(s, d), "label_failure", SOME),
     " UNION ALL ".join(f"SELECT '{f}' AS feature, x AS correlation, x >= 999e-3 AS flagged FROM (SELECT {r(f'coalesce(CASE WHEN stddev_pop({f}) > 1e-6 AND stddev_pop(label_failure) > 1e-6 THEN abs(corr({f}, label_failure)) END, 0e0)', 6)} AS x FROM mllabel)" for f in SOME))
-add("m13_leakage_audit", lambda s, d: data.leakage_audit(by_time(s, d), SOME), "SELECT * FROM (VALUES ('feature_whitelist', 'PASS', 0), ('temporal_ordering', 'PASS', 0), ('label_correlation', 'PASS', 0)) t(check_name, status, found)")
+LEAK = "label_failure * 2 + temperature * 1e-9"
+
+
+def audited(names: tuple[str, ...], leak: str | None = None) -> str:
+    """Names that hold a target's name, runs out of order, and features that go with the label."""
+    values = {n: leak if n not in SOME else n for n in names}
+    bad = " + ".join(" OR ".join(f"contains(lower('{n}'), '{f}')" for f in data.FORBIDDEN).join(("CAST(", " AS INTEGER)")) for n in names)
+    found = " + ".join(f"CAST(coalesce(abs(corr({v}, label_failure)) >= 999e-3 AND stddev_pop({v}) > 1e-6 AND stddev_pop(label_failure) > 1e-6, FALSE) AS INTEGER)" for v in values.values())
+    order = "SELECT count(*) FROM (SELECT run_id FROM (SELECT *, timestamp < lag(timestamp) OVER (PARTITION BY run_id ORDER BY step) AS back FROM mltime) GROUP BY run_id HAVING coalesce(bool_or(back), FALSE) OR coalesce(max(timestamp) FILTER (WHERE split = 'train') > min(timestamp) FILTER (WHERE split = 'validation'), FALSE) OR coalesce(max(timestamp) FILTER (WHERE split = 'validation') > min(timestamp) FILTER (WHERE split = 'test'), FALSE))"
+    checks = {"feature_whitelist": f"SELECT CAST({bad} AS BIGINT)", "temporal_ordering": order, "label_correlation": f"SELECT CAST({found} AS BIGINT) FROM mltime"}
+    return " UNION ALL ".join(f"SELECT '{k}' AS check_name, CASE WHEN found = 0 THEN 'PASS' ELSE 'FAIL' END AS status, found FROM ({v}) x(found)" for k, v in checks.items())
+
+
+add("m13_leakage_audit", lambda s, d: data.leakage_audit(by_time(s, d), SOME), audited(SOME))
+add("m13_leaking_audit", lambda s, d: data.leakage_audit(by_time(s, d).withColumn("leak", F.expr(LEAK)), (*SOME, "leak")), audited((*SOME, "leak"), LEAK))
 NULLS = " + ".join(f"count(*) FILTER (WHERE {f} IS NULL)" for f in data.FEATURES)
 add("m14_dataset_summary", lambda s, d: data.dataset_summary(labelled(s, d)),
     f"SELECT count(*) AS total_rows, count(DISTINCT run_id) AS runs, count(DISTINCT asset_id) AS assets, count(DISTINCT asset_type) AS asset_types, {r('avg(label_failure)', 6)} AS failure_prevalence, {NULLS} AS null_values, min(label_rul) AS min_rul, max(label_rul) AS max_rul, {r('avg(label_rul)', 4)} AS mean_rul, {r('quantile_cont(label_rul, 5e-1)', 4)} AS median_rul, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp FROM mllabel")

@@ -12,6 +12,17 @@ def r(x: str, digits: int) -> str:
     return f"(floor(({x}) * 1e{digits} + 500001e-6) / 1e{digits})"
 
 
+def exact(x: str, digits: int) -> str:
+    """Python's rounding: whole and half from the exact product, which is ``p`` and its error."""
+    scale = f"1e{digits}"
+    high = f"(134217729e0 * {scale} - (134217729e0 * {scale} - {scale}))"
+    split = f"lambda v: {{'v': v, 'p': v * {scale}, 'h': 134217729e0 * v - (134217729e0 * v - v)}}"
+    error = f"((s.h * {high} - s.p) + s.h * ({scale} - {high}) + (s.v - s.h) * {high}) + (s.v - s.h) * ({scale} - {high})"
+    rest = "(s.p - round_even(s.p, 0))"
+    step = f"CASE WHEN {rest} = 5e-1 AND {error} > 0 THEN 1e0 WHEN {rest} = -5e-1 AND {error} < 0 THEN -1e0 ELSE 0e0 END"
+    return f"list_transform(list_transform([CAST({x} AS DOUBLE)], {split}), lambda s: CASE WHEN abs(s.p) < 2251799813685248 THEN (round_even(s.p, 0) + {step}) / {scale} ELSE s.v END)[1]"
+
+
 PARTS: dict[str, str] = {}
 
 PARTS["tel"] = """

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.operators import quality, tables, windows
-from assethealth.plans.oracle import PARTS
+from assethealth.plans.oracle import PARTS, exact
 from assethealth.plans.queries import SUMMARY, add, c, current, flagged, pick, stored_history, stored_queue, stored_snapshots, table
-from assethealth.sources.raw_events import with_defects
+from assethealth.plans.raw_events import with_defects
+from assethealth.plans.store import stored
+from assethealth.schemas import ALERTS, CURRENT_STATE, PREDICTIONS, TELEMETRY
 from assethealth.sources.scratch import scratch
 from assethealth.sources.telemetry import telemetry
 
@@ -20,13 +22,14 @@ def raw(s: SparkSession, d: str) -> DataFrame:
     return with_defects(telemetry(s, d))
 
 
-def checked(s: SparkSession, d: str) -> DataFrame:
-    return quality.validated(raw(s, d), F.lit(float(NOW)))
+# judged once for a session, as an ingestion run does, and read by the queries
+checked = stored("checked", lambda s, d: quality.validated(raw(s, d), F.lit(float(NOW))))
 
 
 PARTS["ranked"] = "SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY arrival) - 1 AS seq, arrival % 97 AS m FROM tel"
 PARTS["copies"] = """SELECT * FROM ranked UNION ALL SELECT * REPLACE (arrival + 1000000 AS arrival) FROM ranked WHERE arrival % 101 = 0
-UNION ALL SELECT * REPLACE (arrival + 2000000 AS arrival, event_id || 'b' AS event_id) FROM ranked WHERE arrival % 103 = 0"""
+UNION ALL SELECT * REPLACE (arrival + 2000000 AS arrival, event_id || 'b' AS event_id) FROM ranked WHERE arrival % 103 = 0
+UNION ALL SELECT * REPLACE (arrival + 3000000 AS arrival, event_id || 'b' AS event_id, timestamp + 5e-1 AS timestamp) FROM ranked WHERE arrival % 103 = 0"""
 PARTS["typed"] = """SELECT arrival, m, m NOT IN (8, 12) AS fits, CASE WHEN m NOT IN (8, 12) THEN event_id END AS event_id, CASE WHEN m NOT IN (8, 12) THEN asset_id END AS asset_id,
   CASE WHEN m = 2 THEN -5 ELSE timestamp END AS ts, CASE WHEN m = 4 THEN 25005e-1 WHEN m = 11 THEN NULL ELSE temperature END AS temperature, CASE WHEN m = 6 THEN -24e-1 ELSE vibration END AS vibration, pressure,
   CASE WHEN m = 0 THEN NULL WHEN m = 5 THEN 60000 ELSE rpm END AS rpm, current, CASE WHEN m = 1 THEN NULL WHEN m = 7 THEN -1 ELSE voltage END AS voltage, power, load,
@@ -35,8 +38,15 @@ PARTS["ruled"] = """SELECT *, list_filter([CASE WHEN NOT fits THEN 'DQ-011' END,
   CASE WHEN fits AND (ts <= 0 OR ts < 1577836800 OR ts > 2051222400) THEN 'DQ-003' END, CASE WHEN fits AND operating_mode NOT IN ('IDLE', 'STARTUP', 'NORMAL', 'HIGH_LOAD', 'MAINTENANCE', 'DEGRADED') THEN 'DQ-004' END,
   CASE WHEN fits AND (temperature < -50 OR temperature > 1500 OR pressure < 0 OR pressure > 2000 OR load < 0 OR load > 200) THEN 'DQ-005' END, CASE WHEN fits AND (rpm < 0 OR rpm > 50000) THEN 'DQ-006' END,
   CASE WHEN fits AND vibration < 0 THEN 'DQ-007' END, CASE WHEN fits AND (voltage < 0 OR current < 0 OR power < 0) THEN 'DQ-008' END], lambda x: x IS NOT NULL) AS found FROM typed"""
-PARTS["seen"] = "SELECT *, len(found) = 0 AS sound, len(found) = 0 AND row_number() OVER (PARTITION BY event_id, CASE WHEN len(found) = 0 THEN 0 ELSE arrival END ORDER BY arrival) > 1 AS again_id FROM ruled"
-PARTS["timed"] = "SELECT *, sound AND coalesce(min(CASE WHEN sound AND NOT again_id THEN arrival END) OVER (PARTITION BY asset_id, CAST(round(ts * 1000) AS BIGINT)) < arrival, FALSE) AS again_time FROM seen"
+PARTS["named"] = f"SELECT *, CASE WHEN fits THEN {exact('ts', 3)} END AS moment FROM ruled"
+# sound events that come first by id and by asset and time are valid; what shares either with them goes, and the rest has its turn
+PARTS["firsts"] = """WITH RECURSIVE turn AS (
+  SELECT arrival, event_id, asset_id, moment, FALSE AS won FROM named WHERE len(found) = 0 UNION ALL
+  SELECT arrival, event_id, asset_id, moment, won FROM (SELECT *, bool_or(won) OVER (PARTITION BY event_id) OR bool_or(won) OVER (PARTITION BY asset_id, moment) AS gone
+    FROM (SELECT arrival, event_id, asset_id, moment, arrival = min(arrival) OVER (PARTITION BY event_id) AND arrival = min(arrival) OVER (PARTITION BY asset_id, moment) AS won FROM turn WHERE NOT won)) WHERE won OR NOT gone)
+SELECT * FROM turn WHERE won"""
+PARTS["timed"] = """SELECT n.*, coalesce(i.arrival < n.arrival, FALSE) AS again_id, coalesce(t.arrival < n.arrival, FALSE) AS again_time
+FROM named n LEFT JOIN firsts i ON i.event_id = n.event_id LEFT JOIN firsts t ON t.asset_id = n.asset_id AND t.moment = n.moment"""
 PARTS["verdicts"] = "SELECT *, list_concat(found, list_filter([CASE WHEN again_id THEN 'DQ-009' END, CASE WHEN again_time THEN 'DQ-010' END], lambda x: x IS NOT NULL)) AS violations FROM timed"
 PARTS["checked"] = f"""SELECT *, len(violations) = 0 AS is_valid, coalesce(fits AND {NOW} - ts > 30, FALSE) AS is_delayed,
   coalesce(fits AND seq <= coalesce(max(CASE WHEN len(violations) = 0 THEN seq END) OVER (PARTITION BY asset_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), FALSE) AS is_out_of_order FROM verdicts"""
@@ -96,11 +106,28 @@ def commits(s: SparkSession, d: str) -> DataFrame:
 
 
 add("s13_commit_history", commits, "SELECT CAST(arrival % 3 AS INTEGER) AS batch_id, count(*) AS rows FROM tel GROUP BY 1")
+
+
+def provisioned(s: SparkSession, d: str) -> DataFrame:
+    """Four tables, created twice and once, and telemetry put in after each time."""
+    place = scratch(s, "tables")
+    name = "lake_" + place[-12:]
+    shapes = {"telemetry": (TELEMETRY, "asset_id"), "predictions": (PREDICTIONS, None), "alerts": (ALERTS, None), "current_state": (CURRENT_STATE, None)}
+    for part in (0, 1):
+        tables.provision(s, name, shapes, place)
+        rows = tables.normalised(telemetry(s, d).where(c("arrival") % 2 == part))
+        rows.repartition("asset_id").select(*s.table(f"{name}.telemetry").columns).write.insertInto(f"{name}.telemetry")
+    return s.table(f"{name}.telemetry").groupBy("asset_id").agg(F.count("*").alias("n")).withColumn("tables", F.lit(len(s.catalog.listTables(name))))
+
+
+add("s7_provisioned_tables", provisioned, "SELECT asset_id, count(*) AS n, 4 AS tables FROM tel GROUP BY asset_id")
 add("s11_row_count", lambda s, d: table("events")(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events")
 add("s12_asset_distribution", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(F.count("*").alias("n")), "SELECT asset_id, count(*) AS n FROM tel GROUP BY asset_id")
 add("s14_relational_read", lambda s, d: pick(s, d, table("customer"), "c_custkey", "c_name", "c_acctbal", where="c_mktsegment = 'MACHINERY'", order=(F.desc("c_acctbal"), "c_custkey"), limit=25), "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 add("s16_cross_catalog", lambda s, d: current(s, d).join(F.broadcast(table("nation")(s, d)), F.expr("cast(right(asset_id, 3) as int) % 25 = n_nationkey")).groupBy("n_name").agg(F.count("*").alias("assets")), "SELECT n_name, count(*) AS assets FROM asset_current_state JOIN nation ON CAST(right(asset_id, 3) AS INTEGER) % 25 = n_nationkey GROUP BY n_name")
 add("s17_result_summary", lambda s, d: current(s, d).select(F.to_json(F.struct("asset_id", "health_state")).alias("row")), "SELECT '{\"asset_id\":\"' || asset_id || '\",\"health_state\":\"' || health_state || '\"}' AS row FROM asset_current_state")
+add("s17_result_export", lambda s, d: tables.result_summary(current(s, d).select("asset_id", "health_state", "health_score"), "states"),
+    "SELECT 'states' AS query_id, 'SUCCESS' AS status, count(*) AS row_count, 3 AS column_count, 'asset_id,health_state,health_score' AS columns FROM asset_current_state")
 
 # -- writes with semantics -------------------------------------------------------
 
@@ -156,5 +183,17 @@ add("u8_record_maintenance", lambda s, d: appended(s, quality.maintenance_breach
 
 add("x1_ingestion_report", lambda s, d: checked(s, d).groupBy(F.coalesce("asset_type", F.lit("UNKNOWN")).alias("kind")).agg(F.count("*").alias("generated"), F.count_if("is_valid").alias("valid"), F.count_if(~c("is_valid")).alias("quarantined")),
     "SELECT CASE WHEN fits THEN asset_type ELSE 'UNKNOWN' END AS kind, count(*) AS generated, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS quarantined FROM checked GROUP BY 1")
+
+
+def run_report(s: SparkSession, d: str) -> DataFrame:
+    """An ingestion run in three batches of valid events, and its report."""
+    path, rows = scratch(s, "lake"), checked(s, d)
+    for batch in range(3):
+        tables.append_once(rows.where(c("is_valid") & (c("arrival") % 3 == batch)).select("event_id", "asset_id"), path, batch)
+    return tables.run_report(s, rows, path).select("run_id", "events_generated", "events_persisted", "events_quarantined", "table_rows", "snapshots", "asset_distribution")
+
+
+add("x1_run_report", run_report, """SELECT 'run' AS run_id, (SELECT count(*) FROM checked) AS events_generated, sum(n)::BIGINT AS events_persisted, (SELECT count(*) FROM checked WHERE NOT is_valid) AS events_quarantined, sum(n)::BIGINT AS table_rows,
+  (SELECT count(DISTINCT arrival % 3) FROM checked WHERE is_valid) AS snapshots, '{' || string_agg('"' || asset_id || '":' || n, ',' ORDER BY asset_id) || '}' AS asset_distribution FROM (SELECT asset_id, count(*) AS n FROM checked WHERE is_valid GROUP BY asset_id)""")
 add("x2_lake_report", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(F.count("*").alias("n"), F.round(F.min("timestamp"), 6).alias("first_ts"), F.round(F.max("timestamp"), 6).alias("last_ts")), "SELECT asset_id, count(*) AS n, round(min(timestamp), 6) AS first_ts, round(max(timestamp), 6) AS last_ts FROM tel GROUP BY asset_id")
 add("x7_unregistered_assets", lambda s, d: quality.unregistered(telemetry(s, d), telemetry(s, d).where("criticality <> 'LOW'")), "SELECT DISTINCT asset_id FROM tel WHERE criticality = 'LOW'")

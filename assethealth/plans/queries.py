@@ -11,7 +11,7 @@ from assethealth.config import SENSORS
 from assethealth.functions import columns as col
 from assethealth.functions.health import streaming_priority
 from assethealth.operators import alerts, features, serving, windows
-from assethealth.plans.oracle import PARTS, REASONS, kpis, r, sql
+from assethealth.plans.oracle import PARTS, REASONS, exact, kpis, r, sql
 from assethealth.plans.store import stored
 from assethealth.sources.telemetry import telemetry
 
@@ -149,7 +149,7 @@ add("p7_enum_defaults", lambda s, d: table("events")(s, d).select("event_id", co
 add("p8_iso_time", lambda s, d: telemetry(s, d).select("arrival", col.iso_utc(c("t_us")).alias("iso")), "SELECT arrival, strftime(make_timestamp(t_us), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS iso FROM tel")
 six = ("temperature", "vibration", "pressure", "current", "voltage", "power")
 add("p9_trigger_values", lambda s, d: telemetry(s, d).withColumn("pressure", F.when(c("arrival") % 7 > 0, c("pressure"))).select("arrival", F.explode(col.trigger_values()).alias("sensor", "value")),
-    "SELECT arrival, sensor, value FROM (" + " UNION ALL ".join(f"SELECT arrival, '{x}' AS sensor, {r(x, 2)} AS value FROM tel" for x in six) + ") WHERE sensor <> 'pressure' OR arrival % 7 > 0")
+    "SELECT arrival, sensor, value FROM (" + " UNION ALL ".join(f"SELECT arrival, '{x}' AS sensor, {exact(x, 2)} AS value FROM tel" for x in six) + ") WHERE sensor <> 'pressure' OR arrival % 7 > 0")
 seven = {"thermal_rise_rate": "thermal_rise_rate", "vibration_slope": "vibration_slope", "pressure_instability": "pressure_instability", "current_ratio": "current_ratio", "vibration_zscore": "vibration_zscore", "mean_vibration": "mean_vibration", "mean_temperature": "mean_temperature"}
 add("p10_supporting_features", lambda s, d: features.rolling_features(telemetry(s, d)).select("arrival", F.explode(col.supporting_features()).alias("feature", "value")), " UNION ALL ".join(f"SELECT arrival, '{k}' AS feature, {v} AS value FROM feat" for k, v in seven.items()))
 CODES = {"a1": "ERR_L1_TEMP_EXCEEDED", "a2": "ERR_L1_VIB_ZONE_D", "a3": "ERR_L1_OVERCURRENT", "a4": "WARN_L2_RAPID_HEATING", "a5": "WARN_L2_VIB_STATISTICAL_DEVIATION", "a6": "WARN_L2_PRESSURE_VARIANCE", "a7": "FAULT_L3_BEARING_FRICTION_COUPLING", "a8": "FAULT_L3_CAVITATION_SHOCKWAVES", "a9": "FAULT_L3_WINDING_ASYMMETRY"}
@@ -160,7 +160,8 @@ add("p12_json_encoding", lambda s, d: scored(s, d).select("arrival", F.to_json(F
 add("p13_stable_ids", lambda s, d: telemetry(s, d).select("arrival", col.stable_id("alert", c("asset_id"), c("arrival")).alias("id")), "SELECT arrival, 'alert-' || asset_id || '-' || arrival || '-' || left(sha256(asset_id || '|' || arrival), 6) AS id FROM tel")
 HORIZON = "CASE WHEN predicted_rul_hours < 24 THEN 'IMMEDIATE (< 24h)' WHEN predicted_rul_hours <= 72 THEN 'SHORT_TERM (24-72h)' WHEN predicted_rul_hours <= 120 THEN 'MEDIUM_TERM (72-120h)' ELSE 'LONG_TERM (> 120h)' END"
 add("p14_rul_horizon", lambda s, d: current(s, d).select("asset_id", col.rul_horizon(c("predicted_rul_hours")).alias("horizon")), f"SELECT asset_id, {HORIZON} AS horizon FROM asset_current_state")
-add("p15_rounding", lambda s, d: table("lineitem")(s, d).select("l_orderkey", "l_linenumber", R(c("l_extendedprice") * (1 - c("l_discount")), 2).alias("net")), f"SELECT l_orderkey, l_linenumber, {r('l_extendedprice * (1 - l_discount)', 2)} AS net FROM lineitem")
+add("p15_rounding", lambda s, d: table("lineitem")(s, d).select("l_orderkey", "l_linenumber", col.rounded_exactly(c("l_extendedprice") * (1 - c("l_discount")), 2).alias("net"), col.rounded_exactly(c("l_quantity") / 8, 1).alias("eighths")),
+    f"SELECT l_orderkey, l_linenumber, {exact('l_extendedprice * (1 - l_discount)', 2)} AS net, {exact('l_quantity / 8', 1)} AS eighths FROM lineitem")
 add("p16_ratio_guards", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(R(F.coalesce(F.try_divide(F.count_if(c("load") > 95), F.nullif(F.count_if(c("load") > 80), F.lit(0))), F.lit(0.0)), 6).alias("ratio")),
     f"SELECT asset_id, {r('coalesce(count(*) FILTER (WHERE load > 95) / nullif(count(*) FILTER (WHERE load > 80), 0), 0e0)', 6)} AS ratio FROM tel GROUP BY asset_id")
 add("p17_minute_bucket", lambda s, d: telemetry(s, d).groupBy(F.date_trunc("minute", F.timestamp_micros("t_us")).alias("minute")).agg(F.count("*").alias("n")), "SELECT date_trunc('minute', make_timestamp(t_us)) AS minute, count(*) AS n FROM tel GROUP BY 1")
@@ -190,7 +191,7 @@ add("l1_alert_severity", lambda s, d: states(s, d).select("arrival", "severity")
 add("l2_alert_gating", lambda s, d: states(s, d).select("arrival", "asset_id", "outcome"), "SELECT arrival, asset_id, outcome FROM states")
 ALERT = ["asset_id", "asset_type", "event_time", "severity", "previous_health_state", "current_health_state", "health_score", "is_state_transition", "is_recovery"]
 add("l3_alerts", lambda s, d: alert_history(s, d).select("arrival", *ALERT, F.array_join("reason_codes", "|").alias("codes"), c("triggering_values")["vibration"].alias("vibration")),
-    f"SELECT arrival, asset_id, asset_type, make_timestamp(t_us) AS event_time, severity, previous_health_state, health_state AS current_health_state, health_score, is_state_transition, is_recovery, array_to_string(list_concat({code_list}, {REASONS}), '|') AS codes, {r('vibration', 2)} AS vibration FROM states WHERE outcome = 2")
+    f"SELECT arrival, asset_id, asset_type, make_timestamp(t_us) AS event_time, severity, previous_health_state, health_state AS current_health_state, health_score, is_state_transition, is_recovery, array_to_string(list_concat({code_list}, {REASONS}), '|') AS codes, {exact('vibration', 2)} AS vibration FROM states WHERE outcome = 2")
 add("l4_alert_counters", lambda s, d: alerts.alert_counters(states(s, d)),
     "SELECT count(*) AS evaluated, count(*) FILTER (WHERE outcome = 2) AS emitted, count(*) FILTER (WHERE outcome = 1) AS suppressed, count(*) FILTER (WHERE is_state_transition) AS transitions, count(*) FILTER (WHERE is_recovery) AS recoveries FROM states")
 

@@ -9,7 +9,7 @@ FIELDS = ("timestamp", "temperature", "vibration", "pressure", "rpm", "current",
 
 
 def with_defects(samples: DataFrame) -> DataFrame:
-    """``raw, arrival``: each sample as JSON; the remainder of arrival by 97 picks a defect, 101 and 103 repeats."""
+    """``raw, arrival``: each sample as JSON; the remainder of arrival by 97 picks a defect, 101 and 103 repeats: of an id, of a time under a new id, and of that id at another time."""
     c, m = F.col, F.col("arrival") % 97
     rows = samples.withColumn("seq", F.row_number().over(Window.partitionBy("asset_id").orderBy("arrival")) - 1)
     value = {f: c(f).cast("string") for f in FIELDS}
@@ -22,8 +22,9 @@ def with_defects(samples: DataFrame) -> DataFrame:
     mode = F.when(m == 3, "TURBO").otherwise(c("operating_mode"))
     sequence = F.when(m == 10, F.lit("0")).otherwise(c("seq").cast("string"))
 
-    def text(event_id: Column) -> Column:
-        pairs = [F.concat(F.lit(f'"{f}":'), v) for f, v in value.items()]
+    def text(event_id: Column, later: float = 0.0) -> Column:
+        values = value | ({"timestamp": F.when(m == 2, F.lit("-5")).otherwise((c("timestamp") + later).cast("string"))} if later else {})
+        pairs = [F.concat(F.lit(f'"{f}":'), v) for f, v in values.items()]
         pairs[4] = F.when(m == 0, F.lit(None)).otherwise(pairs[4])  # rpm goes missing
         names = [F.concat(F.lit(f'"{k}":"'), v, F.lit('"')) for k, v in (("event_id", event_id), ("asset_id", c("asset_id")), ("asset_type", c("asset_type")), ("operating_mode", mode), ("event_time", F.lit("2024-01-01T00:00:00Z")), ("schema_version", F.lit("1.0.0")))]
         whole = F.concat(F.lit("{"), F.concat_ws(",", *names, *pairs, F.concat(F.lit('"sequence_number":'), sequence)), F.lit("}"))
@@ -31,4 +32,5 @@ def with_defects(samples: DataFrame) -> DataFrame:
 
     again = rows.where("arrival % 101 = 0").select(text(c("event_id")).alias("raw"), (c("arrival") + 1_000_000).alias("arrival"))
     other = rows.where("arrival % 103 = 0").select(text(F.concat("event_id", F.lit("b"))).alias("raw"), (c("arrival") + 2_000_000).alias("arrival"))
-    return rows.select(text(c("event_id")).alias("raw"), "arrival").union(again).union(other)
+    third = rows.where("arrival % 103 = 0").select(text(F.concat("event_id", F.lit("b")), 0.5).alias("raw"), (c("arrival") + 3_000_000).alias("arrival"))
+    return rows.select(text(c("event_id")).alias("raw"), "arrival").union(again).union(other).union(third)

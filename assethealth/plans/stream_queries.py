@@ -12,7 +12,7 @@ from assethealth.ml import models
 from assethealth.operators import alerts, tables, windows
 from assethealth.plans.ml_queries import KEPT, features, training
 from assethealth.plans.quality_queries import raw
-from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, scored, telemetry
+from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, scored, stored_alerts, telemetry
 from assethealth.sources.scratch import scratch
 from assethealth.streaming import jobs
 from assethealth.streaming.alert_stream import alert_stream, feature_stream
@@ -62,9 +62,23 @@ def restarted(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def expired(s: SparkSession, d: str) -> DataFrame:
+    """States of samples, and of the same samples three days later: in between one heartbeat two days later lets the watermark pass, so that all states have gone."""
+    rows = scored(s, d).withColumns(alerts.fold_inputs()).select(*INPUT)
+    path, places = scratch(s, "source"), (scratch(s, "stream"), scratch(s, "check"))
+    day = 24 * 3600 * 1_000_000
+    shift = lambda days, to: {"t_us": F.col("t_us") + days * day, "arrival": F.col("arrival") + to}
+    beat = rows.orderBy(F.desc("t_us"), "arrival").limit(1).withColumns(shift(2, 10_000_000)).withColumn("asset_id", F.lit("HEARTBEAT"))
+    for part in (rows, beat, rows.withColumns(shift(3, 20_000_000))):
+        part.coalesce(1).write.mode("append").parquet(path)
+        out = finished(jobs.state_stream(s.readStream.schema(rows.schema).parquet(path)), s, places)
+    return out.where("asset_id <> 'HEARTBEAT'")
+
+
 OUT = "asset_id, arrival, health_state, previous_health_state, severity, is_recovery, outcome"
 add("w7_keyed_state_stream", lambda s, d: state_stream(s, d).select(*OUT.split(", ")), f"SELECT {OUT} FROM states")
 add("w9_checkpoint_restore", lambda s, d: restarted(s, d).select(*OUT.split(", ")), f"SELECT {OUT} FROM states")
+add("w8_state_expiry", lambda s, d: expired(s, d).select(*OUT.split(", ")), f"SELECT {OUT} FROM states UNION ALL SELECT {OUT.replace('arrival', 'arrival + 20000000')} FROM states")
 add("w12_stream_quarantine", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).where("keys IS NULL").select("arrival"), s), "SELECT arrival FROM typed WHERE NOT fits")
 
 
@@ -106,6 +120,8 @@ def routed(s: SparkSession, d: str) -> DataFrame:
     return good.union(bad)
 
 
+add("s3_keyed_messages", lambda s, d: finished(jobs.keyed(streamed(stored_alerts(s, d).select("asset_id", "arrival", "severity"))), s),
+    """SELECT asset_id AS key, '{"asset_id":"' || asset_id || '","arrival":' || arrival || ',"severity":"' || severity || '"}' AS value FROM asset_alert_history""")
 add("s2_bounded_drain", drained, "SELECT count(*) AS n FROM copies GROUP BY arrival % 4")
 add("s4_routed_outputs", routed, "SELECT CASE WHEN len(found) = 0 THEN 'good' ELSE 'bad' END AS output, arrival, array_to_string(found, ',') AS violations FROM ruled")
 add("w1_watermarked_windows", lambda s, d: finished(windows.window_summaries(streamed(flagged(s, d).select("asset_id", "arrival", "t_us", "event_time", "temperature", "vibration", "pressure", "is_anomaly")).withWatermark("event_time", "35 seconds"), 5), s).drop("window_id", "window_type"),

@@ -28,6 +28,11 @@ ALERTS = _struct(
     is_state_transition=T.BooleanType(), is_recovery=T.BooleanType(), reason_codes=_TEXT, triggering_values=_TEXT, maintenance_priority=_TEXT,
 )
 
+CURRENT_STATE = _struct(
+    asset_id=_TEXT, asset_type=_TEXT, operating_mode=_TEXT, health_state=_TEXT, health_score=_NUMBER, failure_probability=_NUMBER, predicted_failure_risk=T.IntegerType(),
+    predicted_rul_hours=_NUMBER, maintenance_priority=_TEXT, active_alert_count=_WHOLE, last_event_time=_TIME, last_prediction_time=_TIME, model_version=_TEXT,
+)
+
 #: Keys that every raw event must have.
 REQUIRED = (
     "asset_id", "asset_type", "current", "event_id", "load", "operating_mode", "power",

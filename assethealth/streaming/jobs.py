@@ -28,10 +28,14 @@ def file_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema("raw string, arrival long").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def keyed(rows: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Rows as messages: the key as text, and the whole row as JSON."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+
+
 def kafka_sink(rows: DataFrame, servers: str, topic: str, checkpoint: str, key: str = "asset_id") -> DataStreamWriter:
     """Rows as JSON, keyed by asset."""
-    out = rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
-    return out.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint})
+    return keyed(rows, key).writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint})
 
 
 def judged(raw: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from assethealth.functions.columns import rounded_exactly
 from assethealth.ml import data, metrics
 from assethealth.operators import alerts, quality, serving, tables, windows
 from assethealth.operators.features import rolling_features
@@ -114,18 +115,45 @@ GOOD = '{"event_id":"%s","asset_id":"MOTOR-001","asset_type":"MOTOR","timestamp"
 
 def test_quality_rules(spark):
     base = GOOD % ("e", 0, 1)
+    again = ",DQ-009,DQ-010"  # of the first event, whatever else is wrong
     cases = [
-        (base, ""), (base.replace('"rpm":1750,', ""), "DQ-001"), (base.replace("400", '"x"'), "DQ-002"), (base.replace("1775347200.0", "-1"), "DQ-003"), (base.replace("NORMAL", "TURBO"), "DQ-004"), (base.replace("68.5", "2000"), "DQ-005"),
-        (base.replace("1750", "60000"), "DQ-006"), (base.replace("1.25", "-1"), "DQ-007"), (base.replace('"voltage":400', '"voltage":-4'), "DQ-008"), (base, "DQ-009,DQ-010"), (GOOD % ("f", 0, 2), "DQ-010"), (base[:30], "DQ-011"), ("[1]", "DQ-011"), (None, "DQ-011"),
-        (GOOD % ("g", 5, 0), ""),
+        (base, ""), (base.replace('"rpm":1750,', ""), "DQ-001" + again), (base.replace("400", '"x"'), "DQ-002" + again), (base.replace("1775347200.0", "-1"), "DQ-003,DQ-009"), (base.replace("NORMAL", "TURBO"), "DQ-004" + again), (base.replace("68.5", "2000"), "DQ-005" + again),
+        (base.replace("1750", "60000"), "DQ-006" + again), (base.replace("1.25", "-1"), "DQ-007" + again), (base.replace('"voltage":400', '"voltage":-4'), "DQ-008" + again), (base, "DQ-009,DQ-010"), (GOOD % ("f", 0, 2), "DQ-010"), (base[:30], "DQ-011"), ("[1]", "DQ-011"), (None, "DQ-011"),
+        (GOOD % ("g", 5, 0), ""), (GOOD % ("f", 7, 3), ""), (GOOD % ("f", 8, 4), "DQ-009"),
     ]
     raw = spark.createDataFrame([(c, i) for i, (c, _) in enumerate(cases)], "raw string, arrival long")
     out = quality.validated(raw, F.lit(1775347300.0)).orderBy("arrival").collect()
     assert [",".join(r.violations) for r in out] == [want for _, want in cases]
-    assert out[-1].is_out_of_order and out[0].is_delayed and not out[0].is_out_of_order
+    assert out[14].is_out_of_order and out[0].is_delayed and not out[0].is_out_of_order
     assert quality.quarantined(quality.validated(raw.limit(0))).count() == 0
 
 
+def test_repeats_are_judged_in_order_of_arrival(spark):
+    """Random ids and times against a plain loop; chains of repeats need several rounds."""
+    rng = random.Random(11)
+    rows = [(i, rng.random() < 0.8, rng.choice(["", *(f"e{k}" for k in range(60))]), f"A{rng.randrange(3)}", float(rng.randrange(1, 40))) for i in range(300)]
+    rows += [(1000 + i, True, f"c{(i + 1) // 2}", "B", float(1 + i // 2)) for i in range(12)]
+    ids, slots, want = set(), set(), {}
+    for arrival, sound, event, asset, t in rows:
+        want[arrival] = (event in ids, (asset, t) in slots)
+        if sound and not any(want[arrival]):
+            ids |= {event} if event else set()
+            slots.add((asset, t))
+    frame = spark.createDataFrame([(*r, [""], "STRING") for r in rows], "arrival long, sound boolean, event_id string, asset_id string, timestamp double, keys array<string>, k_event_id string")
+    got = {r.arrival: (r.again_id, r.again_time) for r in quality.repeats(frame).collect()}
+    assert got == {k: v for k, v in want.items() if any(v)}
+    assert quality.repeats(frame.limit(0)).count() == 0
+
+
+def test_rounding_is_that_of_python(spark):
+    rng = random.Random(3)
+    values = [2.5, -3.5, 0.5, -0.5, 0.125, 2.675, 1.005, -2.675, 0.4999995, 1e16, 1e300, 0.0, -0.0, 62.0625, *(rng.uniform(-1000, 1000) for _ in range(2000)), *(round(rng.uniform(-100, 100), 4) + 5e-5 for _ in range(2000)), *(rng.randrange(-9999, 9999) / 8 for _ in range(500))]
+    frame = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    for digits in (0, 1, 2, 3, 4):
+        got = {r.x: r.y for r in frame.select("x", rounded_exactly(F.col("x"), digits).alias("y")).collect()}
+        assert got == {v: round(v, digits) for v in values} | {None: None}
+
+
 def test_lake_scan_prunes_and_pushes_down(spark, tmp_path):
     rows = spark.createDataFrame([(f"e{i}", "MOTOR-001" if i < 3 else "PUMP-001", 100.0 + 50 * i) for i in range(5)], "event_id string, asset_id string, timestamp double")
     tables.append_lake(tables.normalised(rows), str(tmp_path / "lake"))

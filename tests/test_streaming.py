@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assethealth.operators import alerts, features
-from assethealth.sources.raw_events import with_defects
+from assethealth.plans.raw_events import with_defects
 from assethealth.sources.telemetry import telemetry
 from assethealth.streaming import jobs
 
