@@ -99,3 +99,34 @@ def nearest_rank(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5,
     total = counts.agg(F.sum("n").alias("total"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
     picked = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(s)), F.col("x"))).alias(f"p{round(s * 100)}") for s in shares]
     return ranked.crossJoin(F.broadcast(total)).groupBy("total", "mean").agg(*picked).select(F.col("total").alias("n"), rounded(F.col("mean"), 6).alias("mean"), *[f"p{round(s * 100)}" for s in shares])
+
+
+def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """One row of percentiles ``p50, ...``, between neighbours in proportion; ranks as in ``nearest_rank``. Null without values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    ranked = running_sums(counts, "x", ["n"]).withColumn("upto", F.col("before_n") + F.col("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    place = lambda s: (F.col("total") - 1) * F.lit(s)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
+    between = lambda s: at(F.floor(place(s))) + (at(F.ceil(place(s))) - at(F.floor(place(s)))) * F.max(place(s) - F.floor(place(s)))
+    return ranked.crossJoin(F.broadcast(total)).agg(*[between(s).alias(f"p{round(s * 100)}") for s in shares])
+
+
+def stream_metrics(rows: DataFrame) -> DataFrame:
+    """One row on a stream's progress.
+
+    ``rows`` of ``lateness`` need latency_ms, the number of anomalies, and
+    whether an event was alerted on or quarantined. Processed events are those
+    neither quarantined nor excessively late; they alone have a latency, of
+    0.01 ms at least. Throughput is by seconds from the first to the last event.
+    """
+    done = ~F.col("quarantined") & (F.col("lateness") != "EXCESSIVELY_LATE")
+    latency = percentiles(rows.where(done).withColumn("latency_ms", F.greatest("latency_ms", F.lit(0.01))), "latency_ms")
+    seconds = F.greatest((F.max("t_us") - F.min("t_us")) / 1e6, F.lit(0.001))
+    counts = rows.agg(
+        F.count("*").alias("events_ingested"), F.count_if(done).alias("events_processed"), F.count_if(F.col("lateness") == "LATE_ACCEPTED").alias("events_late"),
+        F.count_if(F.col("lateness") == "EXCESSIVELY_LATE").alias("events_excessively_late"), F.count_if("quarantined").alias("events_quarantined"), F.coalesce(F.sum("anomalies"), F.lit(0)).alias("anomalies_detected"),
+        F.count_if("alerted").alias("alerts_emitted"), F.count_distinct("asset_id").alias("active_assets_count"), rounded(F.max("watermark"), 6).alias("current_watermark"),
+        rounded(F.max("t_us") / 1e6 - F.max("watermark"), 6).alias("watermark_lag_sec"), rounded(F.count_if(done) / seconds, 2).alias("throughput_events_per_sec"),
+    )
+    return counts.crossJoin(latency.select(*[rounded(F.coalesce(p, F.lit(0.0)), 3).alias(f"processing_latency_{p}_ms") for p in latency.columns]))  # a row each

@@ -11,8 +11,9 @@ from assethealth.functions.columns import rounded
 from assethealth.ml import models
 from assethealth.operators import alerts, tables, windows
 from assethealth.plans.ml_queries import KEPT, features, training
-from assethealth.plans.quality_queries import raw
-from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, scored, stored_alerts, telemetry
+from assethealth.plans.oracle import r
+from assethealth.plans.quality_queries import checked, raw
+from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, late_samples, scored, stored_alerts, telemetry
 from assethealth.sources.scratch import scratch
 from assethealth.streaming import jobs
 from assethealth.streaming.alert_stream import alert_stream, feature_stream
@@ -100,6 +101,24 @@ ALERT = "arrival, asset_id, severity, previous_health_state, current_health_stat
 add("w10_raw_to_alert_stream", lambda s, d: raw_to_alert(s, d).select(*ALERT.split(", ")), f"SELECT {ALERT} FROM asset_alert_history")
 
 
+def progress(s: SparkSession, d: str) -> DataFrame:
+    """Progress of late samples: latency is how far an event's time is behind the newest, in ms."""
+    rows = windows.lateness(late_samples(s, d)).withColumn("latency_ms", F.col("watermark") * 1000 + 5000 - F.col("t_us") / 1000)
+    found = scored(s, d).select("arrival", F.size("anomalies").alias("anomalies"))
+    judged = checked(s, d).select("arrival", (~F.col("is_valid")).alias("quarantined"))
+    alerted = stored_alerts(s, d).select("arrival", F.lit(True).alias("alerted"))
+    rows = rows.join(found, "arrival").join(judged, "arrival").join(alerted, "arrival", "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+    return windows.stream_metrics(rows)
+
+
+PACE = ", ".join(r(f"coalesce(quantile_cont(greatest(latency, 1e-2), {q}) FILTER (WHERE done), 0e0)", 3) + f" AS processing_latency_{n}_ms" for n, q in (("p50", "5e-1"), ("p95", "95e-2"), ("p99", "99e-2")))
+add("w13_stream_progress", progress, f"""SELECT count(*) AS events_ingested, count(*) FILTER (WHERE done) AS events_processed, count(*) FILTER (WHERE lateness = 'LATE_ACCEPTED') AS events_late, count(*) FILTER (WHERE lateness = 'EXCESSIVELY_LATE') AS events_excessively_late,
+  count(*) FILTER (WHERE NOT is_valid) AS events_quarantined, CAST(coalesce(sum(anomalies), 0) AS BIGINT) AS anomalies_detected, count(*) FILTER (WHERE outcome = 2) AS alerts_emitted, count(DISTINCT asset_id) AS active_assets_count, {r("max(watermark)", 6)} AS current_watermark,
+  {r("max(t_us) / 1e6 - max(watermark)", 6)} AS watermark_lag_sec, {r("count(*) FILTER (WHERE done) / greatest(1e-3, (max(t_us) - min(t_us)) / 1e6)", 2)} AS throughput_events_per_sec, {PACE}
+FROM (SELECT x.asset_id, x.t_us, x.lateness, x.watermark, y.found AS anomalies, y.outcome, z.is_valid, x.watermark * 1000 + 5000 - x.t_us / 1000 AS latency, z.is_valid AND x.lateness <> 'EXCESSIVELY_LATE' AS done
+  FROM classed x JOIN states y ON y.arrival = x.arrival JOIN checked z ON z.arrival = x.arrival)""")
+
+
 def drained(s: SparkSession, d: str) -> DataFrame:
     """Rows of each micro-batch of a drain that takes one of four files at a time."""
     path, out = scratch(s, "source"), scratch(s, "drained")
