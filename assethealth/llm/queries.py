@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assethealth.llm import decontaminate, exact_dedup, langid, mixing, pseudonyms, quality_rules, secret_scan, simhash, toxicity, warc
+from assethealth.llm import decontaminate, divergence, exact_dedup, langid, lexical, mixing, pseudonyms, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 from assethealth.llm.shared import fresh_dir, text_or_empty
 
 #: Toxicity categories of the chain in its order; ``labels`` has one, which follows low quality.
 CATEGORIES = ("low_quality", "toxic")
 #: Setting that names the key of pseudonyms. Spark shows it in plans and event logs, so keep those as safe as the key.
 PSEUDONYM_KEY = "assethealth.pseudonyms.key"
+SHARDS = 40
+#: SQL that lower-cases A-Z of a text, null as empty.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +90,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col("doc_id"), F.crc32(text_or_empty()).alias("text_crc32")]
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS, columns)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_exact_dedup, op3_warc, op4_decontaminate, op5_toxicity, op6_language_id, op7_secret_scan, op8_mixing, op9_pseudonyms, op10_quality)
+    for f in (
+        op1_simhash, op2_exact_dedup, op3_warc, op4_decontaminate, op5_toxicity, op6_language_id, op7_secret_scan, op8_mixing, op9_pseudonyms, op10_quality,
+        op11_divergence, op12_lexical_search, op13_sharding,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,4 +150,52 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN taken > 0 THEN round(CASE WHEN ramp = 1 THEN need ELSE (sqrt(1 + 2 * (ramp - 1) * need) - 1) / (ramp - 1) END, 9) END AS position
         FROM shares
     """,
+    "op11_divergence": rf"""
+        WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWERED} AS text FROM documents),
+        rows AS (SELECT *, row_number() OVER () AS d FROM docs),
+        words AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows),
+        kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+        languages AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(total) AS HUGEINT) AS n FROM kept GROUP BY lang),
+        sources AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        cells AS (
+          SELECT s.lang, s.source, k.term, k.total, CAST(coalesce(c.c, 0) AS HUGEINT) AS c
+          FROM sources s JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+        sums AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS n FROM cells GROUP BY lang, source),
+        rates AS (
+          SELECT c.*, 1 + (1000000000 * (c.c + 2)) // (s.n + 2 * l.v) AS p, 1 + (1000000000 * (c.total + 2)) // (l.n + 2 * l.v) AS q
+          FROM cells c JOIN sums s USING (lang, source) JOIN languages l USING (lang)),
+        apart AS (
+          SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        terms AS (
+          SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM rates WHERE c > 0 AND p > q),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+    "op12_lexical_search": rf"""
+        WITH words AS (
+          SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        asked AS (
+          SELECT DISTINCT item_id, term
+          FROM (SELECT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        held AS (SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY doc_id, term),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, corpus GROUP BY term, docs),
+        impacts AS (
+          SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)) AS impact
+          FROM held JOIN sizes USING (doc_id), corpus),
+        scores AS (
+          SELECT item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score
+          FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
 }
