@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assethealth.config import ASSET_TYPES, MODES
 from assethealth.functions.columns import rounded_exactly
+from assethealth.operators.graph import components
 from assethealth.schemas import NUMERIC, REQUIRED
-from assethealth.sources.scratch import scratch
+from assethealth.sources.scratch import kept, scratch
 
 EARLIEST, LATEST = 1577836800.0, 2051222400.0
 DELAYED_SECONDS = 30
@@ -61,41 +66,76 @@ def row_rules() -> dict[str, Column]:
     }
 
 
+#: Rounds in which the first events by id and by time are taken, before chains of repeats are followed one by one.
+ROUNDS = 2
+
+
+def first_come(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The valid ones of events sorted by component and arrival: those whose id and time no valid one of their component has had."""
+    now, ids, slots = None, set(), set()
+    for b in batches:
+        keep = []
+        for label, own, slot in zip(*(b.column(c).to_pylist() for c in ("label", "id", "slot")), strict=True):
+            if label != now:
+                now, ids, slots = label, set(), set()
+            valid = own not in ids and slot not in slots
+            if valid:
+                ids.add(own)
+                slots.add(slot)
+            keep.append(valid)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """``arrival, again_id, again_time`` of the events that repeat an earlier valid one's id, or its asset and millisecond.
 
     ``rows`` of ``parsed`` need ``sound``: no rule on single events is broken.
     Of sound events, the first one of both its id and its asset and millisecond
-    is valid, and the others of either are not; with all of these gone, the same
-    holds of the rest. So there are as many rounds as a chain of repeats is
-    long, each over the events that are still open, out of those alone whose id
-    or time comes more than once. Minima are taken before the shuffle, so a
-    common id is no burden. ``arrival`` tells events apart.
+    is valid, and the others of either are not; with all of these gone, the
+    same holds of the rest. ``ROUNDS`` such rounds settle nearly all events,
+    however common an id, since minima are taken before the shuffle. What is
+    left are chains of events that share an id with one neighbour and a time
+    with the other. They are gathered by component, and each component is gone
+    through in order of arrival once, so the number of jobs does not depend on
+    the length of chains. ``arrival`` tells events apart. Events in no group of
+    two take no part at all.
     """
-    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "repeats")
-
-    def kept(table: DataFrame, name: str) -> DataFrame:
-        table.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
-
+    folder = scratch(rows.sparkSession, "repeats")
     known = F.when(F.col("k_event_id") == "STRING", F.nullif("event_id", F.lit("")))
     moment = F.when((F.col("timestamp") != 0) & (F.col("asset_id") != ""), F.concat_ws("@", "asset_id", rounded_exactly(F.col("timestamp"), 3).cast("string")))
-    events = kept(rows.where("keys IS NOT NULL").select("arrival", "sound", known.alias("id"), moment.alias("slot")), "events")
+    events = kept(rows.where("keys IS NOT NULL").select("arrival", "sound", known.alias("id"), moment.alias("slot")), f"{folder}/events")
     common = lambda k: events.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n"), F.bool_or("sound").alias("some")).where("n > 1 AND some").select(k)
     shared = events.join(common("id"), "id", "left_semi").unionByName(events.join(common("slot"), "slot", "left_semi"))
-    shared = kept(shared.dropDuplicates(["arrival"]), "shared")
+    shared = kept(shared.dropDuplicates(["arrival"]), f"{folder}/shared")
     own = lambda k: F.coalesce(F.concat(F.lit("="), k), F.concat(F.lit("!"), F.col("arrival").cast("string"))).alias(k)
     left = shared.where("sound").select("arrival", own("id"), own("slot"))
-    valid, turn = None, 0
-    while valid is None or not left.isEmpty():
-        first = lambda k, left=left: left.groupBy(k).agg(F.min("arrival").alias("arrival"))
-        firsts = kept(first("id").join(first("slot"), "arrival"), f"valid/turn={turn}")
-        left = kept(left.join(firsts.select("id"), "id", "left_anti").join(firsts.select("slot"), "slot", "left_anti"), f"left/turn={turn}")
-        valid, turn = spark.read.schema(firsts.schema).parquet(f"{folder}/valid"), turn + 1
-    at = lambda k: valid.where(F.col(k).startswith("=")).select(F.expr(f"substring({k}, 2)").alias(k), F.col("arrival").alias(f"{k}_at"))
-    seen = shared.join(at("id"), "id", "left").join(at("slot"), "slot", "left")
+    firsts = lambda rows, k: rows.groupBy(k).agg(F.min("arrival").alias("arrival"))
+    valid = []
+    for turn in range(ROUNDS):
+        valid.append(kept(firsts(left, "id").join(firsts(left, "slot"), "arrival"), f"{folder}/valid-{turn}"))
+        left = left.join(valid[-1].select("id"), "id", "left_anti").join(valid[-1].select("slot"), "slot", "left_anti").select("arrival", "id", "slot")
+        left = kept(left, f"{folder}/left-{turn}")
+    if not left.isEmpty():
+        to_first = [left.join(firsts(left, k).select(k, F.col("arrival").alias("a")), k).where("a <> arrival").select("a", F.col("arrival").alias("b")) for k in ("id", "slot")]
+        labels = components(to_first[0].union(to_first[1])).withColumnRenamed("node", "arrival")
+        rest = left.join(labels, "arrival", "left").withColumn("label", F.coalesce("label", "arrival"))
+        rest = rest.repartition("label").sortWithinPartitions("label", "arrival")
+        valid.append(kept(rest.mapInArrow(first_come, rest.schema), f"{folder}/valid-rest"))
+    seen = reduce(DataFrame.unionByName, [v.select("arrival", "id", "slot") for v in valid])
+    at = lambda k: seen.where(F.col(k).startswith("=")).select(F.expr(f"substring({k}, 2)").alias(k), F.col("arrival").alias(f"{k}_at"))
+    found = shared.join(at("id"), "id", "left").join(at("slot"), "slot", "left")
     again = lambda k: F.coalesce(F.col(f"{k}_at") < F.col("arrival"), F.lit(False))
-    return seen.select("arrival", again("id").alias("again_id"), again("slot").alias("again_time")).where("again_id OR again_time")
+    return found.select("arrival", again("id").alias("again_id"), again("slot").alias("again_time")).where("again_id OR again_time")
+
+
+def judged_alone(raw: DataFrame) -> DataFrame:
+    """``parsed`` events with ``found`` (what rules on single events say) and ``sound``, without the parsed JSON itself."""
+    rows = parsed(raw)
+    fits = F.col("keys").isNotNull()
+    found = [F.when(F.when(fits, m).isNotNull(), F.struct(F.lit(k).alias("rule"), m.alias("message"))) for k, m in row_rules().items()]
+    malformed = F.when(~fits, F.struct(F.lit("DQ-011").alias("rule"), F.lit("not a JSON object").alias("message")))
+    rows = rows.withColumn("found", F.filter(F.array(malformed, *found), lambda x: x.isNotNull()))
+    return rows.withColumn("sound", F.size("found") == 0).drop("v")
 
 
 def validated(raw: DataFrame, now: Column | None = None) -> DataFrame:
@@ -105,30 +145,26 @@ def validated(raw: DataFrame, now: Column | None = None) -> DataFrame:
     event is a duplicate if an earlier valid one has its event_id, or its asset
     and time to the millisecond, in order of ``arrival``, which no two events
     share; an event that is itself rejected does not count as seen. ``now`` is
-    the time that delays are measured against, in epoch seconds. Repeats are
-    worked out when this is called (``repeats``).
+    the time that delays are measured against, in epoch seconds. Events are
+    parsed once, into a table, when this is called, and repeats are worked out
+    from it (``repeats``).
     """
-    rows = parsed(raw)
+    rows = kept(judged_alone(raw), scratch(raw.sparkSession, "judged"))
     fits = F.col("keys").isNotNull()
-    rules = row_rules()
-    found = [F.when(F.when(fits, m).isNotNull(), F.struct(F.lit(k).alias("rule"), m.alias("message"))) for k, m in rules.items()]
-    malformed = F.when(~fits, F.struct(F.lit("DQ-011").alias("rule"), F.lit("not a JSON object").alias("message")))
-    rows = rows.withColumn("found", F.filter(F.array(malformed, *found), lambda x: x.isNotNull()))
-    rows = rows.withColumn("sound", F.size("found") == 0)
-    again = repeats(rows)
-    rows = rows.join(again, "arrival", "left")
+    rows = rows.join(repeats(rows), "arrival", "left")
     twice = F.filter(F.array(
         F.when(F.col("again_id"), F.struct(F.lit("DQ-009").alias("rule"), F.concat(F.lit("duplicate event_id: "), "event_id").alias("message"))),
         F.when(F.col("again_time"), F.struct(F.lit("DQ-010").alias("rule"), F.lit("duplicate asset and timestamp").alias("message"))),
     ), lambda x: x.isNotNull())
     rows = rows.withColumn("found", F.concat("found", twice)).withColumn("is_valid", F.size("found") == 0)
-    earlier = F.max(F.when(F.col("is_valid"), F.col("sequence_number"))).over(Window.partitionBy("asset_id", F.when(fits, F.lit(0)).otherwise(F.col("arrival"))).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    one_asset = Window.partitionBy("asset_id", F.when(fits, F.lit(0)).otherwise(F.col("arrival")))
+    earlier = F.max(F.when(F.col("is_valid"), F.col("sequence_number"))).over(one_asset.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
     clock = now if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
     return rows.withColumns({
         "violations": F.transform("found", lambda x: x["rule"]), "messages": F.transform("found", lambda x: x["message"]),
         "is_delayed": F.coalesce(fits & (clock - F.col("timestamp") > DELAYED_SECONDS), F.lit(False)),
         "is_out_of_order": F.coalesce(fits & (F.col("sequence_number") <= F.coalesce(earlier, F.lit(-1))), F.lit(False)),
-    }).drop("found", "sound", "again_id", "again_time", "v")
+    }).drop("found", "sound", "again_id", "again_time")
 
 
 def quarantined(checked: DataFrame, run_id: str = "run") -> DataFrame:
