@@ -28,8 +28,6 @@ TERMS = 10
 SCALE = 1_000_000_000
 #: Distinct terms a task holds before it passes their counts on.
 HELD_TERMS = 200_000
-#: Terms that are numbered together, about.
-NUMBERED = 256
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -91,17 +89,14 @@ def numbered(kept: DataFrame) -> DataFrame:
 
     Terms of about one frequency share a block, since few levels meet there.
     A block holds 64 rare terms, 8 less rare ones, or one frequent term, whose
-    count is a level of its own in nearly every source. Numbers are given
-    within hash buckets of about ``NUMBERED`` terms, so a language's whole
-    vocabulary is never in one task.
+    count is a level of its own in nearly every source. Terms are dealt by
+    ranges and numbered where they are, so a vocabulary of any size is spread.
     """
-    rows = kept.withColumn("grade", F.floor(F.log2("total")).cast("int"))
+    grade = F.floor(F.log2("total")).cast("int").alias("grade")
+    ordered = kept.select("lang", "term", "total", grade).repartitionByRange("lang", "grade", "term").sortWithinPartitions("lang", "grade", "term")
+    rows = written(ordered.withColumn("place", F.monotonically_increasing_id()), "numbered")
     width = F.when(F.col("grade") < 6, 64).otherwise(F.when(F.col("grade") < 10, 8).otherwise(1))
-    sizes = rows.groupBy("lang", "grade").agg(F.ceil(F.count("*") / NUMBERED).alias("buckets"))
-    rows = rows.join(sizes, ["lang", "grade"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")))
-    place = F.row_number().over(Window.partitionBy("lang", "grade", "bucket").orderBy("term")) - 1
-    rows = rows.withColumn("place", place)
-    block = F.shiftleft(F.col("grade").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("bucket"), 16)).bitwiseOR(_div(F.col("place"), width))
+    block = F.shiftleft(F.col("grade").cast("long"), 56).bitwiseOR(_div(F.col("place"), width))
     return rows.select("lang", "term", "total", block.alias("block"), (F.col("place") % width).cast("int").alias("bit"))
 
 
