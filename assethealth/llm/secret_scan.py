@@ -87,7 +87,9 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     share or lack a doc_id, keep their own spans. Extra columns are ignored.
     """
     text = text_or_empty()
-    found = docs.select("doc_id", F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), text), 256).alias("doc"), base_spans(text).alias("base"), weak_spans(text).alias("weak"))
+    own = F.col("doc_id").cast("string")
+    known = F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("none"))
+    found = docs.select("doc_id", F.sha2(F.concat(known, F.lit("\n"), text), 256).alias("doc"), base_spans(text).alias("base"), weak_spans(text).alias("weak"))
     found = written(found, "spans")
     both = found.where(F.size("weak") > 0).select("doc", F.explode(F.concat("base", "weak")).alias("s")).select("doc", "s.start", "s.rank", "s.end").distinct()
     linked = linked_spans(written(both, "parts"), scope).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("linked"))
