@@ -20,8 +20,6 @@ CLUSTERS = 3
 SAMPLE = 600
 #: Share of a language's sample that lies beyond its rejection distance.
 REJECTED = 0.002
-#: Languages that are learnt at most, those with the most texts: bounds the model, which is broadcast.
-MOST_LANGUAGES = 2000
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -82,27 +80,35 @@ class Centroids:
     reach: np.ndarray  # least cosine of each centroid's language
 
 
-def sampled(rows: DataFrame, sample: int, most_languages: int) -> DataFrame:
+def sampled(rows: DataFrame, sample: int, most_languages: int | None) -> DataFrame:
     """``lang, h, text`` of about ``sample`` to twice as many texts of each language, or all it has.
 
     A text is taken if its hash, as a share of all hashes, is below a share
-    that the language's size sets, so the sample's size does not grow with the
-    table. Rows that repeat count once, and meet in a partial aggregate.
+    that the language's number of distinct rows sets, so the sample's size
+    does not grow with the table. That number is estimated by a sketch (error
+    of 2 %, well below the half that the share has to spare). Rows that repeat
+    count once, and meet in a partial aggregate.
     """
-    counts = written(rows.groupBy("lang").agg(F.count("*").alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_languages), "languages")
-    share = (F.xxhash64("doc_id", "text").cast("double") / 2.0**64) + 0.5
-    some = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("share", share).join(F.broadcast(counts), "lang")
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts"), F.count("*").alias("rows"))
+    if most_languages is not None:
+        counts = counts.orderBy(F.desc("rows"), "lang").limit(most_languages)
+    share = (F.col("h").cast("double") / 2.0**64) + 0.5
+    some = hashed.withColumn("share", share).join(written(counts.drop("rows"), "languages"), "lang")
     return some.where(F.col("share") <= 1.5 * sample / F.col("texts")).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
 
 
-def fit_centroids(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> Centroids:
+def fit_centroids(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, most_languages: int | None = None) -> Centroids:
     """Fit on ``docs(doc_id, text, lang)``; rows with a null lang or without a letter teach nothing.
 
     Document frequencies come from all rows. Centroids are clustered language
     by language from ``sample`` texts at most each, so a task holds few
     texts, however large the table and whatever its doc_ids (null ones are
-    told apart by their texts). ``most_languages`` bounds the model. With no
-    rows there are no centroids, and every text is ``und``.
+    told apart by their texts). Every language is learnt; a model takes 48 KB
+    a language, on the driver and on executors. A caller who wants a smaller
+    one gives ``most_languages``: those with the most rows. With no rows there
+    are no centroids, and every text is ``und``; repeated rows count once in
+    the sample and each in the frequencies.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     seen, n = document_frequencies(rows)
@@ -114,10 +120,13 @@ def fit_centroids(docs: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPL
         x = unit_vectors(list(pdf["text"]), idf)
         centres = spherical_kmeans(x, clusters)
         reach = float(np.quantile((x @ centres.T).max(1), REJECTED))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "vector": list(centres), "reach": reach})
+        centres = centres[np.argsort(centres[:, 0], kind="stable")]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "place": range(len(centres)), "vector": [c.tobytes() for c in centres], "reach": reach})
 
-    got = cut.groupBy("lang").applyInPandas(run, "lang string, vector array<float>, reach double").orderBy("lang", F.element_at("vector", 1)).collect()
-    return Centroids(idf, [r["lang"] for r in got], np.array([r["vector"] for r in got], np.float32).reshape(-1, DIMENSIONS), np.array([r["reach"] for r in got]))
+    made = written(cut.groupBy("lang").applyInPandas(run, "lang string, place int, vector binary, reach double"), "centroids")
+    got = list(made.orderBy("lang", "place").toLocalIterator())
+    vectors = np.array([np.frombuffer(r["vector"], np.float32) for r in got], np.float32).reshape(-1, DIMENSIONS)
+    return Centroids(idf, [r["lang"] for r in got], vectors, np.array([r["reach"] for r in got]))
 
 
 def predict_language(docs: DataFrame, model: Centroids) -> DataFrame:
@@ -127,8 +136,10 @@ def predict_language(docs: DataFrame, model: Centroids) -> DataFrame:
     that cosine; ``und`` with score 0 if the text is null or has no letter.
     ``rejected`` marks texts farther from it than nearly all of the language's
     own sample: a caller who would rather have no answer takes them as ``und``.
+    Rows that repeat are judged repeatedly; an empty table gives none; a
+    doc_id may be null or repeated; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x clusters vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 48 KB a language
 
     def make() -> Callable[[list[str]], dict]:
         m = shared.value
