@@ -12,16 +12,19 @@ from itertools import repeat
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assethealth.llm.shared import keep_rows, map_texts
+from assethealth.llm.shared import keep_rows, map_texts, pieces, written
 
 SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 K1, B = 1.2, 0.75
 BLOCK = 8
 #: Words of an index entry at most; longer items are indexed in pieces.
 PIECE = 96
+#: Words of a passage: two of the longest entries, whatever a benchmark's own ones are.
+WINDOW = 2 * PIECE
 #: Words of test items in one index at most; more are searched in several passes.
 INDEX_WORDS = 2_000_000
 #: Share of an entry's own score that a passage must reach to be retrieved.
@@ -135,7 +138,6 @@ class Index:
     item_of: np.ndarray
     ids: list[object]
     texts: list[str]
-    window: int
     cut: dict[int, tuple[list[bytes], list[bytes]]] = field(default_factory=dict)
 
     def parts(self, item: int) -> tuple[list[bytes], list[bytes]]:
@@ -147,24 +149,72 @@ class Index:
         return self.cut[item]
 
 
-def build_index(items: list[tuple[object, str | None]]) -> Index | None:
-    pieces = [(i, w[at : at + PIECE]) for i, (_, t) in enumerate(items) for w in [words_of(t)] for at in range(0, max(1, len(w)), PIECE) if w]
-    if not pieces:
+def cut_up(text: str | None) -> list[list[bytes]]:
+    """Index entries of an item: its words in runs of ``PIECE`` at most."""
+    w = words_of(text)
+    return [w[at : at + PIECE] for at in range(0, len(w), PIECE)]
+
+
+@dataclass
+class Statistics:
+    """What impacts need of a whole benchmark: its entries, their words in all, and how many hold each term."""
+
+    entries: int
+    words: int
+    df: dict[bytes, int]
+
+
+def counted(items: list[tuple[object, str | None]]) -> Statistics:
+    """The statistics of items that are all of a benchmark."""
+    cut = [w for _, t in items for w in cut_up(t)]
+    return Statistics(len(cut), sum(map(len, cut)), Counter(t for w in cut for t in set(w)))
+
+
+def term_table(benchmark: DataFrame) -> DataFrame:
+    """``term, entries, words`` of a benchmark of any size: a row a term, and one without a term that holds all entries and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for batch in batches for piece in pieces(batch)):
+            found = counted([(None, t) for t in b.column("text").to_pylist()])
+            terms, n = list(found.df), list(found.df.values())
+            yield pa.RecordBatch.from_pydict({
+                "term": pa.array([None, *terms], pa.binary()), "entries": pa.array([found.entries, *n], pa.int64()), "words": pa.array([found.words, *[0] * len(n)], pa.int64()),
+            })
+
+    rows = benchmark.select("text").mapInArrow(run, "term binary, entries long, words long")
+    return rows.groupBy("term").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words"))
+
+
+def of_lot(table: DataFrame, items: list[tuple[object, str | None]]) -> Statistics:
+    """The whole benchmark's statistics, with frequencies of one lot's terms alone; the table passes the driver a part at a time."""
+    own, out = {t for _, x in items for t in words_of(x)}, Statistics(0, 0, {})
+    for r in table.toLocalIterator():
+        if r["term"] is None:
+            out.entries, out.words = r["entries"], r["words"]
+        elif bytes(r["term"]) in own:
+            out.df[bytes(r["term"])] = r["entries"]
+    return out
+
+
+def build_index(items: list[tuple[object, str | None]], known: Statistics | None = None) -> Index | None:
+    """An index of ``items``; ``known`` are the statistics of the benchmark they are part of, if they are not all of it."""
+    parts = [(i, w) for i, (_, t) in enumerate(items) for w in cut_up(t)]
+    if not parts:
         return None
-    pieces.sort(key=lambda p: len(p[1]))
-    df = Counter(t for _, w in pieces for t in set(w))
-    mean = sum(len(w) for _, w in pieces) / len(pieces)
-    terms = {t: i for i, t in enumerate(sorted(df))}
+    parts.sort(key=lambda p: len(p[1]))
+    known = known or counted(items)
+    df, mean, entries = known.df, known.words / known.entries, known.entries
+    terms = {t: i for i, t in enumerate(sorted({t for _, w in parts for t in w}))}
     term_of, impact_of, sizes = [], [], []
-    for _, w in pieces:
-        raw = {t: log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * len(w) / mean)) for t, k in Counter(w).items()}
+    for _, w in parts:
+        raw = {t: log(1 + (entries - df[t] + 0.5) / (df[t] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * len(w) / mean)) for t, k in Counter(w).items()}
         own = sum(raw.values())
         least = sum(sorted(raw.values())[: len(raw) - int(len(w) * (1 - OVERLAP) + 1e-9)])
         own = min(own, least / RETRIEVED) if least > 0 else own
         term_of.append(np.fromiter((terms[t] for t in raw), np.int64, len(raw)))
         impact_of.append(np.fromiter(raw.values(), float, len(raw)) / own)
         sizes.append(len(raw))
-    term, impact, entry = np.concatenate(term_of), np.concatenate(impact_of), np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    term, impact, entry = np.concatenate(term_of), np.concatenate(impact_of), np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     order = np.lexsort((entry, term))
     term, impact, entry = term[order], impact[order], entry[order]
     places = np.searchsorted(term, np.arange(len(terms) + 2))  # the last is for unknown words
@@ -172,7 +222,7 @@ def build_index(items: list[tuple[object, str | None]]) -> Index | None:
     most = np.append(np.maximum.reduceat(impact, places[:-2]), 0.0)
     return Index(
         terms, Lists(places, entry), Lists(places, impact), np.searchsorted(term[first], np.arange(len(terms) + 2)), entry[first] // BLOCK, np.maximum.reduceat(impact, first), most,
-        np.array([i for i, _ in pieces]), [i for i, _ in items], [t or "" for _, t in items], 2 * max(len(w) for _, w in pieces),
+        np.array([i for i, _ in parts]), [i for i, _ in items], [t or "" for _, t in items],
     )
 
 
@@ -246,16 +296,17 @@ def wand(index: Index, query: list[int], threshold: float, able: list[int]) -> l
 def contained(index: Index, text: str) -> dict[int, float]:
     """Test items (places in the index) that the text holds, each with the lesser share of its question and answer that is there (``held``).
 
-    Passages of twice the longest entry, each half over the last, cover every
-    place an entry could stand. A passage is searched only if the sum of its
+    Passages of ``WINDOW`` words, each half over the last, cover every place an
+    entry could stand, and an item whose question and answer lie apart, if
+    together they span half a window. A passage is searched only if the sum of its
     terms' largest impacts can reach the threshold at all.
     """
     words = words_of(text)
     ids = np.fromiter(map(index.terms.get, words, repeat(len(index.terms))), np.int64, len(words))
-    half, out = index.window // 2, {}
+    half, out = WINDOW // 2, {}
     sums = np.concatenate([[0.0], np.cumsum(index.most[ids])])
     starts = np.arange(0, max(1, len(words) - half + 1), half) if len(words) else np.array([], int)
-    ends = np.minimum(starts + index.window, len(words))
+    ends = np.minimum(starts + WINDOW, len(words))
     able = sums[ends] - sums[starts] >= RETRIEVED
     starts, ends = starts[able], ends[able]
     for p, blocks, terms in passage_blocks(index, ids, starts, ends, RETRIEVED):
@@ -264,7 +315,7 @@ def contained(index: Index, text: str) -> dict[int, float]:
             if item in out:
                 continue
             question, answer = index.parts(item)
-            reach = max(index.window, 2 * (len(question) + len(answer)))
+            reach = max(WINDOW, 2 * (len(question) + len(answer)))
             share = held(question, answer, words[max(0, starts[p] - reach) : ends[p] + reach])
             if share:
                 out[item] = share
@@ -272,19 +323,24 @@ def contained(index: Index, text: str) -> dict[int, float]:
 
 
 def index_lots(benchmark: DataFrame, index_words: int = INDEX_WORDS) -> Iterator[Index]:
-    """Indexes of the items, ``index_words`` words at most in each, whatever the benchmark's size."""
+    """Indexes of the items, ``index_words`` words at most in each, whatever the benchmark's size.
+
+    Impacts rest on the statistics of the whole benchmark and passages have
+    one length, so what is found does not depend on how it is cut.
+    """
+    table = written(term_table(benchmark), "benchmark-terms")
     lot: list[tuple[object, str]] = []
     size = 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         words = len(words_of(r["text"]))
         if lot and size + words > index_words:
-            yield build_index(lot)
+            yield build_index(lot, of_lot(table, lot))
             lot, size = [], 0
         if words:
             lot.append((r["item_id"], r["text"]))
             size += words
     if lot:
-        yield build_index(lot)
+        yield build_index(lot, of_lot(table, lot))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -319,7 +375,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, index_words: int =
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item; rows are judged in place, without a join."""
+    """The rows of ``docs``, all columns, whose text holds no test item; rows are judged in place, without a join.
+
+    Null, empty and repeated rows are as in ``find_contamination``: the first
+    two stay, the last are judged each. An empty table gives none.
+    """
     for index in index_lots(benchmark, index_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
