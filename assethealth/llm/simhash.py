@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assethealth.llm.components import connected_components
-from assethealth.llm.shared import map_texts, written
+from assethealth.llm.shared import map_texts, text_or_empty, written
 
 RADIUS = 2
 #: A bucket with more distinct fingerprints than this is linked through hubs.
@@ -374,12 +374,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each group of ``similar_groups``: the least doc_id's.
+    """The rows of ``docs``, all columns, one document of each group of ``similar_groups``: the least doc_id's.
 
-    Rows that repeat that doc_id stay together, and so do rows without a
-    doc_id, which are not told apart here: exact deduplication comes first.
+    A document is a doc_id and a text, so rows that share a doc_id, or have
+    none, are judged each by its own text; those without come last. Of texts
+    with one doc_id in a group that with the least MD5 stays. Rows equal in
+    both stay together: exact deduplication comes first. An empty table gives
+    none.
     """
-    groups = similar_groups(docs.where("doc_id IS NOT NULL"), size, similarity)
-    stays = written(groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct(), "stays")
-    named = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc_id"), F.md5(text_or_empty()).alias("md5"))
+    groups = similar_groups(docs.select(own.alias("doc_id"), "text"), size, similarity)
+    stays = written(groups.where(F.col("doc_id") == F.col("keep_id")).select(F.col("doc_id").alias("own")).distinct(), "stays")
+    rows = docs.select(own.alias("own"), F.struct("*").alias("row"))
+    return rows.join(stays, "own", "left_semi").select("row.*")
