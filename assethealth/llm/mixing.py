@@ -78,33 +78,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[floa
 
     The running sum of a source is made in two steps, over hash buckets and
     within each, so one source may hold any share of the rows; buckets grow in
-    number with the rows, never in size. A null text has size 0 and is never
-    taken; a null source is a source; rows with equal or null doc_ids are
-    ordered by size, and equal rows change places without effect. An empty
-    table gives none; extra columns are ignored. Reruns agree.
+    number with the rows, never in size, also where many rows share a doc_id
+    or lack one (``bucketed``). A null text has size 0 and is never taken; a
+    null source is a source; rows with equal or null doc_ids are ordered by
+    size, then by their texts' hash, and equal rows change places without
+    effect. An empty table gives none; extra columns are ignored. Reruns agree.
     """
-    rows = written(sized(docs.select("doc_id", "source", "text")).drop("row"), "sizes")
+    place = F.xxhash64(F.monotonically_increasing_id()).alias("r")
+    rows = written(sized(docs.select("doc_id", "source", "text")).drop("row").select("*", place), "sizes")
     mixed = placed(rows, weights, ramps, most, bucket_rows)
     return in_training_order(mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "takes"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, h`` (MD5 of doc_id), and the whole ``row``, whatever its columns are called."""
+    """``doc_id, source, size, h`` (MD5 of doc_id), ``t`` (of the text), and the whole ``row``, whatever its columns are called."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "source", word_count().alias("size"), h.alias("h"), F.struct("*").alias("row"))
+    t = F.lpad(F.lower(F.hex(F.xxhash64(text_or_empty()))), 16, "0")
+    return docs.select("doc_id", "source", word_count().alias("size"), h.alias("h"), t.alias("t"), F.struct("*").alias("row"))
 
 
-def placed(rows: DataFrame, weights: tuple[float, ...], ramps: tuple[float, ...], most: int, bucket_rows: int) -> DataFrame:
-    """``rows`` of ``sized`` with ``source_size, target, taken, position, takes``."""
-    # a power of 16 buckets, by the first digits of the hash
+def bucketed(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """``rows`` of ``sized`` with ``bucket``, a text in whose order buckets follow one another as their rows do.
+
+    A bucket is a power of 16 by the first digits of ``h``. Where many rows
+    share one ``h``, as those without a doc_id do, buckets around it have the
+    whole of ``h``, and its own rows are dealt further by size and text. Rows
+    equal in all of these stay together, unless they have ``r``, where they
+    stand in a written table.
+    """
     digits = max(1, ceil(log2(max(rows.count() / bucket_rows, 1)) / 4))
     rows = rows.withColumn("bucket", F.substr("h", F.lit(1), F.lit(digits)))
+    crowded = lambda by, name: written(rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > 4 * bucket_rows).select(by, F.lit(True).alias(name)), name)
+    rows = rows.join(crowded("bucket", "near_hot"), "bucket", "left").join(crowded("h", "hot"), "h", "left")
+    finer = [F.col("h"), F.lpad(F.col("size").cast("string"), 19, "0"), F.substring("t", 1, 4), *([F.substring(F.hex("r"), 1, 2)] if "r" in rows.columns else [])]
+    bucket = F.when(F.col("hot"), F.concat_ws("|", *finer)).when(F.col("near_hot"), F.col("h")).otherwise(F.col("bucket"))
+    return rows.withColumn("bucket", bucket).drop("hot", "near_hot")
+
+
+def placed(rows: DataFrame, weights: tuple[float, ...], ramps: tuple[float, ...], most: int, bucket_rows: int) -> DataFrame:
+    """``rows`` of ``sized`` with ``source_size, target, taken, position, takes``."""
+    rows = bucketed(rows, bucket_rows)
     buckets = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "source-buckets")
     targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ramps, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     starts = starts.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "bucket", "start", "source_size", "target", "ramp")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     found = found.alias("p").join(written(starts, "starts").alias("s"), F.expr("p.source <=> s.source AND p.bucket = s.bucket"))
     found = found.select("p.*", "source_size", "target", "ramp", (F.col("start") + F.col("inner")).alias("at"))
@@ -121,6 +140,7 @@ def curriculum(docs: DataFrame, **options: object) -> DataFrame:
 
     All columns of ``docs`` (those the mix adds give way to its own), with
     ``size``, ``source_size``, ``target``, ``taken``, ``position`` and ``takes``.
+    Nulls, ties and repeated rows are as in ``mix``; an empty table gives none.
     """
     return in_training_order(taken_rows(docs, {k: F.col(k) for k in OWN}, **options))
 
@@ -129,7 +149,8 @@ def schedule(docs: DataFrame, **options: object) -> DataFrame:
     """One row a take, range-sorted by training position: repeats come over the rest of training.
 
     As ``curriculum``, but ``taken`` is the words of this take, ``position``
-    its own, and ``take`` its number from 1.
+    its own, and ``take`` its number from 1. Nulls, ties and repeated rows are
+    as in ``mix``; an empty table gives none.
     """
     one = F.explode("takes")
     own = {k: F.col(k) for k in OWN[:3]} | {"taken": F.col("one.words"), "position": F.col("one.position"), "take": F.col("one.take")}
