@@ -57,14 +57,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """``docs(doc_id, text)`` with the columns of ``labels``, for the ``bound`` labels with the least hash of doc_id.
+    """``docs(doc_id, text)`` with the columns of ``labels`` and ``h``: ``bound`` rows at most, those with the least hash ``h`` of doc_id.
 
-    The sample is drawn from the narrow label table, so ``bound`` ids and
-    labels go to the documents, and no text is shuffled or sorted.
+    Rows equal in id, text and labels count once. ``bound`` labels with the
+    least hashes are drawn from the label table, then ``bound`` of the hashes
+    of their texts, as one id may have many; only the texts so chosen travel.
     """
     names = [c for c in labels.columns if c != "doc_id"]
-    some = labels.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", *names).limit(bound)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    some = labels.distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", *names).limit(bound)
+    text = text_or_empty()
+    hashes = docs.select("doc_id", F.xxhash64(text).alias("text_hash")).join(F.broadcast(some), "doc_id").distinct()
+    chosen = written(hashes.orderBy("h", "doc_id", "text_hash", *names).limit(bound), "chosen")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).join(F.broadcast(chosen), ["doc_id", "text_hash"])
+    return rows.groupBy("doc_id", "text_hash", "h", *names).agg(F.any_value("text").alias("text")).drop("text_hash")
 
 
 def text_or_empty(column: str = "text") -> Column:
