@@ -34,3 +34,29 @@ def with_defects(samples: DataFrame) -> DataFrame:
     other = rows.where("arrival % 103 = 0").select(text(F.concat("event_id", F.lit("b"))).alias("raw"), (c("arrival") + 2_000_000).alias("arrival"))
     third = rows.where("arrival % 103 = 0").select(text(F.concat("event_id", F.lit("b")), 0.5).alias("raw"), (c("arrival") + 3_000_000).alias("arrival"))
     return rows.select(text(c("event_id")).alias("raw"), "arrival").union(again).union(other).union(third)
+
+
+#: What stream messages hold of a sample, beside event_id and sequence_number.
+CARRIED = ("asset_id", "asset_type", "operating_mode", *FIELDS)
+
+
+def stream_messages(samples: DataFrame) -> DataFrame:
+    """``raw, arrival, t_us``: samples in time order by asset, and bad messages right after some of them.
+
+    ``arrival`` is ten times a sample's number within its asset, and more for
+    what follows it: 1 a broken copy, 2 the same message again, 3 its time
+    under a new id, 4 a message of a minute before. Some samples come with
+    sequence number 0.
+    """
+    c = F.col
+    rows = samples.withColumn("place", F.row_number().over(Window.partitionBy("asset_id").orderBy("t_us", "arrival")))
+    number = F.when(c("arrival") % 107 == 0, 0).otherwise(c("place"))
+
+    def message(after: int, every: int | None, event_id: Column, seconds: float = 0.0) -> DataFrame:
+        some = rows if every is None else rows.where(c("arrival") % every == 0)
+        values = [(c(f) + seconds).alias(f) if f == "timestamp" and seconds else c(f) for f in CARRIED]
+        text = F.to_json(F.struct(event_id.alias("event_id"), *values, number.alias("sequence_number"), F.lit("1.0.0").alias("schema_version")))
+        return some.select((F.substring(text, 1, 40) if after == 1 else text).alias("raw"), (c("place") * 10 + after).cast("long").alias("arrival"), "t_us")
+
+    own, suffixed = c("event_id"), lambda x: F.concat("event_id", F.lit(x))
+    return message(0, None, own).union(message(1, 97, own)).union(message(2, 101, own)).union(message(3, 103, suffixed("b"))).union(message(4, 89, suffixed("l"), -60.0))

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.functions.columns import rounded
 from assethealth.ml import models
 from assethealth.operators import alerts, tables, windows
 from assethealth.plans.ml_queries import KEPT, features, training
-from assethealth.plans.oracle import r
+from assethealth.plans.oracle import PARTS, r
 from assethealth.plans.quality_queries import checked, raw
-from assethealth.plans.queries import SUMMARY, add, alert_history, flagged, late_samples, scored, stored_alerts, telemetry
+from assethealth.plans.queries import SUMMARY, Query, add, alert_history, flagged, late_samples, scored, stored_alerts, telemetry
+from assethealth.plans.raw_events import stream_messages
 from assethealth.sources.scratch import scratch
-from assethealth.streaming import jobs
-from assethealth.streaming.alert_stream import alert_stream, feature_stream
+from assethealth.sources.telemetry import events
+from assethealth.streaming import asset_stream, jobs
 
 
 def finished(stream: DataFrame, spark: SparkSession, places: tuple[str, str] | None = None) -> DataFrame:
@@ -45,11 +46,11 @@ INPUT = ["asset_id", "arrival", "t_us", "health_score", "critical", "found", "wo
 
 
 def state_stream(s: SparkSession, d: str) -> DataFrame:
-    """States of a stream of one file a micro-batch, files in time order, so that state is carried from batch to batch."""
+    """States of a stream of four files a micro-batch, parts in time order, an asset's rows of a part in one file, so that state is carried from batch to batch."""
     path, parts = in_time_order(scored(s, d).withColumns(alerts.fold_inputs()).select(*INPUT))
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    rows = s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(4, "asset_id").write.mode("append").parquet(path)
+    rows = s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 4).parquet(path)
     return finished(jobs.state_stream(rows), s)
 
 
@@ -58,7 +59,7 @@ def restarted(s: SparkSession, d: str) -> DataFrame:
     path, parts = in_time_order(scored(s, d).withColumns(alerts.fold_inputs()).select(*INPUT))
     places = scratch(s, "stream"), scratch(s, "check")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(4, "asset_id").write.mode("append").parquet(path)
         out = finished(jobs.state_stream(s.readStream.schema(part.schema).parquet(path)), s, places)
     return out
 
@@ -71,7 +72,7 @@ def expired(s: SparkSession, d: str) -> DataFrame:
     shift = lambda days, to: {"t_us": F.col("t_us") + days * day, "arrival": F.col("arrival") + to}
     beat = rows.orderBy(F.desc("t_us"), "arrival").limit(1).withColumns(shift(2, 10_000_000)).withColumn("asset_id", F.lit("HEARTBEAT"))
     for part in (rows, beat, rows.withColumns(shift(3, 20_000_000))):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(4, "asset_id").write.mode("append").parquet(path)
         out = finished(jobs.state_stream(s.readStream.schema(rows.schema).parquet(path)), s, places)
     return out.where("asset_id <> 'HEARTBEAT'")
 
@@ -83,22 +84,96 @@ add("w8_state_expiry", lambda s, d: expired(s, d).select(*OUT.split(", ")), f"SE
 add("w12_stream_quarantine", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).where("keys IS NULL").select("arrival"), s), "SELECT arrival FROM typed WHERE NOT fits")
 
 
-def raw_to_alert(s: SparkSession, d: str) -> DataFrame:
-    """Alerts of JSON messages, broken and repeated ones among them, in three parts by time; both streams stop after each part and start again."""
-    rows = telemetry(s, d).withColumns({"sequence_number": F.col("arrival"), "schema_version": F.lit("1.0.0")})
-    whole = rows.select(F.to_json(F.struct(*[x for x in rows.columns if x not in ("arrival", "t_us", "scenario", "criticality")])).alias("raw"), "arrival", "t_us")
-    broken = whole.where("arrival % 97 = 0").withColumn("raw", F.substring("raw", 1, 40))
-    path, parts = in_time_order(whole.union(broken).union(whole.where("arrival % 101 = 0")))
-    first, second = ((scratch(s, name), scratch(s, "check")) for name in ("features", "alerts"))
+def stream_run(s: SparkSession, d: str) -> tuple[dict[str, str], str]:
+    """Outputs and checkpoint of one stream of messages in three parts by time, stopped after each part and started again, several files a micro-batch."""
+    path, parts = in_time_order(stream_messages(telemetry(s, d)))
+    outputs, check = {k: scratch(s, f"stream-{k}") for k in asset_stream.OUTPUTS}, scratch(s, "check")
     for part in parts:
-        part.select("raw", "arrival").coalesce(1).write.mode("append").parquet(path)
-        features = finished(feature_stream(s.readStream.schema("raw string, arrival long").parquet(path)), s, first)
-        out = finished(alert_stream(s.readStream.schema(features.schema).parquet(first[0])), s, second)
-    return out
+        part.select("raw", "arrival").repartition(4).write.mode("append").parquet(path)
+        asset_stream.drained(s.readStream.schema("raw string, arrival long").parquet(path), outputs, check)
+    return outputs, check
+
+
+_RUNS: dict[tuple, tuple[dict[str, str], str]] = {}
+
+
+def stream_output(name: str, *columns: str | Column) -> Query:
+    """Columns of one output of the run, which is made once for a session and an input."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return s.read.parquet(_run(s, d)[0][name]).select(*columns)
+
+    return query
+
+
+def _run(s: SparkSession, d: str) -> tuple[dict[str, str], str]:
+    key = (s.sparkContext.applicationId, *sorted(events(s, d).inputFiles()))
+    if key not in _RUNS:
+        _RUNS[key] = stream_run(s, d)
+    return _RUNS[key]
 
 
 ALERT = "arrival, asset_id, severity, previous_health_state, current_health_state, health_score, is_state_transition, is_recovery"
-add("w10_raw_to_alert_stream", lambda s, d: raw_to_alert(s, d).select(*ALERT.split(", ")), f"SELECT {ALERT} FROM asset_alert_history")
+add("w10_raw_to_alert_stream", stream_output("alerts", F.expr("cast(substring(event_id, 5) as bigint)").alias("arrival"), *ALERT.split(", ")[1:]), f"SELECT {ALERT} FROM asset_alert_history")
+PARTS["sent"] = "SELECT *, CASE WHEN arrival % 107 = 0 THEN 0 ELSE rn END AS seq FROM states"
+add(
+    "w10_stream_processed", stream_output("processed", "event_id", "asset_id", "health_score", "health_state", "anomalies_count", "alert_emitted", "lateness", "out_of_order"),
+    """SELECT event_id, asset_id, health_score, health_state, found AS anomalies_count, outcome = 2 AS alert_emitted, 'ON_TIME' AS lateness,
+      seq <= coalesce(max(seq) OVER (PARTITION BY asset_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS out_of_order FROM sent""",
+)
+WINDOW = ["asset_id", "window_start", "window_end", "sample_count", "mean_temperature", "std_temperature", "thermal_rise_rate", "mean_vibration", "max_vibration", "vibration_slope", "mean_pressure", "std_pressure", "anomalies_in_window"]
+add(
+    "w10_stream_windows", stream_output("windows", *WINDOW),
+    f"""SELECT w.* FROM (SELECT asset_id, t_us // 5000000 * 5e0 AS window_start, t_us // 5000000 * 5e0 + 5 AS window_end, {SUMMARY} FROM anom GROUP BY asset_id, t_us // 5000000) w
+    JOIN (SELECT asset_id, max(t_us) AS newest FROM tel GROUP BY asset_id) m ON m.asset_id = w.asset_id AND w.window_end * 1000000 <= (m.newest - 35000000) // 5000000 * 5000000""",
+)
+add(
+    "w10_stream_quarantine", stream_output("quarantine", "event_id", "asset_id", "violations"),
+    """SELECT 'UNKNOWN' AS event_id, 'UNKNOWN' AS asset_id, 'DQ-011' AS violations FROM tel WHERE arrival % 97 = 0 UNION ALL
+    SELECT event_id, asset_id, 'DQ-009,DQ-010' FROM tel WHERE arrival % 101 = 0 UNION ALL SELECT event_id || 'b', asset_id, 'DQ-010' FROM tel WHERE arrival % 103 = 0""",
+)
+add("w17_stream_late", stream_output("late", "event_id", "asset_id", "lateness", "out_of_order"), "SELECT event_id || 'l' AS event_id, asset_id, 'EXCESSIVELY_LATE' AS lateness, TRUE AS out_of_order FROM tel WHERE arrival % 89 = 0")
+add(
+    "w9_state_in_checkpoint", lambda s, d: asset_stream.state_of(s, _run(s, d)[1], "intake", "progress").select(F.col("key.key").alias("asset_id"), F.col("value.value.newest").alias("newest"), F.col("value.value.sequence").alias("sequence")),
+    "SELECT asset_id, max(t_us) AS newest, max(seq) AS sequence FROM sent GROUP BY asset_id",
+)
+
+
+def lifetime(s: SparkSession, d: str) -> DataFrame:
+    """Health states that a checkpoint holds of all assets, and after their time to live, when another asset alone has sent something."""
+    path, check, outputs = scratch(s, "source"), scratch(s, "check"), {"processed": scratch(s, "processed")}
+    rows = stream_messages(telemetry(s, d))
+    beat = rows.where("get_json_object(raw, '$.event_id') IS NOT NULL").orderBy("t_us", "arrival", "raw").limit(1)
+    calm = {"asset_id": "PUMP-BEAT", "event_id": "beat", "temperature": "40.0", "vibration": "1.0"}
+    for k, v in calm.items():
+        beat = beat.withColumn("raw", F.regexp_replace("raw", rf'"{k}":"?[^",]*"?', f'"{k}":' + (v if v[0].isdigit() else f'"{v}"')))
+    found = []
+    for when, part in (("before", rows), ("after", beat)):
+        part.select("raw", "arrival").repartition(4).write.mode("append").parquet(path)
+        asset_stream.drained(s.readStream.schema("raw string, arrival long").parquet(path), outputs, check, ttl_ms=1000)
+        state = asset_stream.state_of(s, check, "diagnosis", "health").select(F.lit(when).alias("at"), F.col("key.key").alias("asset_id"), F.col("value.value.health").alias("health"), F.col("value.value.faults").alias("faults"))
+        state.write.parquet(f"{path}-{when}")  # before the next run changes it
+        found.append(s.read.parquet(f"{path}-{when}"))
+    return found[0].union(found[1])
+
+
+add("w8_state_lifetime", lifetime, """SELECT 'before' AS at, asset_id, health, CAST(fault_count AS INTEGER) AS faults FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rn DESC) AS back FROM states) WHERE back = 1
+  UNION ALL SELECT 'after', 'PUMP-BEAT', 0, 0""")
+
+
+def stream_lateness(s: SparkSession, d: str) -> DataFrame:
+    """Each sample's lateness in the stream, against its own asset's watermark; some are 10 or 40 seconds late."""
+    rows = late_samples(s, d).withColumn("timestamp", F.col("t_us") / 1e6).withColumns({"sequence_number": F.col("arrival"), "schema_version": F.lit("1.0.0")})
+    fields = [x for x in rows.columns if x not in ("arrival", "t_us", "scenario", "criticality")]
+    path, out = scratch(s, "source"), scratch(s, "lateness")
+    rows.select(F.to_json(F.struct(*fields)).alias("raw"), "arrival").repartition(4).write.parquet(path)
+    stream = asset_stream.intake(s.readStream.schema("raw string, arrival long").parquet(path)).select("kind", "event_id", "lateness", "out_of_order")
+    asset_stream.started(stream, lambda batch, n: tables.append_once(batch, out, n), scratch(s, "check"), drain=True).awaitTermination()
+    return s.read.parquet(out).select("event_id", "lateness", "out_of_order")
+
+
+add("w2_stream_lateness", stream_lateness, """SELECT event_id, CASE WHEN newest IS NULL OR t_us >= newest - 5000000 THEN 'ON_TIME' WHEN t_us >= newest - 35000000 THEN 'LATE_ACCEPTED' ELSE 'EXCESSIVELY_LATE' END AS lateness, FALSE AS out_of_order
+  FROM (SELECT *, max(t_us) OVER (PARTITION BY asset_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM late)""")
 
 
 def progress(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +197,7 @@ FROM (SELECT x.asset_id, x.t_us, x.lateness, x.watermark, y.found AS anomalies,
 def drained(s: SparkSession, d: str) -> DataFrame:
     """Rows of each micro-batch of a drain that takes one of four files at a time."""
     path, out = scratch(s, "source"), scratch(s, "drained")
-    raw(s, d).withColumn("part", F.col("arrival") % 4).repartition(1).write.partitionBy("part").parquet(path)
+    raw(s, d).withColumn("part", F.col("arrival") % 4).repartition("part").write.partitionBy("part").parquet(path)
     rows = s.readStream.schema("raw string, arrival long, part int").option("maxFilesPerTrigger", 1).parquet(path)
     count = lambda batch, n: tables.append_once(batch.agg(F.count("*").alias("n")), out, n)
     rows.writeStream.foreachBatch(count).option("checkpointLocation", scratch(s, "check")).trigger(availableNow=True).start().awaitTermination()
