@@ -84,19 +84,6 @@ def run_ledger(checked: DataFrame, run_id: str = "run") -> DataFrame:
     )
 
 
-def run_report(spark: SparkSession, checked: DataFrame, path: str, run_id: str = "run") -> DataFrame:
-    """One row on an ingestion run: its ledger, and rows, snapshots and rows by asset (JSON, in order) of the table at ``path``.
-
-    The JSON holds an entry an asset, in one row, as the report has it; ``S12``'s query gives it as rows.
-    """
-    lake = spark.read.parquet(path)
-    by_asset = lake.groupBy("asset_id").agg(F.count("*").alias("n"))
-    whole = by_asset.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("table_rows"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset_id", "n"))))).alias("asset_distribution"))
-    snapshots = lake.agg(F.count_distinct("batch_id").alias("snapshots"))
-    ledger = run_ledger(checked, run_id).withColumnRenamed("events_valid", "events_persisted")
-    return ledger.crossJoin(whole).crossJoin(snapshots)  # a row each
-
-
 def result_summary(rows: DataFrame, query_id: str) -> DataFrame:
     """What a result export says beside its rows: ``query_id, status, row_count, column_count, columns``."""
     names = rows.columns

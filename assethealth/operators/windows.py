@@ -31,8 +31,12 @@ def summaries() -> list[Column]:
 def window_summaries(rows: DataFrame, size: int, slide: int | None = None, least: int = 1, kind: str = "TUMBLING") -> DataFrame:
     """Summaries of ``size``-second windows every ``slide`` seconds that hold ``least`` samples or more.
 
-    ``rows`` need event_time, arrival, t_us, is_anomaly (0 or 1) and the sensors.
+    ``rows`` need event_time, arrival, t_us, is_anomaly (0 or 1) and the
+    sensors. Batch windows that overlap are put together from panes
+    (``pane_summaries``); a stream, which has one aggregation, copies rows.
     """
+    if slide and size % slide == 0 and size > slide and not rows.isStreaming:
+        return pane_summaries(rows, size, slide, least, kind)
     w = F.window("event_time", f"{size} seconds", f"{slide or size} seconds")
     out = rows.groupBy("asset_id", w.alias("w")).agg(*summaries()).where(F.col("sample_count") >= least)
     start, end = F.unix_micros("w.start"), F.unix_micros("w.end")
@@ -42,6 +46,53 @@ def window_summaries(rows: DataFrame, size: int, slide: int | None = None, least
     )
 
 
+def _panes() -> list[Column]:
+    """What a pane keeps of its samples: counts, sums and squared deviations that can be added up, and its first and last sample."""
+    end = F.struct("arrival", "t_us", "temperature", "vibration")
+    sums = [F.count(c).alias(f"n_{c}") for c in ("temperature", "vibration", "pressure")] + [F.sum(c).alias(f"sum_{c}") for c in ("temperature", "vibration", "pressure")]
+    spread = [(F.var_pop(c) * F.count(c)).alias(f"off_{c}") for c in ("temperature", "pressure")]
+    return [F.count("*").alias("n"), *sums, *spread, F.max("vibration").alias("top"), F.sum("is_anomaly").alias("anomalies"), F.min_by(end, "arrival").alias("first"), F.max_by(end, "arrival").alias("last")]
+
+
+def pane_summaries(rows: DataFrame, size: int, slide: int, least: int = 1, kind: str = "SLIDING") -> DataFrame:
+    """As ``window_summaries``, for windows of ``size`` seconds, a multiple of ``slide``.
+
+    Samples are added up once by asset and pane of ``slide`` seconds, before
+    the shuffle where they are; only panes are copied to the windows they are
+    part of. Deviations come from the panes' own and from how far their means
+    are apart.
+    """
+    step = slide * 1_000_000
+    panes = rows.groupBy("asset_id", F.expr(f"t_us div {step} - if(t_us % {step} < 0, 1, 0)").alias("pane")).agg(*_panes())
+    copies = panes.withColumn("w", F.explode(F.sequence(F.col("pane") - (size // slide - 1), F.col("pane"))))
+
+    def std(c: str) -> Column:
+        n, mean = F.sum(f"n_{c}"), F.sum(f"sum_{c}") / F.sum(f"n_{c}")
+        apart = F.sum(F.coalesce(F.col(f"sum_{c}") * F.col(f"sum_{c}") / F.nullif(F.col(f"n_{c}"), F.lit(0)), F.lit(0.0))) - n * mean * mean
+        off = F.sum(f"off_{c}")
+        # sums of squares differ in their last digits alone where all values are equal
+        apart = F.when(apart > 1e-12 * n * mean * mean, apart).otherwise(0.0)
+        return F.when(n > 1, F.sqrt(F.greatest(off + apart, F.lit(0.0)) / (n - 1))).otherwise(0.0)
+
+    def slope(c: str) -> Column:
+        first, last = F.min_by("first", "first.arrival"), F.max_by("last", "last.arrival")
+        seconds = (last["t_us"] - first["t_us"]) / 1e6
+        return F.coalesce(F.try_divide(last[c] - first[c], F.when(seconds > 0.001, seconds)) * 60, F.lit(0.0))
+
+    mean = lambda c: F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+    out = copies.groupBy("asset_id", "w").agg(
+        F.sum("n").alias("sample_count"), rounded(mean("temperature"), 2).alias("mean_temperature"), rounded(std("temperature"), 3).alias("std_temperature"),
+        rounded(slope("temperature"), 4).alias("thermal_rise_rate"), rounded(mean("vibration"), 2).alias("mean_vibration"), rounded(F.max("top"), 2).alias("max_vibration"),
+        rounded(slope("vibration"), 4).alias("vibration_slope"), rounded(mean("pressure"), 2).alias("mean_pressure"), rounded(std("pressure"), 3).alias("std_pressure"),
+        F.sum("anomalies").alias("anomalies_in_window"),
+    ).where(F.col("sample_count") >= least)
+    start = F.col("w") * slide
+    return out.select(
+        stable_id("win", F.substring("asset_id", 1, 4), start + size, F.col("asset_id"), F.lit(kind)).alias("window_id"),
+        "asset_id", F.lit(kind).alias("window_type"), (start * 1.0).alias("window_start"), ((start + size) * 1.0).alias("window_end"), *[c for c in out.columns if c not in ("asset_id", "w")],
+    )
+
+
 def merged_windows(rows: DataFrame, size: int = 5, retention: int = 60) -> DataFrame:
     """Tumbling windows as a processor emits them that only looks when samples come.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assethealth.operators import quality, tables, windows
+from assethealth.operators import commits, ingest, quality, tables, windows
 from assethealth.plans.oracle import PARTS, exact
 from assethealth.plans.queries import SUMMARY, add, c, current, flagged, pick, stored_history, stored_queue, stored_snapshots, table
 from assethealth.plans.raw_events import with_defects
@@ -97,15 +99,17 @@ def filtered_scan(s: SparkSession, d: str) -> DataFrame:
 add("s9_filtered_scan", filtered_scan, "SELECT event_id, asset_id, timestamp FROM tel WHERE asset_id = 'PUMP-001' AND timestamp BETWEEN 1704067220 AND 1704067420")
 
 
-def commits(s: SparkSession, d: str) -> DataFrame:
-    """Telemetry appended in three batches, one of them twice, and the table's commits."""
+def committed(s: SparkSession, d: str) -> str:
+    """Telemetry appended in three batches, one of them twice."""
     path = scratch(s, "commits")
     for batch in (0, 1, 2, 2):
-        tables.append_once(telemetry(s, d).where(c("arrival") % 3 == batch).select("event_id"), path, batch)
-    return tables.commit_history(s, path).select("batch_id", "rows")
+        commits.append(telemetry(s, d).where(c("arrival") % 3 == batch).select("event_id"), path, batch)
+    return path
 
 
-add("s13_commit_history", commits, "SELECT CAST(arrival % 3 AS INTEGER) AS batch_id, count(*) AS rows FROM tel GROUP BY 1")
+add("s13_commit_history", lambda s, d: commits.commits(s, committed(s, d)).select(c("batch_id").cast("int").alias("batch_id"), "rows", "commit"),
+    "SELECT CAST(arrival % 3 AS INTEGER) AS batch_id, count(*) AS rows, CAST(arrival % 3 + 1 AS INTEGER) AS commit FROM tel GROUP BY arrival % 3")
+add("s13_read_as_of_commit", lambda s, d: commits.appended(s, committed(s, d), as_of=2), "SELECT event_id FROM tel WHERE arrival % 3 < 2")
 
 
 def provisioned(s: SparkSession, d: str) -> DataFrame:
@@ -132,23 +136,37 @@ add("s17_result_export", lambda s, d: tables.result_summary(current(s, d).select
 # -- writes with semantics -------------------------------------------------------
 
 
-def upsert_state(s: SparkSession, d: str) -> DataFrame:
-    """Two batches of current states, the first of even arrivals, upserted."""
-    rows = telemetry(s, d).select("asset_id", "arrival", "temperature", "operating_mode")
+def upsert_state(s: SparkSession, d: str) -> str:
+    """Two batches of current states, the first of even arrivals, upserted into a stored table, the second twice."""
+    rows, path = telemetry(s, d).select("asset_id", "arrival", "temperature", "operating_mode"), scratch(s, "state")
     last = lambda part: part.groupBy("asset_id").agg(F.max_by(F.struct("arrival", "temperature", "operating_mode"), "arrival").alias("r")).select("asset_id", "r.*")
-    return tables.upserted(last(rows.where("arrival % 2 = 0")), last(rows.where("arrival % 2 = 1")), "asset_id", "arrival")
+    for batch in (0, 1, 1):
+        commits.upsert(last(rows.where(c("arrival") % 2 == batch)), path, batch, "asset_id", lambda old, new: tables.upserted(old, new, "asset_id", "arrival"))
+    return path
 
 
-add("u1_upsert_state", upsert_state, "SELECT asset_id, max(arrival) AS arrival, arg_max(temperature, arrival) AS temperature, arg_max(operating_mode, arrival) AS operating_mode FROM tel GROUP BY asset_id")
+STATE = "SELECT asset_id, max(arrival) AS arrival, arg_max(temperature, arrival) AS temperature, arg_max(operating_mode, arrival) AS operating_mode FROM tel"
+add("u1_upsert_state", lambda s, d: commits.upserted(s, upsert_state(s, d)), f"{STATE} GROUP BY asset_id")
+add("u1_state_as_of_commit", lambda s, d: commits.upserted(s, upsert_state(s, d), as_of=1), f"{STATE} WHERE arrival % 2 = 0 GROUP BY asset_id")
 
 
 def upsert_registry(s: SparkSession, d: str) -> DataFrame:
-    rows = table("customer")(s, d)
-    one = lambda where, model, created, updated: rows.where(where).select(c("c_custkey").alias("asset_id"), c("c_mktsegment").alias("asset_type"), F.lit(model).alias("model_name"), F.lit(created).alias("created_at"), F.lit(updated).alias("updated_at"))
-    return tables.upserted_registry(one("c_custkey % 3 < 2", "old", 1, 1), one("c_custkey % 3 > 0", "new", 2, 2))
+    """A registry of assets upserted twice: the second batch brings new models for some assets and some new ones."""
+    rows, path = table("customer")(s, d), scratch(s, "registry")
+
+    def batch(where: str, model: str, at: int) -> DataFrame:
+        return rows.where(where).select(c("c_custkey").alias("asset_id"), c("c_mktsegment").alias("asset_type"), F.lit(model).alias("model_name"), F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"))
+
+    for n, new in enumerate((batch("c_custkey % 3 < 2", "old", 1), batch("c_custkey % 3 > 0", "new", 2))):
+        commits.upsert(new, path, n, "asset_id", tables.upserted_registry)
+    return commits.upserted(s, path)
 
 
-add("u2_upsert_registry", upsert_registry, "SELECT c_custkey AS asset_id, c_mktsegment AS asset_type, CASE WHEN c_custkey % 3 > 0 THEN 'new' ELSE 'old' END AS model_name, CASE WHEN c_custkey % 3 > 0 THEN 2 ELSE 1 END AS updated_at, CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 2 END AS created_at FROM customer")
+add(
+    "u2_upsert_registry", upsert_registry,
+    """SELECT c_custkey AS asset_id, c_mktsegment AS asset_type, CASE WHEN c_custkey % 3 > 0 THEN 'new' ELSE 'old' END AS model_name,
+      CASE WHEN c_custkey % 3 > 0 THEN 2 ELSE 1 END AS updated_at, CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 2 END AS created_at FROM customer""",
+)
 add("u5_window_summaries", lambda s, d: windows.window_summaries(flagged(s, d), 60).drop("window_id", "window_type"),
     f"SELECT asset_id, t_us // 60000000 * 60e0 AS window_start, t_us // 60000000 * 60e0 + 60 AS window_end, {SUMMARY} FROM anom GROUP BY asset_id, t_us // 60000000")
 
@@ -185,15 +203,24 @@ add("x1_ingestion_report", lambda s, d: checked(s, d).groupBy(F.coalesce("asset_
     "SELECT CASE WHEN fits THEN asset_type ELSE 'UNKNOWN' END AS kind, count(*) AS generated, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS quarantined FROM checked GROUP BY 1")
 
 
-def run_report(s: SparkSession, d: str) -> DataFrame:
-    """An ingestion run in three batches of valid events, and its report."""
-    path, rows = scratch(s, "lake"), checked(s, d)
-    for batch in range(3):
-        tables.append_once(rows.where(c("is_valid") & (c("arrival") % 3 == batch)).select("event_id", "asset_id"), path, batch)
-    return tables.run_report(s, rows, path).select("run_id", "events_generated", "events_persisted", "events_quarantined", "table_rows", "snapshots", "asset_distribution")
+def ingestion(s: SparkSession, d: str) -> tuple[list[ingest.Run], str]:
+    """An ingestion in three runs, each counted while it is written."""
+    path, rows = scratch(s, "lake"), checked(s, d).select("arrival", "event_id", "asset_id", "is_valid", "is_delayed", "is_out_of_order")
+    return [ingest.ingested(rows.where(c("arrival") % 3 == batch), path, batch, f"run-{batch}") for batch in range(3)], path
+
+
+def ingestion_report(s: SparkSession, d: str) -> DataFrame:
+    return ingest.run_report(s, *ingestion(s, d))
 
 
-add("x1_run_report", run_report, """SELECT 'run' AS run_id, (SELECT count(*) FROM checked) AS events_generated, sum(n)::BIGINT AS events_persisted, (SELECT count(*) FROM checked WHERE NOT is_valid) AS events_quarantined, sum(n)::BIGINT AS table_rows,
-  (SELECT count(DISTINCT arrival % 3) FROM checked WHERE is_valid) AS snapshots, '{' || string_agg('"' || asset_id || '":' || n, ',' ORDER BY asset_id) || '}' AS asset_distribution FROM (SELECT asset_id, count(*) AS n FROM checked WHERE is_valid GROUP BY asset_id)""")
+add(
+    "x1_run_report", ingestion_report,
+    """SELECT 'events_generated' AS metric, '' AS name, count(*) AS value FROM checked UNION ALL SELECT 'events_valid', '', count(*) FILTER (WHERE is_valid) FROM checked
+    UNION ALL SELECT 'events_quarantined', '', count(*) FILTER (WHERE NOT is_valid) FROM checked UNION ALL SELECT 'events_delayed', '', count(*) FILTER (WHERE is_delayed) FROM checked
+    UNION ALL SELECT 'events_out_of_order', '', count(*) FILTER (WHERE is_out_of_order) FROM checked UNION ALL SELECT 'table_rows', '', count(*) FILTER (WHERE is_valid) FROM checked
+    UNION ALL SELECT 'snapshots', '', 3 UNION ALL SELECT 'asset_rows', asset_id, count(*) FROM checked WHERE is_valid GROUP BY asset_id""",
+)
+add("u9_observed_ledger", lambda s, d: reduce(DataFrame.union, [run.ledger(s) for run in ingestion(s, d)[0]]),
+    "SELECT 'run-' || arrival % 3 AS run_id, count(*) AS events_generated, count(*) FILTER (WHERE is_valid) AS events_valid, count(*) FILTER (WHERE NOT is_valid) AS events_quarantined, 'COMPLETED' AS status FROM checked GROUP BY arrival % 3")
 add("x2_lake_report", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(F.count("*").alias("n"), F.round(F.min("timestamp"), 6).alias("first_ts"), F.round(F.max("timestamp"), 6).alias("last_ts")), "SELECT asset_id, count(*) AS n, round(min(timestamp), 6) AS first_ts, round(max(timestamp), 6) AS last_ts FROM tel GROUP BY asset_id")
 add("x7_unregistered_assets", lambda s, d: quality.unregistered(telemetry(s, d), telemetry(s, d).where("criticality <> 'LOW'")), "SELECT DISTINCT asset_id FROM tel WHERE criticality = 'LOW'")

@@ -18,6 +18,7 @@ from assethealth.plans.raw_events import stream_messages
 from assethealth.sources.scratch import scratch
 from assethealth.sources.telemetry import events
 from assethealth.streaming import asset_stream, jobs
+from assethealth.streaming.progress import REPORT as progress_report
 
 
 def finished(stream: DataFrame, spark: SparkSession, places: tuple[str, str] | None = None) -> DataFrame:
@@ -84,17 +85,17 @@ add("w8_state_expiry", lambda s, d: expired(s, d).select(*OUT.split(", ")), f"SE
 add("w12_stream_quarantine", lambda s, d: finished(jobs.judged(streamed(raw(s, d))).where("keys IS NULL").select("arrival"), s), "SELECT arrival FROM typed WHERE NOT fits")
 
 
-def stream_run(s: SparkSession, d: str) -> tuple[dict[str, str], str]:
-    """Outputs and checkpoint of one stream of messages in three parts by time, stopped after each part and started again, several files a micro-batch."""
+def stream_run(s: SparkSession, d: str) -> tuple[dict[str, str], str, list[tuple]]:
+    """Outputs, checkpoint and reports of one stream of messages in three parts by time, stopped after each part and started again, several files a micro-batch."""
     path, parts = in_time_order(stream_messages(telemetry(s, d)))
-    outputs, check = {k: scratch(s, f"stream-{k}") for k in asset_stream.OUTPUTS}, scratch(s, "check")
+    outputs, check, reports = {k: scratch(s, f"stream-{k}") for k in asset_stream.OUTPUTS}, scratch(s, "check"), []
     for part in parts:
         part.select("raw", "arrival").repartition(4).write.mode("append").parquet(path)
-        asset_stream.drained(s.readStream.schema("raw string, arrival long").parquet(path), outputs, check)
-    return outputs, check
+        reports += asset_stream.drained(s.readStream.schema("raw string, arrival long").parquet(path), outputs, check)
+    return outputs, check, reports
 
 
-_RUNS: dict[tuple, tuple[dict[str, str], str]] = {}
+_RUNS: dict[tuple, tuple[dict[str, str], str, list[tuple]]] = {}
 
 
 def stream_output(name: str, *columns: str | Column) -> Query:
@@ -106,7 +107,7 @@ def stream_output(name: str, *columns: str | Column) -> Query:
     return query
 
 
-def _run(s: SparkSession, d: str) -> tuple[dict[str, str], str]:
+def _run(s: SparkSession, d: str) -> tuple[dict[str, str], str, list[tuple]]:
     key = (s.sparkContext.applicationId, *sorted(events(s, d).inputFiles()))
     if key not in _RUNS:
         _RUNS[key] = stream_run(s, d)
@@ -139,6 +140,24 @@ add(
 )
 
 
+def observed_progress(s: SparkSession, d: str) -> DataFrame:
+    """What the run's micro-batches have counted of themselves, in all."""
+    reports = s.createDataFrame(_run(s, d)[2], progress_report)
+    return reports.agg(*[F.sum(x).alias(x) for x in ("input_rows", "processed", "quarantined", "late", "anomalies", "alerts", "windows", "out_of_order")], F.max("newest_us").alias("newest_us"), F.count("*").alias("batches"))
+
+
+add(
+    "w13_observed_progress", observed_progress,
+    """SELECT count(*) + count(*) FILTER (WHERE arrival % 97 = 0) + count(*) FILTER (WHERE arrival % 101 = 0) + count(*) FILTER (WHERE arrival % 103 = 0) + count(*) FILTER (WHERE arrival % 89 = 0) AS input_rows,
+      count(*) AS processed, count(*) FILTER (WHERE arrival % 97 = 0) + count(*) FILTER (WHERE arrival % 101 = 0) + count(*) FILTER (WHERE arrival % 103 = 0) AS quarantined,
+      count(*) FILTER (WHERE arrival % 89 = 0) AS late, CAST(sum(found) AS BIGINT) AS anomalies, count(*) FILTER (WHERE outcome = 2) AS alerts,
+      (SELECT count(*) FROM (SELECT DISTINCT asset_id, t_us // 5000000 * 5000000 AS w FROM tel) w JOIN (SELECT asset_id, max(t_us) AS newest FROM tel GROUP BY asset_id) m
+        ON m.asset_id = w.asset_id AND w + 5000000 <= (m.newest - 35000000) // 5000000 * 5000000) AS windows,
+      count(*) FILTER (WHERE seq <= before) AS out_of_order, max(t_us) AS newest_us, 3 AS batches
+    FROM (SELECT *, coalesce(max(seq) OVER (PARTITION BY asset_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM sent)""",
+)
+
+
 def lifetime(s: SparkSession, d: str) -> DataFrame:
     """Health states that a checkpoint holds of all assets, and after their time to live, when another asset alone has sent something."""
     path, check, outputs = scratch(s, "source"), scratch(s, "check"), {"processed": scratch(s, "processed")}

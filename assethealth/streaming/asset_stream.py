@@ -32,6 +32,7 @@ from assethealth.functions.health import electrical_part, pressure_part, reasons
 from assethealth.operators.alerts import State, advance, fold_inputs
 from assethealth.operators.features import SENSED, derived
 from assethealth.streaming.jobs import judged, routed
+from assethealth.streaming.progress import ProgressListener, observed
 
 DAY_MS = 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -303,10 +304,20 @@ def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def drained(raw: DataFrame, paths: dict[str, str], checkpoint: str, t: Thresholds = DEFAULTS, ttl_ms: int = DAY_MS) -> None:
-    """Run ``asset_stream`` over what its source has, from where ``checkpoint`` left off, each output to its path of ``paths``."""
-    query = started(asset_stream(raw, t, ttl_ms), routed({k: OUTPUTS[k] for k in paths}, paths), checkpoint, drain=True)
-    query.awaitTermination()
+def drained(raw: DataFrame, paths: dict[str, str], checkpoint: str, t: Thresholds = DEFAULTS, ttl_ms: int = DAY_MS) -> list[tuple]:
+    """Run ``asset_stream`` over what its source has, from where ``checkpoint`` left off, each output to its path of ``paths``.
+
+    Gives the rows that its micro-batches report (``progress.REPORT``).
+    """
+    spark, listener = raw.sparkSession, ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        query = started(observed(asset_stream(raw, t, ttl_ms)), routed({k: OUTPUTS[k] for k in paths}, paths), checkpoint, drain=True)
+        query.awaitTermination()
+        listener.ended.wait(30)  # reports come on another thread, in order
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.rows
 
 
 #: Operators of ``asset_stream`` as the checkpoint numbers them.
