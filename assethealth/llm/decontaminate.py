@@ -20,7 +20,7 @@ from assethealth.llm.shared import keep_rows, map_texts, pieces, written
 
 SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 #: Words of an index entry at most; longer items are indexed in pieces.
 PIECE = 96
 #: Words of a passage: two of the longest entries, whatever a benchmark's own ones are.
