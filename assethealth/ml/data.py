@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assethealth.functions.columns import rounded
+from assethealth.operators.prefix import numbered
 
 #: Names of this kind are never features (fixed values).
 FORBIDDEN = (
@@ -77,11 +78,12 @@ def split_by_run(rows: DataFrame, shares: tuple[float, float] = (0.7, 0.15), see
     """
     runs = rows.select("run_id").distinct()
     key = F.md5("run_id") if seed is None else F.md5(F.concat(F.lit(f"{seed}:"), "run_id"))
-    place = F.row_number().over(Window.orderBy(key, "run_id"))
-    n = F.count("*").over(Window.partitionBy())
-    cut1 = F.bround(n * shares[0]).cast("long")
-    cut2 = cut1 + F.bround(n * shares[1]).cast("long")
-    named = runs.select("run_id", F.when(place <= cut1, SPLITS[0]).when(place <= cut2, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
+    placed = numbered(runs.withColumn("key", key), F.col("key"), F.col("run_id"))
+    n = placed.count()
+    cut1 = F.bround(F.lit(n) * shares[0]).cast("long")
+    cut2 = cut1 + F.bround(F.lit(n) * shares[1]).cast("long")
+    place = F.col("number")
+    named = placed.select("run_id", F.when(place <= cut1, SPLITS[0]).when(place <= cut2, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
     return rows.join(named, "run_id")
 
 

@@ -1,4 +1,4 @@
-"""Running sums over a whole table in the order of a number, with no task that holds all of it."""
+"""Numbers and running sums over a whole table in order, with no task that holds all of it."""
 
 from __future__ import annotations
 
@@ -7,10 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assethealth.sources.scratch import kept, scratch
+
 #: Blocks that a table is cut into by its values.
 BLOCKS = 64
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``number``: a row's place in the whole table, from 1, in an order that tells rows apart.
+
+    Rows are dealt by ranges of the whole order, so ties in its first columns
+    are spread, and written where they stand. A row's number is its place in
+    its task's output plus the rows of the tasks before, a row a task.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = ordered.withColumns({"_place": F.monotonically_increasing_id(), "_task": F.spark_partition_id()})
+    table = kept(ordered, scratch(rows.sparkSession, "numbered"))
+    tasks = table.groupBy("_task").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = tasks.select("_task", (before + 1 - F.col("first")).alias("_offset"))
+    return table.join(F.broadcast(offsets), "_task").withColumn("number", F.col("_place") + F.col("_offset")).drop("_place", "_task", "_offset")
+
+
 def value_block(rows: DataFrame, value: str, blocks: int = BLOCKS) -> Column:
     """Number of the block of a value: how many of the table's approximate quantiles, ``blocks`` numbers at most, it reaches."""
     shares = [i / blocks for i in range(1, blocks)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assethealth.config import CRITICALITY, DEFAULTS, Thresholds
 from assethealth.functions.anomaly import highest_level
 from assethealth.functions.columns import clamp, looked_up, rounded, stable_id
-from assethealth.sources.scratch import kept, scratch
+from assethealth.operators.prefix import numbered
 
 
 def latest(rows: DataFrame, by: Sequence[str] = ("asset_id",), time: str = "t_us", order: str = "arrival", more: Sequence[Column] = ()) -> DataFrame:
@@ -106,20 +106,8 @@ def recommended_action() -> Column:
 
 
 def ranked(rows: DataFrame, score: str = "priority_score", key: str = "asset_id") -> DataFrame:
-    """Adds ``ranking``: 1 for the highest score, ties by key.
-
-    Rows are dealt by ranges of score and key together, so any number of equal
-    scores is spread, and written where they stand; a row's rank is its place
-    in its task's output plus the rows of the tasks before, a row a task.
-    """
-    order = F.desc(score), F.col(key)
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = ordered.withColumns({"_place": F.monotonically_increasing_id(), "_task": F.spark_partition_id()})
-    table = kept(ordered, scratch(rows.sparkSession, "ranked"))
-    tasks = table.groupBy("_task").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = tasks.select("_task", (above + 1 - F.col("first")).alias("_offset"))
-    return table.join(F.broadcast(offsets), "_task").withColumn("ranking", (F.col("_place") + F.col("_offset")).cast("int")).drop("_place", "_task", "_offset")
+    """Adds ``ranking``: 1 for the highest score, ties by key; any number of equal scores is spread over tasks."""
+    return numbered(rows, F.desc(score), F.col(key)).withColumn("ranking", F.col("number").cast("int")).drop("number")
 
 
 def work_orders(states: DataFrame, criticality: DataFrame) -> DataFrame:

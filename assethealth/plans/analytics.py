@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.functions.columns import rul_horizon
+from assethealth.operators import sketches
 from assethealth.plans.oracle import r
 from assethealth.plans.queries import HORIZON, ORDERS, R, add, c, pick, table
 from assethealth.plans.queries import stored_alerts as alert_history
@@ -13,6 +14,7 @@ from assethealth.plans.queries import stored_current as current
 from assethealth.plans.queries import stored_history as history
 from assethealth.plans.queries import stored_queue as queue
 from assethealth.plans.queries import stored_snapshots as snapshots
+from assethealth.sources.scratch import scratch
 
 EACH = "asset_current_state"
 
@@ -125,6 +127,20 @@ add("b16_rul_decay", lambda s, d: history(s, d).groupBy("asset_id", F.date_trunc
     f"SELECT asset_id, date_trunc('minute', event_time) AS time_window, {mean_sql(avg_failure_probability=('failure_probability', 4), avg_rul_hours=('predicted_rul_hours', 1))}, count(*) AS prediction_events FROM asset_prediction_history GROUP BY 1, 2")
 add("b17_alert_velocity", lambda s, d: alert_history(s, d).groupBy("severity").agg(F.count("*").alias("total_alerts"), F.count_distinct("asset_id").alias("distinct_assets_affected"), F.min("event_time").alias("first_alert_time"), F.max("event_time").alias("latest_alert_time")).orderBy(F.desc("total_alerts")),
     "SELECT severity, count(*) AS total_alerts, count(DISTINCT asset_id) AS distinct_assets_affected, min(event_time) AS first_alert_time, max(event_time) AS latest_alert_time FROM asset_alert_history GROUP BY severity")
+
+
+def sketched_velocity(s: SparkSession, d: str) -> DataFrame:
+    """Alerts and assets by severity, exactly and from sketches stored a minute of alerts each and merged; whether the two differ by 3 % at most."""
+    path, rows = scratch(s, "alert-sketches"), alert_history(s, d).withColumn("minute", F.date_trunc("minute", "event_time"))
+    sketches.sketched(rows, "asset_id", ("severity", "minute")).write.parquet(path)
+    merged = sketches.merged(s.read.parquet(path), ("severity",))
+    exact = rows.groupBy("severity").agg(F.count_distinct("asset_id").alias("distinct_assets_affected"))
+    near = F.abs(c("distinct") - c("distinct_assets_affected")) <= 0.03 * c("distinct_assets_affected")
+    return merged.join(exact, "severity").select("severity", c("rows").alias("total_alerts"), "distinct_assets_affected", near.alias("estimate_is_near"))
+
+
+add("b17_sketched_velocity", sketched_velocity,
+    "SELECT severity, count(*) AS total_alerts, count(DISTINCT asset_id) AS distinct_assets_affected, TRUE AS estimate_is_near FROM asset_alert_history GROUP BY severity")
 TREND = ["timestamp", "total_assets", "healthy_assets", "critical_assets", "high_risk_assets"]
 add("b18_kpi_trend", lambda s, d: pick(s, d, snapshots, *TREND, *places(fleet_health_score=4, avg_predicted_rul_hours=1), "active_alerts_total", order=("timestamp",)), f"SELECT {', '.join(TREND)}, {places_sql(fleet_health_score=4, avg_predicted_rul_hours=1)}, active_alerts_total FROM fleet_kpi_snapshots")
 LATEST = ["total_assets", "healthy_assets", "watch_assets", "degraded_assets", "critical_assets", "high_risk_assets", "near_failure_assets", "active_alerts_total", "emergency_maintenance_count", "high_maintenance_count"]

@@ -10,6 +10,7 @@ from assethealth.ml import data, metrics, models
 from assethealth.operators import tables
 from assethealth.plans.oracle import PARTS, r
 from assethealth.plans.queries import R, add, c, scored
+from assethealth.plans.store import stored
 from assethealth.sources.scratch import scratch
 
 
@@ -154,9 +155,13 @@ def training(s: SparkSession, d: str) -> DataFrame:
     return data.with_weights(by_run(s, d))
 
 
+# models go over their rows many times
+stored_training = stored("training", training)
+
+
 def fitted_risk(name: str) -> object:
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = training(s, d).persist()
+        rows = stored_training(s, d)
         model = models.fit(rows.where("split = 'train'"), models.classifier(name))
         return models.with_failure_risk(rows.where("split = 'test'"), model).select("run_id", "step", "label_failure", "pred_failure", "prob_failure")
 
@@ -165,7 +170,7 @@ def fitted_risk(name: str) -> object:
 
 def fitted_life(name: str) -> object:
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = training(s, d).persist()
+        rows = stored_training(s, d)
         model = models.fit(rows.where("split = 'train'"), models.regressor(name))
         return models.with_remaining_life(rows.where("split = 'test'"), model).select("run_id", "step", "label_rul", "pred_rul")
 
@@ -173,7 +178,7 @@ def fitted_life(name: str) -> object:
 
 
 def scored_batch(s: SparkSession, d: str) -> DataFrame:
-    rows = training(s, d).persist()
+    rows = stored_training(s, d)
     train = rows.where("split = 'train'")
     risk, life = models.fit(train, models.classifier("forest")), models.fit(train, models.regressor("forest"))
     return models.scored(rows.where("split = 'test'"), risk, life).select("run_id", "step", "prob_failure", "pred_failure", "pred_rul", "maintenance_priority", F.to_json("top_features").alias("top_features"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from assethealth.operators import commits, ingest, quality, tables, windows
 from assethealth.plans.oracle import PARTS, exact
-from assethealth.plans.queries import SUMMARY, add, c, current, flagged, pick, stored_history, stored_queue, stored_snapshots, table
+from assethealth.plans.queries import SUMMARY, add, c, current, flagged, stored_current, stored_history, stored_queue, stored_snapshots, table
 from assethealth.plans.raw_events import with_defects
 from assethealth.plans.store import stored
 from assethealth.schemas import ALERTS, CURRENT_STATE, PREDICTIONS, TELEMETRY
+from assethealth.sources import relational
 from assethealth.sources.scratch import scratch
 from assethealth.sources.telemetry import telemetry
 
@@ -127,8 +129,40 @@ def provisioned(s: SparkSession, d: str) -> DataFrame:
 add("s7_provisioned_tables", provisioned, "SELECT asset_id, count(*) AS n, 4 AS tables FROM tel GROUP BY asset_id")
 add("s11_row_count", lambda s, d: table("events")(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM events")
 add("s12_asset_distribution", lambda s, d: telemetry(s, d).groupBy("asset_id").agg(F.count("*").alias("n")), "SELECT asset_id, count(*) AS n FROM tel GROUP BY asset_id")
-add("s14_relational_read", lambda s, d: pick(s, d, table("customer"), "c_custkey", "c_name", "c_acctbal", where="c_mktsegment = 'MACHINERY'", order=(F.desc("c_acctbal"), "c_custkey"), limit=25), "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
-add("s16_cross_catalog", lambda s, d: current(s, d).join(F.broadcast(table("nation")(s, d)), F.expr("cast(right(asset_id, 3) as int) % 25 = n_nationkey")).groupBy("n_name").agg(F.count("*").alias("assets")), "SELECT n_name, count(*) AS assets FROM asset_current_state JOIN nation ON CAST(right(asset_id, 3) AS INTEGER) % 25 = n_nationkey GROUP BY n_name")
+_RECORDS: set[tuple] = set()
+
+
+def record(s: SparkSession, d: str, name: str, *columns: str) -> str:
+    """A table of the input as one of the relational catalog, stored once for a session and an input; its full name there."""
+    schema = "IN_" + re.sub(r"\W", "_", d.rstrip("/").rsplit("/", 1)[-1]).upper()
+    if (s.sparkContext.applicationId, d, name) not in _RECORDS:
+        relational.store(table(name)(s, d).select(*columns), schema, name.upper())
+        _RECORDS.add((s.sparkContext.applicationId, d, name))
+    return f"{schema}.{name.upper()}"
+
+
+def relational_read(s: SparkSession, d: str) -> DataFrame:
+    """The condition is the database's work."""
+    customers = s.table(f"{relational.with_catalog(s)}.{record(s, d, 'customer', 'c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment')}")
+    return customers.where("c_mktsegment = 'MACHINERY'").orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey", "c_name", "c_acctbal")
+
+
+def read_in_parts(s: SparkSession, d: str) -> DataFrame:
+    rows = relational.read_parts(s, record(s, d, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey")
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+
+
+def cross_catalog(s: SparkSession, d: str) -> DataFrame:
+    """Assets by nation in one SQL text: current states of the session's catalog, nations of the relational one."""
+    stored_current(s, d).createOrReplaceTempView("asset_current_state")
+    nation = f"{relational.with_catalog(s)}.{record(s, d, 'nation', 'n_nationkey', 'n_name')}"
+    return s.sql(f"""SELECT n_name, count(*) AS assets FROM asset_current_state JOIN {nation} ON CAST(right(asset_id, 3) AS INT) % 25 = n_nationkey GROUP BY n_name""")
+
+
+add("s14_relational_read", relational_read, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+add("s14_read_in_parts", read_in_parts, "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment")
+add("s16_cross_catalog", cross_catalog,
+    "SELECT n_name, count(*) AS assets FROM asset_current_state JOIN nation ON CAST(right(asset_id, 3) AS INTEGER) % 25 = n_nationkey GROUP BY n_name")
 add("s17_result_summary", lambda s, d: current(s, d).select(F.to_json(F.struct("asset_id", "health_state")).alias("row")), "SELECT '{\"asset_id\":\"' || asset_id || '\",\"health_state\":\"' || health_state || '\"}' AS row FROM asset_current_state")
 add("s17_result_export", lambda s, d: tables.result_summary(current(s, d).select("asset_id", "health_state", "health_score"), "states"),
     "SELECT 'states' AS query_id, 'SUCCESS' AS status, count(*) AS row_count, 3 AS column_count, 'asset_id,health_state,health_score' AS columns FROM asset_current_state")

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from assethealth.operators import commits, ingest, serving, tables, windows
+from assethealth.operators import commits, ingest, prefix, serving, tables, windows
 
 
 def test_appends_are_commits_and_can_be_read_as_of_one(spark, tmp_path):
@@ -63,10 +63,10 @@ def test_a_million_equal_scores_are_ranked_in_even_shares(spark, tmp_path, monke
     rows = spark.range(n).select(F.when(F.col("id") < 10, 99.0).otherwise(50.0).alias("priority_score"), F.format_string("asset-%07d", F.col("id")).alias("asset_id"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        monkeypatch.setattr(serving, "scratch", lambda spark, name: str(tmp_path / name))
+        monkeypatch.setattr(prefix, "scratch", lambda spark, name: str(tmp_path / name))
         out = serving.ranked(rows)
         wrong = out.where(F.col("ranking") != F.substring("asset_id", 7, 7).cast("int") + 1).count()
-        tasks = [r["count"] for r in spark.read.parquet(str(tmp_path / "ranked")).groupBy("_task").count().collect()]
+        tasks = [r["count"] for r in spark.read.parquet(str(tmp_path / "numbered")).groupBy("_task").count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert wrong == 0 and out.count() == n
