@@ -13,7 +13,7 @@ from assethealth.functions.health import streaming_priority
 from assethealth.operators import alerts, features, serving, windows
 from assethealth.plans.oracle import PARTS, REASONS, exact, kpis, r, sql
 from assethealth.plans.store import stored
-from assethealth.sources.telemetry import telemetry
+from assethealth.sources.telemetry import read_table, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,8 +33,8 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return features.scored(telemetry(s, d))
 
 
-def states(s: SparkSession, d: str) -> DataFrame:
-    return alerts.with_states(scored(s, d))
+# health states are worked out once and read by all that serves them
+states = stored("states", lambda s, d: alerts.with_states(scored(s, d)))
 
 
 def current(s: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def queue(s: SparkSession, d: str) -> DataFrame:
 
 
 def history(s: SparkSession, d: str) -> DataFrame:
-    return serving.prediction_history(scored(s, d))
+    return serving.prediction_history(states(s, d))
 
 
 def alert_history(s: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ stored_current, stored_queue, stored_history, stored_alerts, stored_snapshots =
 
 
 def table(name: str) -> Query:
-    return lambda s, d: s.read.parquet(f"{d}/{name}.parquet")
+    return lambda s, d: read_table(s, f"{d}/{name}.parquet")
 
 
 R = col.rounded
@@ -236,11 +236,11 @@ add("w15_active_assets", lambda s, d: telemetry(s, d).agg(F.count_distinct("asse
 
 STATE = ["asset_id", "asset_type", "operating_mode", "health_state", "health_score", "failure_probability", "predicted_failure_risk", "predicted_rul_hours", "maintenance_priority", "anomaly_level", "active_alert_count", "temperature", "vibration", "pressure", "load", "rpm", "power", "last_event_time", "model_version"]
 KPI = ["total_assets", "healthy_assets", "watch_assets", "degraded_assets", "critical_assets", "high_risk_assets", "near_failure_assets", "fleet_health_score", "avg_predicted_rul_hours", "min_predicted_rul_hours", "failure_risk_rate", "active_alerts_total", "emergency_maintenance_count", "high_maintenance_count"]
-add("k1_current_state", lambda s, d: pick(s, d, current, *STATE), f"SELECT {', '.join(STATE)} FROM asset_current_state")
+add("k1_current_state", lambda s, d: pick(s, d, stored_current, *STATE), f"SELECT {', '.join(STATE)} FROM asset_current_state")
 add("k2_prognosis", lambda s, d: pick(s, d, history, "arrival", "failure_probability", "predicted_failure_risk", "predicted_rul_hours"), "SELECT arrival, failure_probability, predicted_failure_risk, predicted_rul_hours FROM prog")
-add("k3_priority_tier", lambda s, d: pick(s, d, current, "asset_id", "maintenance_priority"), "SELECT asset_id, maintenance_priority FROM asset_current_state")
-add("k4_active_alerts", lambda s, d: pick(s, d, current, "asset_id", "active_alert_count"), "SELECT asset_id, active_alert_count FROM asset_current_state")
-add("k5_fleet_summary", lambda s, d: serving.fleet_summary(current(s, d)), kpis("asset_current_state"))
+add("k3_priority_tier", lambda s, d: pick(s, d, stored_current, "asset_id", "maintenance_priority"), "SELECT asset_id, maintenance_priority FROM asset_current_state")
+add("k4_active_alerts", lambda s, d: pick(s, d, stored_current, "asset_id", "active_alert_count"), "SELECT asset_id, active_alert_count FROM asset_current_state")
+add("k5_fleet_summary", lambda s, d: serving.fleet_summary(stored_current(s, d)), kpis("asset_current_state"))
 add("k6_priority_score", lambda s, d: pick(s, d, queue, "asset_id", "priority_score"), "SELECT asset_id, priority_score FROM maintenance_priority_queue")
 ORDERS = ["ranking", "asset_id", "asset_type", "criticality", "health_state", "health_score", "failure_probability", "predicted_rul_hours", "maintenance_priority", "priority_score", "recommended_action", "evaluated_at"]
 add("k7_work_orders", lambda s, d: pick(s, d, queue, *ORDERS), f"SELECT {', '.join(ORDERS)} FROM maintenance_priority_queue")

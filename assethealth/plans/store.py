@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assethealth.operators import tables
 from assethealth.sources.scratch import scratch
-from assethealth.sources.telemetry import events
+from assethealth.sources.telemetry import events, read_table
 
 _BUILT: dict[tuple, str] = {}
 
@@ -16,7 +16,8 @@ _BUILT: dict[tuple, str] = {}
 def stored(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The table that ``make`` gives, written when first asked for and read afterwards.
 
-    It is written again for another session or where the event table has other files.
+    It is written again for another session or where the event table has
+    other files, which are told by their names.
     """
 
     def query(s: SparkSession, d: str) -> DataFrame:
@@ -26,6 +27,6 @@ def stored(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callabl
             rows = make(s, d)
             tables.replace(rows, path)
             _BUILT[key] = path
-        return s.read.parquet(_BUILT[key])
+        return read_table(s, _BUILT[key])
 
     return query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assethealth.functions.columns import rounded
@@ -98,11 +98,11 @@ def stream_run(s: SparkSession, d: str) -> tuple[dict[str, str], str, list[tuple
 _RUNS: dict[tuple, tuple[dict[str, str], str, list[tuple]]] = {}
 
 
-def stream_output(name: str, *columns: str | Column) -> Query:
-    """Columns of one output of the run, which is made once for a session and an input."""
+def stream_output(name: str, *columns: str) -> Query:
+    """Columns, as SQL, of one output of the run, which is made once for a session and an input."""
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        return s.read.parquet(_run(s, d)[0][name]).select(*columns)
+        return s.read.parquet(_run(s, d)[0][name]).selectExpr(*columns)
 
     return query
 
@@ -115,7 +115,7 @@ def _run(s: SparkSession, d: str) -> tuple[dict[str, str], str, list[tuple]]:
 
 
 ALERT = "arrival, asset_id, severity, previous_health_state, current_health_state, health_score, is_state_transition, is_recovery"
-add("w10_raw_to_alert_stream", stream_output("alerts", F.expr("cast(substring(event_id, 5) as bigint)").alias("arrival"), *ALERT.split(", ")[1:]), f"SELECT {ALERT} FROM asset_alert_history")
+add("w10_raw_to_alert_stream", stream_output("alerts", "cast(substring(event_id, 5) AS bigint) AS arrival", *ALERT.split(", ")[1:]), f"SELECT {ALERT} FROM asset_alert_history")
 PARTS["sent"] = "SELECT *, CASE WHEN arrival % 107 = 0 THEN 0 ELSE rn END AS seq FROM states"
 add(
     "w10_stream_processed", stream_output("processed", "event_id", "asset_id", "health_score", "health_state", "anomalies_count", "alert_emitted", "lateness", "out_of_order"),

@@ -6,6 +6,7 @@ from math import sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assethealth.config import ASSET_TYPES
 
@@ -14,8 +15,19 @@ T0 = 1704067200000000  # 2024-01-01 in microseconds
 COMPRESSION = 7200
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from a file's footer once a session and path, which saves later reads a job."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return read_table(spark, f"{sf_dir}/events.parquet")
 
 
 def from_events(rows: DataFrame) -> DataFrame:

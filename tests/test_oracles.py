@@ -1,5 +1,9 @@
 """Every query that has SQL gives the same rows as another engine does, on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -42,3 +46,10 @@ def test_every_sql_has_its_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_queries_are_there_before_any_session():
+    """Column expressions need a session, so none may be made when modules are loaded."""
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
