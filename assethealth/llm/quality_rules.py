@@ -107,8 +107,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int
     are MLlib's; the driver holds trees and weights alone.
     """
     marked = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
-    rows = labelled_sample(docs, marked, max_labelled)
-    table = written(rows.select("label", *[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()]), "statistics")
+    rows = labelled_sample(docs, marked, max_labelled, {k: c.cast("double") for k, c in statistics(F.col("text")).items()})
+    table = written(rows.select("label", *STATISTICS), "statistics")
     n, positive = table.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < positive < n:
         return RuleModel([], [], 20.0 if n and positive else (-20.0 if n else 0.0))

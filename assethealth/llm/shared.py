@@ -56,12 +56,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """``docs(doc_id, text)`` with the columns of ``labels`` and ``h``: ``bound`` rows at most, those with the least hash ``h`` of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, numbers: dict[str, Column] | None = None) -> DataFrame:
+    """``docs(doc_id, text)``, or ``numbers`` of each text instead of it, with the columns of ``labels`` and ``h``: ``bound`` rows at most, those with the least hash ``h`` of doc_id.
 
     Rows equal in id, text and labels count once. ``bound`` labels with the
     least hashes are drawn from the label table, then ``bound`` of the hashes
-    of their texts, as one id may have many; only the texts so chosen travel.
+    of their texts, as one id may have many; only the texts so chosen travel,
+    or their ``numbers``, expressions over ``text``, alone.
     """
     names = [c for c in labels.columns if c != "doc_id"]
     some = labels.distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", *names).limit(bound)
@@ -69,7 +70,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
     hashes = docs.select("doc_id", F.xxhash64(text).alias("text_hash")).join(F.broadcast(some), "doc_id").distinct()
     chosen = written(hashes.orderBy("h", "doc_id", "text_hash", *names).limit(bound), "chosen")
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).join(F.broadcast(chosen), ["doc_id", "text_hash"])
-    return rows.groupBy("doc_id", "text_hash", "h", *names).agg(F.any_value("text").alias("text")).drop("text_hash")
+    keys = ["doc_id", "text_hash", "h", *names]
+    if numbers is not None:
+        rows = rows.select(*keys, *[c.alias(k) for k, c in numbers.items()])
+    return rows.groupBy(*keys).agg(*[F.any_value(k).alias(k) for k in (numbers or ["text"])]).drop("text_hash")
 
 
 def text_or_empty(column: str = "text") -> Column:
