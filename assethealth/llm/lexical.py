@@ -138,7 +138,8 @@ def by_length(vectors: DataFrame, lot: Lot, known: Weights) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": ids, "impacts": held, "length": pa.array(length)})
 
     rows = vectors.where(F.size("ids") > 0).mapInArrow(run, "doc_id long, ids array<int>, impacts array<long>, length double")
-    return rows.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length"))
+    placed = rows.withColumn("place", F.monotonically_increasing_id())  # any number of documents may have one length
+    return placed.repartitionByRange(F.desc("length"), "place").sortWithinPartitions(F.desc("length")).drop("place")
 
 
 class Best:
