@@ -46,6 +46,7 @@ def composite(t: Thresholds = DEFAULTS) -> Column:
 
 def reasons(t: Thresholds = DEFAULTS) -> Column:
     """Degradation reasons in their fixed order."""
+    # fixed values: the texts
     c = F.col
     found = [
         F.when(c("vibration") >= t.vibration_limit, F.format_string("Critical ISO Zone D vibration breach (%.2f mm/s)", rounded(c("vibration"), 2))).when(c("vibration") > 4.5, F.format_string("Elevated vibration RMS (%.2f mm/s)", rounded(c("vibration"), 2))),

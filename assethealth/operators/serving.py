@@ -94,6 +94,7 @@ def priority_score() -> Column:
 
 
 def recommended_action() -> Column:
+    # fixed values: the texts
     c = F.col
     p, state, tier = c("failure_probability"), c("health_state"), c("maintenance_priority")
     return (
