@@ -44,9 +44,13 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 
 def fingerprint(items: list[bytes], seed: int = 42, weights: np.ndarray | None = None) -> int:
     """Bit i is set if items of over half the weight have it set in XXH64; no items give zero."""
-    if not items:
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in items), np.uint64, len(items)), weights)
+
+
+def majority(h: np.ndarray, weights: np.ndarray | None = None) -> int:
+    """The SimHash of 64-bit hashes: bit i is set if hashes of over half the weight have it set; none give zero."""
+    if not len(h):
         return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in items), np.uint64, len(items))
     one = np.zeros(64)
     for at in range(0, len(h), 65536):
         bits = np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -165,7 +169,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, ``prefix``, the rarest of them, and the set's ``parity_map``.
+    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, ``fp``, their SimHash, ``prefix``, the rarest of them, and the set's ``parity_map``.
 
     Two sets of ``similarity`` or more have that share of either in common. So
     with all shingles in one order, each set's first n - ceil(similarity * n)
@@ -185,15 +189,15 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
         def one(words: list[bytes]) -> tuple:
             h = shingle_hashes(words, size)
-            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), prefix(h), parity_map(h)
+            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), _signed(majority(h)), prefix(h), parity_map(h)
 
         def columns(texts: list[str]) -> dict:
             rows = [one(t.encode().lower().split()) for t in texts]
-            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "prefix", "parity"))}
+            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "fp", "prefix", "parity"))}
 
         return columns
 
-    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "prefix": "array<long>", "parity": "array<long>"})
+    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "fp": "long", "prefix": "array<long>", "parity": "array<long>"})
 
 
 def possible(drawn: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
@@ -329,11 +333,29 @@ def links_between(big: DataFrame, labels: DataFrame, known: DataFrame, sets: Cal
     return block_links(met(pairs, written(blocks, "blocks")), similarity)
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """``a < b``: pairs of ``texts(id, fp)`` whose fingerprints are equal or linked (``links``), one row a text and a link.
+
+    Texts of one fingerprint are paired with the first of them, and those
+    firsts with each other along the links.
+    """
+    firsts = written(texts.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("times")), "fingerprints")
+    same = texts.join(firsts.where("times > 1"), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(f"id_{x}")) for x in "ab"]
+    near = links(firsts.select("fp")).distinct().join(ends[0], "a").join(ends[1], "b")
+    return same.union(near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``node, doc_id, keep_id``: documents grouped by links of ``similarity`` (Jaccard, distinct ``size``-word shingles) or more.
 
-    Candidates share a shingle of their ``prefixes``, which no pair of
-    ``similarity`` fails to do, and can have it (``possible``); each is verified on the exact shingle sets.
+    SimHash comes first: texts whose shingle sets have linked fingerprints
+    (``simhash_pairs``) and ``similarity`` on the exact sets are one group.
+    Pairs of 0.8 can differ in more bits than fingerprints are linked at, so
+    what SimHash leaves apart is searched exactly. Candidates there share a
+    shingle of their ``prefixes``, which no pair of ``similarity`` fails to do,
+    and can have it (``possible``); each is verified on the exact shingle sets,
+    unless SimHash has joined both already.
     Buckets of up to ``max_bucket`` texts are compared pair by pair. In larger
     ones all texts are first compared with the one that shares most of its
     prefix, the likely original; then every pair that is not yet joined is
@@ -346,7 +368,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     firsts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"), F.count("*").alias("times")), "firsts")
     again = firsts.where("times > 1").select("node", F.col("id").alias("kept"))
     again = written(rows.select("node", "id").join(again, "node").where("id <> kept").select("id"), "again")
-    texts = rows.join(again, "id", "left_anti").select("id", "n", F.size("prefix").alias("long"), "prefix", "parity")
+    texts = rows.join(again, "id", "left_anti").select("id", "n", "fp", F.size("prefix").alias("long"), "prefix", "parity")
+    alike = written(simhash_pairs(texts.where("n > 0").select("id", "fp")), "alike")
+    sets = sets_of(alike.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs, size)
+    joined = written(verified(alike, sets, similarity), "joined")
+    labelled = written(connected_components(joined), "simhash-groups")
     keyed = texts.select("id", "n", F.explode("prefix").alias("token"))
     sizes = written(keyed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "tokens")
     shared = written(keyed.join(sizes, "token"), "buckets")
@@ -359,9 +385,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     stars = big.join(heads, "token").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(0).cast("long").alias("common"))
     drawn = written(pairs.union(stars.distinct()).groupBy("a", "b").agg(F.sum("common").alias("common")), "drawn")
     known = texts.join(central.select("id", "large"), "id", "left").select("id", "n", "long", F.coalesce("large", F.lit(0)).alias("large"), "parity")
-    candidates = written(possible(drawn, known, similarity), "candidates")
+    one, two = (labelled.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    apart = drawn.join(one, "a", "left").join(two, "b", "left").where(F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(True))).select("a", "b", "common")
+    candidates = written(possible(apart, known, similarity), "candidates")
     sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs, size)
-    close = written(verified(candidates, sets, similarity), "close")
+    close = written(verified(candidates, sets, similarity).union(joined), "close")
     labels = connected_components(close)
     more = links_between(big, labels, known, lambda wanted: sets_of(wanted, firsts, docs, size), similarity)
     if more is not None:
