@@ -123,8 +123,8 @@ def near_dup_groups(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame
 COMMON, COUNTED = 500_000, 20_000
 #: Texts of a block, and shingles of a block, about.
 BLOCK, BLOCK_SHINGLES = 64, 65_536
-#: Bits of a set's parity map.
-PARITY = 1024
+#: Bits of a set's parity map, and of a wide one at most.
+PARITY, WIDEST = 1024, 65_536
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -133,12 +133,23 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64, len(s)).view(np.int64))
 
 
-def parity_map(hashes: np.ndarray) -> np.ndarray:
+def parity_map(hashes: np.ndarray, bits: int = PARITY) -> np.ndarray:
     """Bit i says whether an odd number of hashes fall on i: two maps differ in no more bits than their sets do in hashes."""
-    odd = np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_map(hashes: np.ndarray) -> np.ndarray | None:
+    """The parity map of a large set, of more bits than it has hashes, up to ``WIDEST``; None where ``PARITY`` bits are as many.
+
+    Small maps of large sets that share nothing are alike by chance and tell
+    them apart no more. Halves of a map put together by XOR are the map of half
+    the bits, so maps of different lengths can be compared.
+    """
+    bits = min(WIDEST, 1 << len(hashes).bit_length())
+    return parity_map(hashes, bits) if bits > PARITY else None
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``node`` and ``hashes``, the distinct shingle hashes of each text."""
 
@@ -169,7 +180,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, ``fp``, their SimHash, ``prefix``, the rarest of them, and the set's ``parity_map``.
+    """``doc_id, node`` (128-bit hash of the words), ``n`` distinct shingles, ``fp``, their SimHash, ``prefix``, the rarest of them, and the set's ``parity_map`` and ``wide_map``.
 
     Two sets of ``similarity`` or more have that share of either in common. So
     with all shingles in one order, each set's first n - ceil(similarity * n)
@@ -189,15 +200,15 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
         def one(words: list[bytes]) -> tuple:
             h = shingle_hashes(words, size)
-            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), _signed(majority(h)), prefix(h), parity_map(h)
+            return xxhash.xxh3_128_digest(b" ".join(words)), len(h), _signed(majority(h)), prefix(h), parity_map(h), wide_map(h)
 
         def columns(texts: list[str]) -> dict:
             rows = [one(t.encode().lower().split()) for t in texts]
-            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "fp", "prefix", "parity"))}
+            return {k: [r[i] for r in rows] for i, k in enumerate(("node", "n", "fp", "prefix", "parity", "wide"))}
 
         return columns
 
-    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "fp": "long", "prefix": "array<long>", "parity": "array<long>"})
+    return map_texts(docs.select("doc_id", "text"), make, {"node": "binary", "n": "long", "fp": "long", "prefix": "array<long>", "parity": "array<long>", "wide": "array<long>"})
 
 
 def possible(drawn: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
@@ -215,8 +226,31 @@ def possible(drawn: DataFrame, known: DataFrame, similarity: float) -> DataFrame
     total = F.col("n_a") + F.col("n_b")
     least = F.lit(similarity / (1 + similarity)) * total - F.lit(1e-6)
     by_prefix = F.col("common") + F.least("large_a", "large_b") + F.greatest(F.col("n_a") - F.col("long_a"), F.col("n_b") - F.col("long_b"))
-    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where((by_prefix >= least) & ((total - apart) / 2 >= least)).select("a", "b")
+    alike = F.least("n_a", "n_b") + F.lit(1e-9) >= similarity * F.greatest("n_a", "n_b")
+    return both.where(alike & (by_prefix >= least) & ((total - _apart(F.col("parity_a"), F.col("parity_b"))) / 2 >= least)).select("a", "b")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two maps of one length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def possible_by_wide(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of ``possible`` that can have ``similarity`` by their wide maps too, where both have one.
+
+    Sizes of such pairs are less than twice apart, so a map is halved once at most.
+    """
+    one, two = (known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+
+    def halved(x: str, other: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        parts = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))
+        return F.when(F.size(x) > F.size(other), parts).otherwise(F.col(x))
+
+    total = F.col("n_a") + F.col("n_b")
+    able = (total - _apart(halved("wide_a", "wide_b"), halved("wide_b", "wide_a"))) / 2 >= F.lit(similarity / (1 + similarity)) * total - F.lit(1e-6)
+    return both.where(F.col("wide_a").isNull() | F.col("wide_b").isNull() | able).select("a", "b")
 
 
 def sets_of(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -244,15 +278,27 @@ def _sides(batch: pa.RecordBatch, row: int, field: str) -> list[tuple[np.ndarray
 
 
 def possible_blocks(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Rows ``block_a, block_b`` of ``pairs`` with a pair of texts, of different labels, that can have ``similarity`` by their parity maps."""
+    """Rows ``block_a, block_b`` of ``pairs`` with a pair of texts, of different labels, that can have ``similarity`` by their sizes and parity maps.
+
+    Maps are compared at the length of the shortest.
+    """
+
+    def folded(x: np.ndarray, length: int) -> np.ndarray:
+        while len(x) > length:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
 
     def able(batch: pa.RecordBatch, row: int) -> bool:
         (la, ma), (lb, mb) = _sides(batch, row, "parity")
         na, nb = (batch.column(x)[row].values.field("n").to_numpy(zero_copy_only=False) for x in ("one", "two"))
-        ga, gb = (np.unpackbits(np.array(m, "<i8").view(np.uint8), axis=1).astype(np.float32) for m in (ma, mb))
         total = na[:, None] + nb[None, :]
+        alike = (la[:, None] != lb[None, :]) & (np.minimum(na[:, None], nb[None, :]) + 1e-9 >= similarity * np.maximum(na[:, None], nb[None, :]))
+        if not alike.any():
+            return False
+        length = min(map(len, [*ma, *mb]))
+        ga, gb = (np.unpackbits(np.array([folded(x, length) for x in m], "<i8").view(np.uint8), axis=1).astype(np.float32) for m in (ma, mb))
         apart = ga.sum(1)[:, None] + gb.sum(1)[None, :] - 2 * (ga @ gb.T)
-        return bool(((la[:, None] != lb[None, :]) & ((total - apart) / 2 >= similarity / (1 + similarity) * total - 1e-6)).any())
+        return bool((alike & ((total - apart) / 2 >= similarity / (1 + similarity) * total - 1e-6)).any())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +342,7 @@ def links_between(big: DataFrame, labels: DataFrame, known: DataFrame, sets: Cal
     Every such pair of texts is compared, in blocks of texts of like size and
     by the same bucket, of one label where a label fills blocks: two blocks
     meet once, if they share a token and are not of one and the same label.
-    Parity maps go first; sets only to pairs of blocks that these leave open.
+    Parity maps go first, then wide ones; sets only to pairs of blocks that these leave open.
     """
     rows = big.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     rows = written(rows, "labelled")
@@ -324,11 +370,13 @@ def links_between(big: DataFrame, labels: DataFrame, known: DataFrame, sets: Cal
         pairs = pairs.join(blocks.select(F.col("block").alias("block_a"), F.col("members").alias("one")), "block_a")
         return pairs.join(blocks.select(F.col("block").alias("block_b"), F.col("members").alias("two")), "block_b")
 
-    maps = homes.join(known.select("id", "n", "parity"), "id").groupBy("block").agg(F.collect_list(F.struct("label", "n", "parity")).alias("members"))
-    pairs = written(possible_blocks(met(pairs, written(maps, "maps")), similarity), "open-pairs")
-    if pairs.isEmpty():
-        return None
-    wanted = written(homes.join(pairs.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct(), "block", "left_semi"), "open-blocks")
+    wanted = homes
+    for name, of in (("", F.col("parity")), ("wide-", F.coalesce("wide", "parity"))):
+        maps = wanted.join(known.select("id", "n", of.alias("parity")), "id").groupBy("block").agg(F.collect_list(F.struct("label", "n", "parity")).alias("members"))
+        pairs = written(possible_blocks(met(pairs, written(maps, f"{name}maps")), similarity), f"{name}open-pairs")
+        if pairs.isEmpty():
+            return None
+        wanted = written(homes.join(pairs.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct(), "block", "left_semi"), f"{name}open-blocks")
     blocks = wanted.join(sets(wanted.select("id")), "id").groupBy("block").agg(F.collect_list(F.struct("label", "hashes")).alias("members"))
     return block_links(met(pairs, written(blocks, "blocks")), similarity)
 
@@ -354,7 +402,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     Pairs of 0.8 can differ in more bits than fingerprints are linked at, so
     what SimHash leaves apart is searched exactly. Candidates there share a
     shingle of their ``prefixes``, which no pair of ``similarity`` fails to do,
-    and can have it (``possible``); each is verified on the exact shingle sets,
+    and can have it (``possible``, ``possible_by_wide``); each is verified on the exact shingle sets,
     unless SimHash has joined both already.
     Buckets of up to ``max_bucket`` texts are compared pair by pair. In larger
     ones all texts are first compared with the one that shares most of its
@@ -368,7 +416,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     firsts = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("id").alias("id"), F.count("*").alias("times")), "firsts")
     again = firsts.where("times > 1").select("node", F.col("id").alias("kept"))
     again = written(rows.select("node", "id").join(again, "node").where("id <> kept").select("id"), "again")
-    texts = rows.join(again, "id", "left_anti").select("id", "n", "fp", F.size("prefix").alias("long"), "prefix", "parity")
+    texts = rows.join(again, "id", "left_anti").select("id", "n", "fp", F.size("prefix").alias("long"), "prefix", "parity", "wide")
     alike = written(simhash_pairs(texts.where("n > 0").select("id", "fp")), "alike")
     sets = sets_of(alike.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs, size)
     joined = written(verified(alike, sets, similarity), "joined")
@@ -384,10 +432,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_
     heads = written(big.join(central, "id").groupBy("token").agg(F.max(F.struct("share", "id"))["id"].alias("a")), "heads")
     stars = big.join(heads, "token").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(0).cast("long").alias("common"))
     drawn = written(pairs.union(stars.distinct()).groupBy("a", "b").agg(F.sum("common").alias("common")), "drawn")
-    known = texts.join(central.select("id", "large"), "id", "left").select("id", "n", "long", F.coalesce("large", F.lit(0)).alias("large"), "parity")
+    known = texts.join(central.select("id", "large"), "id", "left").select("id", "n", "long", F.coalesce("large", F.lit(0)).alias("large"), "parity", "wide")
     one, two = (labelled.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
     apart = drawn.join(one, "a", "left").join(two, "b", "left").where(F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(True))).select("a", "b", "common")
-    candidates = written(possible(apart, known, similarity), "candidates")
+    candidates = written(possible_by_wide(written(possible(apart, known, similarity), "possible"), known, similarity), "candidates")
     sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), firsts, docs, size)
     close = written(verified(candidates, sets, similarity).union(joined), "close")
     labels = connected_components(close)
